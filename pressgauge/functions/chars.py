@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Members of the Unicode white-space set, as regular-expression class contents.
-SPACE_MEMBERS = r"\s\x1c-\x1f\x85\xa0  -     　"
+SPACE_MEMBERS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = f"[{SPACE_MEMBERS}]"
 NOT_SPACE = f"[^{SPACE_MEMBERS}]"
 
@@ -26,8 +26,22 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARS))
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate `value` once and hand it to `use`, which may mention it repeatedly."""
+    return F.transform(F.array(value), use)[0]
+
+
+def count_chars(text: Column, members: str) -> Column:
+    """How many characters of `text` are in a class; far cheaper than one match each."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{members}]+", ""))
+
+
 def code_point_class(chars) -> str:
-    """A Java character class for a set of characters, runs written as ranges."""
+    """Contents of a Java character class for a set of non-ASCII characters.
+
+    Runs are written as ranges, and ASCII is ruled out first so that plain text
+    does not walk the whole list.
+    """
     points = sorted(ord(c) for c in chars)
     out, start, last = [], None, None
     for point in points + [None]:
@@ -37,4 +51,4 @@ def code_point_class(chars) -> str:
         if start is not None:
             out.append(f"\\x{{{start:x}}}" if start == last else f"\\x{{{start:x}}}-\\x{{{last:x}}}")
         start = last = point
-    return "".join(out)
+    return rf"[^\x00-\x7F]&&[{''.join(out)}]"

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pressgauge.functions.chars import BOUNDARY, NOT_SPACE, SPACE, strip
+from pressgauge.functions.chars import BOUNDARY, NOT_SPACE, SPACE, let
 
 # Fixed values: (rule, pattern, ignore case), in the order they are applied.
 RULES = [
@@ -63,19 +61,59 @@ def _java(pattern: str, ignore_case: bool) -> str:
 
 JAVA_PATTERNS = [_java(pattern, ignore_case) for _, pattern, ignore_case in RULES]
 
+# A text without any of a rule's words cannot match it, and finding a word is far
+# cheaper than trying a pattern at every position.
+NEEDED_WORDS = {
+    "agency dateline": ["("],
+    "agency name": ["reuters", "associated", "agence"],
+    "wire sign-off": ["reporting", "writing", "editing"],
+    "image credit": ["image", "photo", "screen"],
+    "photo agency": ["getty", "shutterstock", "istock", "photo"],
+    "web address": ["http", "www."],
+    "social embed": ["twitter.com", "t.co/"],
+    "site furniture": ["follow", "like", "sign", "subscribe", "read"],
+    "media tag": ["video", "watch", "photo", "image", "breaking"],
+}
+
+
+def _plain(text: Column) -> Column:
+    """Lower case, plus the letters that only case-insensitive matching equates."""
+    return F.translate(F.lower(text), "ſıİ", "sii")
+
+
+def _may_match(plain: Column, rule: str) -> Column:
+    found = F.lit(False)
+    for word in NEEDED_WORDS[rule]:
+        found = found | F.contains(plain, F.lit(word))
+    return found
+
 
 def clean_article_text(text: Column) -> Column:
-    """Blank out every fingerprint in rule order, then tidy white space."""
-    text = F.coalesce(text, F.lit(""))
-    text = reduce(lambda t, pattern: F.regexp_replace(t, pattern, " "), JAVA_PATTERNS, text)
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    """Blank out every fingerprint in rule order, then tidy white space.
+
+    Blanking never joins two pieces of text, so a word missing from the original
+    is still missing when a later rule's turn comes.
+    """
+
+    def blanked(plain: Column) -> Column:
+        cleaned = original
+        for rule, pattern in zip(rule_names(), JAVA_PATTERNS):
+            cleaned = let(cleaned, blanking(pattern, _may_match(plain, rule)))
+        return cleaned
+
+    def blanking(pattern: str, wanted: Column):
+        return lambda t: F.when(wanted, F.regexp_replace(t, pattern, " ")).otherwise(t)
+
+    original = F.coalesce(text, F.lit(""))
+    return F.trim(F.regexp_replace(let(_plain(original), blanked), f"{SPACE}+", " "))
 
 
 def fingerprint_hits(text: Column) -> list[Column]:
     """One match count per rule, each on the raw text, named after the rule."""
     text = F.coalesce(text, F.lit(""))
+    plain = _plain(text)
     return [
-        F.regexp_count(text, F.lit(pattern)).alias(name)
+        F.when(_may_match(plain, name), F.regexp_count(text, F.lit(pattern))).otherwise(0).alias(name)
         for name, pattern in zip(rule_names(), JAVA_PATTERNS)
     ]
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.functions import wording
-from pressgauge.functions.chars import strip
+from pressgauge.functions.chars import count_chars, strip
 
 # Limits and floors.
 MIN_WORDS = 25
@@ -38,15 +38,14 @@ def _share(part: Column, whole: Column) -> Column:
 
 def latin_share(text: Column) -> Column:
     """ASCII letters among all letters; 0.0 without letters."""
-    letters = F.regexp_count(_text(text), F.lit(r"\p{L}"))
-    return _share(F.regexp_count(_text(text), F.lit("[A-Za-z]")), letters)
+    text = _text(text)
+    return _share(count_chars(text, "A-Za-z"), count_chars(text, r"\p{L}"))
 
 
 def english_share(text: Column) -> Column:
     """Function words among all words; a token must equal one ("it's" is not "it")."""
-    text = F.lower(_text(text))
-    markers = F.regexp_count(text, F.lit(rf"(?<![a-z'])(?:{'|'.join(ENGLISH_MARKERS)})(?![a-z'])"))
-    return _share(markers, F.regexp_count(text, F.lit("[a-z']+")))
+    words = F.regexp_extract_all(F.lower(_text(text)), F.lit("[a-z']+"), F.lit(0))
+    return _share(F.size(F.filter(words, lambda w: w.isin(ENGLISH_MARKERS))), F.size(words))
 
 
 def _problem(code: str, message: Column, **detail: Column) -> Column:

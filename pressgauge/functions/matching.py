@@ -31,7 +31,7 @@ LOOKALIKES = {
 
 
 class FoldTable(NamedTuple):
-    spaced: str  # class of characters followed by a space once folded
+    spaced: str  # class of (common) characters followed by a space once folded
     source: str  # translate(): these characters ...
     target: str  # ... become these; the surplus of `source` is deleted
     wide: dict  # characters that fold to several
@@ -62,7 +62,7 @@ def fold_table(headline_rule: bool) -> FoldTable:
             continue  # the key's own regular expression makes it a space
         elif len(plain) == 1:
             singles[char] = plain
-        elif len(plain) == 2 and plain[1] == " ":
+        elif len(plain) == 2 and plain[1] == " " and not headline_rule:
             spaced.append(char)
             singles[char] = plain[0]
         else:
@@ -70,7 +70,7 @@ def fold_table(headline_rule: bool) -> FoldTable:
     for point in range(ord("A"), ord("Z") + 1):
         singles[chr(point)] = chr(point).lower()
     return FoldTable(
-        code_point_class(spaced),
+        code_point_class(spaced) if spaced else "",
         "".join(singles) + "".join(deleted),
         "".join(singles.values()),
         wide,
@@ -80,23 +80,21 @@ def fold_table(headline_rule: bool) -> FoldTable:
 def _key_text(text: Column, headline_rule: bool) -> Column:
     table = fold_table(headline_rule)
     text = F.coalesce(text, F.lit(""))
-    ascii_letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
-    plain = F.translate(text, ascii_letters, ascii_letters[:26].lower())
 
-    wide_class = code_point_class(table.wide)
+    # Characters that fold to several go first, piece by piece. They are rare, and
+    # a translate() that drops them tells cheaply whether there are any.
+    present = F.length(F.translate(text, "".join(table.wide), "")) < F.length(text)
+    members = code_point_class(table.wide)
     entries = [F.lit(item) for pair in table.wide.items() for item in pair]
-    pieces = F.regexp_extract_all(text, F.lit(f"[{wide_class}]|[^{wide_class}]+"), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(f"[{members}]|[^{members}]+"), F.lit(0))
     widened = F.array_join(
         F.transform(pieces, lambda p: F.coalesce(F.try_element_at(F.create_map(*entries), p), p)), ""
     )
-    folded = F.when(text.rlike(f"[{wide_class}]"), widened).otherwise(text)
+    folded = F.when(present, widened).otherwise(text)
     if table.spaced:
         folded = F.regexp_replace(folded, f"([{table.spaced}])", "$1 ")
     folded = F.translate(folded, table.source, table.target)
-
-    # Most text is pure ASCII and needs none of the tables.
-    chosen = F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(plain)
-    return F.trim(F.regexp_replace(chosen, "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
 
 
 def normalize_headline(text: Column) -> Column:
