@@ -22,8 +22,7 @@ TABLE_ROWS = 12
 
 
 def ladder(start: float, stop: float, step: float) -> list[float]:
-    rungs = round((stop - start) / step) + 1
-    return [round(start + i * step, 10) for i in range(rungs)]
+    return [start + i * step for i in range(round((stop - start) / step) + 1)]
 
 
 COARSE_LADDER = ladder(0.05, 0.95, 0.05)
