@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,8 +56,8 @@ def rule_names() -> list[str]:
 
 def _java(pattern: str, ignore_case: bool) -> str:
     """Give \\b, \\s and \\S their Unicode meaning."""
-    for short, spelled in ((r"\b", BOUNDARY), (r"\S", NOT_SPACE), (r"\s", SPACE)):
-        pattern = pattern.replace(short, spelled)
+    spelled = {r"\b": BOUNDARY, r"\s": SPACE, r"\S": NOT_SPACE}
+    pattern = re.sub(r"\\[bsS]", lambda short: spelled[short.group()], pattern)
     return ("(?iu)" if ignore_case else "") + pattern
 
 

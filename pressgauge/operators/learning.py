@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from multiprocessing.pool import ThreadPool
 
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer, StopWordsRemover
@@ -31,7 +32,8 @@ from pressgauge.operators.ordered import exact_quantiles
 from pressgauge.operators.sampling import SPLIT_SEED, first_per_group, stratified_split
 from pressgauge.operators.verdict import Scorer
 
-MAX_FEATURES, MAX_ITERATIONS = 50_000, 1000  # fixed values
+MAX_FEATURES, MAX_ITERATIONS, TOLERANCE = 50_000, 1000, 1e-4  # fixed values
+PARALLEL_RUNS = 4
 NOTHING_BELOW, SMALL_BELOW = 0.5, 2.0  # fixed values, points of sorting score
 
 
@@ -70,7 +72,7 @@ def train(df: DataFrame, text: str, label: str = "label_binary", features: int =
         unit = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
         learner = LogisticRegression(
             featuresCol="features", labelCol=label, regParam=1.0 / rows, elasticNetParam=0.0, standardization=False,
-            maxIter=MAX_ITERATIONS,
+            maxIter=MAX_ITERATIONS, tol=TOLERANCE,
         )
         fitted = learner.fit(unit.transform(weigh.transform(counts)).select("features", label))
     finally:
@@ -124,6 +126,13 @@ def _accuracy() -> Column:
     return F.avg(F.when((F.col("fake_score") > 0.5) == (F.col("label_binary") == 1), 1.0).otherwise(0.0)) * 100
 
 
+def _side_by_side(spark: SparkSession, run: Callable, calls: list[tuple]) -> list:
+    """Independent runs submitted together: while one waits for its last tasks, the
+    others keep the executors busy."""
+    with ThreadPool(min(PARALLEL_RUNS, len(calls))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda call: run(*call)), calls)
+
+
 def run_experiment(df: DataFrame, first: str, second: str) -> DataFrame:
     """Three ways to split, each with raw and cleaned text: accuracy and sizes.
 
@@ -138,13 +147,14 @@ def run_experiment(df: DataFrame, first: str, second: str) -> DataFrame:
         (f"{first} -> {second}", piles[first], piles[second]),
         (f"{second} -> {first}", piles[second], piles[first]),
     ]
-    rows = []
-    for name, teach, test in splits:
-        for version, text in (("raw", "raw"), ("clean", "cleaned")):
-            model = train(teach, text)
-            scored = model_scorer(model)(test, text)
-            accuracy, n_test = scored.agg(_accuracy(), F.count(F.lit(1))).first()
-            rows.append((name, version, accuracy, teach.count(), n_test))
+
+    def run(name, teach, test, version, text):
+        model = train(teach, text)
+        accuracy, n_test = model_scorer(model)(test, text).agg(_accuracy(), F.count(F.lit(1))).first()
+        return name, version, accuracy, teach.count(), n_test
+
+    versions = (("raw", "raw"), ("clean", "cleaned"))
+    rows = _side_by_side(df.sparkSession, run, [(*split, *version) for split in splits for version in versions])
     schema = "split string, version string, accuracy double, n_train long, n_test long"
     return df.sparkSession.createDataFrame(rows, schema)
 
@@ -214,7 +224,9 @@ def ablate_fakes(base: DataFrame, extra: DataFrame, exam: DataFrame) -> DataFram
     fakes = base.filter("label_binary = 1")
     copies = _copies(fakes, min(extra.count(), fakes.count()), SPLIT_SEED)
     piles = [("A before", base), ("B new", base.unionByName(extra)), ("C tilt only", base.unionByName(copies))]
-    return base.sparkSession.createDataFrame([examine(n, p, exam, False) for n, p in piles], RUNS)
+    return base.sparkSession.createDataFrame(
+        _side_by_side(base.sparkSession, examine, [(n, p, exam, False) for n, p in piles]), RUNS
+    )
 
 
 def ablate_reals(base: DataFrame, extra: DataFrame, exam: DataFrame, dominant: Column) -> DataFrame:
@@ -229,7 +241,9 @@ def ablate_reals(base: DataFrame, extra: DataFrame, exam: DataFrame, dominant: C
         ("C balance only", base.unionByName(copies)),
         ("D trimmed", base.join(dropped, "id", "left_anti")),
     ]
-    return base.sparkSession.createDataFrame([examine(n, p, exam, True) for n, p in piles], RUNS)
+    return base.sparkSession.createDataFrame(
+        _side_by_side(base.sparkSession, examine, [(n, p, exam, True) for n, p in piles]), RUNS
+    )
 
 
 def worth(runs: DataFrame) -> DataFrame:

@@ -23,12 +23,14 @@ def survey_fingerprints(df: DataFrame, text: str = "raw", *by: str) -> DataFrame
 
 def cleaning_loss(df: DataFrame, text: str = "raw") -> DataFrame:
     """One row: articles, how many cleaning empties, and the percent of text removed."""
-    sizes = df.select(F.length(text).alias("raw"), F.length(clean_article_text(F.col(text))).alias("cleaned"))
-    raw, cleaned = F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("cleaned"), F.lit(0))
+    sizes = df.select(
+        F.length(text).alias("before"), F.length(clean_article_text(F.col(text))).alias("after")
+    )
+    raw, cleaned = F.coalesce(F.sum("before"), F.lit(0)), F.coalesce(F.sum("after"), F.lit(0))
     kept: Column = F.floor(cleaned * 100 / F.greatest(raw, F.lit(1)))
     return sizes.agg(
         F.count(F.lit(1)).alias("articles"),
-        F.count(F.when(F.col("cleaned") == 0, 1)).alias("emptied"),
+        F.count(F.when(F.col("after") == 0, 1)).alias("emptied"),
         raw.alias("raw_chars"),
         cleaned.alias("cleaned_chars"),
         (F.lit(100) - kept).alias("removed_percent"),
