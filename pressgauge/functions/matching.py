@@ -12,7 +12,7 @@ import unicodedata
 from functools import lru_cache
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.functions.chars import code_point_class, strip
@@ -85,10 +85,13 @@ def _key_text(text: Column, headline_rule: bool) -> Column:
     # a translate() that drops them tells cheaply whether there are any.
     present = F.length(F.translate(text, "".join(table.wide), "")) < F.length(text)
     members = code_point_class(table.wide)
-    entries = [F.lit(item) for pair in table.wide.items() for item in pair]
+    # One string, made a map when the query is planned: hundreds of literals would
+    # cost more to plan than to run.
+    entries = "\x01".join(f"{char}\x02{plain}" for char, plain in table.wide.items())
+    widths = F.str_to_map(F.lit(entries), F.lit("\x01"), F.lit("\x02"))
     pieces = F.regexp_extract_all(text, F.lit(f"[{members}]|[^{members}]+"), F.lit(0))
     widened = F.array_join(
-        F.transform(pieces, lambda p: F.coalesce(F.try_element_at(F.create_map(*entries), p), p)), ""
+        F.transform(pieces, lambda p: F.coalesce(F.try_element_at(widths, p), p)), ""
     )
     folded = F.when(present, widened).otherwise(text)
     if table.spaced:
@@ -108,10 +111,8 @@ def simple_key(text: Column) -> Column:
 
 
 def opening_of(normalized: Column, words: int = BODY_KEY_WORDS) -> Column:
-    """First `words` words of already normalised text; '' when there are fewer."""
+    """First `words` (two or more) words of normalised text; '' when there are fewer."""
     enough = F.substring_index(normalized, " ", words - 1) != normalized
-    if words == 1:
-        enough = normalized != ""
     return F.when(enough, F.substring_index(normalized, " ", words)).otherwise("")
 
 
@@ -121,7 +122,16 @@ def body_key(text: Column, words: int = BODY_KEY_WORDS) -> Column:
 
 def has_key(key: Column) -> Column:
     """Blank keys never match and never count as repeats."""
-    return key.isNotNull() & (key != "")
+    return F.coalesce(key, F.lit("")) != ""
+
+
+def keep_keyed(df: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not blank.
+
+    A generator rather than a filter: the optimizer would push a filter below the
+    projections that compute the key, and work the key out a second time there.
+    """
+    return df.withColumn(key, F.explode(F.filter(F.array(key), has_key)))
 
 
 def build_extract(text: Column, chars: int = EXTRACT_CHARS) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.functions.chars import strip
-from pressgauge.functions.matching import body_key, build_extract, has_key, normalize_headline
+from pressgauge.functions.matching import body_key, build_extract, has_key, keep_keyed, normalize_headline
 
 # How far each kind of evidence is trusted; smaller is better.
 FACT_CHECK, SOURCE = "fact_check", "source"
@@ -83,7 +83,7 @@ def _insertions(corpus: DataFrame, incoming: DataFrame) -> DataFrame:
     place = F.struct("file_no", "pos")
     rank = basis_rank(F.col("basis"))
     first = (
-        incoming.filter(has_key(F.col("key")))
+        keep_keyed(incoming, "key")
         .groupBy("key")
         .agg(*[F.min(F.when(rank == r, place)).alias(f"first_{r}") for r in ALL_RANKS])
         .join(held_ranks(corpus), "key", "left")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,15 +22,12 @@ QUANTILE_ACCURACY = 20_000
 
 def _cut_points(df: DataFrame, order: str, rows_per_slice: int) -> list[float]:
     """At most MAX_SLICES - 1 increasing values of `order`; few rows need none."""
-    grid = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
-    rows, points = df.agg(
-        F.count(F.lit(1)), F.percentile_approx(F.col(order).cast("double"), grid, QUANTILE_ACCURACY)
-    ).first()
-    slices = min(MAX_SLICES, math.ceil(rows / rows_per_slice))
+    slices = min(MAX_SLICES, math.ceil(df.count() / rows_per_slice))
     if slices <= 1:
         return []
-    wanted = [points[round(i * MAX_SLICES / slices) - 1] for i in range(1, slices)]
-    return sorted(set(wanted))
+    grid = [i / slices for i in range(1, slices)]
+    points = df.agg(F.percentile_approx(F.col(order).cast("double"), grid, QUANTILE_ACCURACY)).first()[0]
+    return sorted(set(points))
 
 
 def bucket_of(df: DataFrame, value: str, cuts: list[float], out: str) -> DataFrame:
@@ -91,18 +89,22 @@ def exact_quantiles(
     counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    ranked = running_totals(counted, "v", {"upto": F.col("n")}, rows_per_slice)
-    total = counted.agg(F.sum("n")).first()[0]
-    if not total:
-        return []
-    places = [fraction * (total - 1) for fraction in fractions]
-    needed = sorted({math.floor(p) for p in places} | {math.ceil(p) for p in places})
-
-    # A value holds ranks [upto - n, upto); keep it when a needed rank lies there.
-    cuts = [float(rank) for rank in needed]
-    held = ranked.withColumns({"first": F.col("upto") - F.col("n"), "last": F.col("upto") - 1})
-    held = bucket_of(held.withColumn("below", F.col("first") - 0.5), "below", cuts, "lo")
-    spans = bucket_of(held, "last", cuts, "hi").filter("hi > lo").select("first", "last", "v").collect()
+    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        total = counted.agg(F.sum("n")).first()[0]
+        if not total:
+            return []
+        places = [fraction * (total - 1) for fraction in fractions]
+        needed = sorted({math.floor(p) for p in places} | {math.ceil(p) for p in places})
+
+        # A value holds ranks [upto - n, upto); keep it when a needed rank lies there.
+        cuts = [float(rank) for rank in needed]
+        held = running_totals(counted, "v", {"upto": F.col("n")}, rows_per_slice)
+        held = held.withColumns({"first": F.col("upto") - F.col("n"), "last": F.col("upto") - 1})
+        held = bucket_of(held.withColumn("below", F.col("first") - 0.5), "below", cuts, "lo")
+        spans = bucket_of(held, "last", cuts, "hi").filter("hi > lo").select("first", "last", "v").collect()
+    finally:
+        counted.unpersist()
 
     at, ordered = {}, iter(sorted(spans))
     span = next(ordered)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressgauge.functions.chars import strip
-from pressgauge.functions.matching import has_key, normalize_headline
+from pressgauge.functions.matching import has_key, keep_keyed, normalize_headline
 from pressgauge.session import cut_lineage
 
 # Pairs that one task may walk one by one. More than this and rounds go on.
@@ -87,7 +87,7 @@ def taught_keys(*piles: DataFrame, title: str = "title") -> DataFrame:
         keys = own if keys is None else keys.unionByName(own)
     if keys is None:
         raise ValueError(f"no pile has a {title!r} column")
-    return keys.filter(has_key(F.col("key"))).distinct()
+    return keep_keyed(keys, "key").distinct()
 
 
 def drop_leaks(exam: DataFrame, *piles: DataFrame, title: str = "title") -> DataFrame:
@@ -176,10 +176,14 @@ def select_diverse(
     counted for. `blocked` holds headline keys that must not be handed back."""
     screened = _screened(rows, spec, blocked)
     place = F.struct(F.col("__seen").alias("seen"), F.col(spec.position).alias("pos"))
+    # A generator, so that the tests are not worked out again in a pushed-down filter.
+    passing = F.when(
+        F.col("__fell").isNull(), F.array(F.struct(F.col("__site").alias("site"), F.col("__key").alias("key"), place.alias("place")))
+    )
     pairs = (
-        screened.filter(F.col("__fell").isNull())
-        .groupBy(F.col("__site").alias("site"), F.col("__key").alias("key"))
-        .agg(F.min(place).alias("first"))
+        screened.select(F.explode(passing).alias("p"))
+        .groupBy("p.site", "p.key")
+        .agg(F.min("p.place").alias("first"))
         .select("site", "key", "first.*")
     )
     winners = _settle(pairs, spec.cap, tail_pairs).select(

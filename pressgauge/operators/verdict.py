@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.functions import wording
+from pressgauge.functions.chars import let
 from pressgauge.functions.fingerprints import clean_article_text
 from pressgauge.functions.intake import MIN_WORDS, check_long_enough, word_count
-from pressgauge.functions.matching import full_text, has_key, normalize_headline, opening_of
+from pressgauge.functions.matching import full_text, has_key, keep_keyed, normalize_headline, opening_of
 from pressgauge.operators.corpus import basis_rank, corpus_label, describe_basis
 
 EVIDENCE = ("id", "label", "source", "label_basis", "headline", "article_text")
@@ -34,12 +35,12 @@ def pick_best(corpus: DataFrame, key: str) -> DataFrame:
     """(key, match): per key the row with the best evidence, then the oldest id.
     A partial aggregate, so a key with very many copies is reduced before moving."""
     best = F.min_by(F.struct(*EVIDENCE), F.struct(basis_rank(F.col("label_basis")), F.col("id")))
-    return corpus.filter(has_key(F.col(key))).groupBy(F.col(key).alias("key")).agg(best.alias("match"))
+    return keep_keyed(corpus, key).groupBy(F.col(key).alias("key")).agg(best.alias("match"))
 
 
 def best_match(requests: DataFrame, corpus: DataFrame, headline: str = "headline") -> DataFrame:
     """Inner lookup by headline: the matched requests with their evidence."""
-    keyed = requests.withColumn("key", normalize_headline(F.col(headline))).filter(has_key(F.col("key")))
+    keyed = keep_keyed(requests.withColumn("key", normalize_headline(F.col(headline))), "key")
     return keyed.join(pick_best(corpus, "headline_key"), "key").drop("key")
 
 
@@ -137,7 +138,7 @@ def analyze(
         scored = looked.withColumn("fake_score", F.lit(None).cast("double"))
     else:
         clean = clean_article_text(text)
-        tidy = F.when(clean != "", clean).otherwise(text) if cleaned else text
+        tidy = let(clean, lambda c: F.when(c != "", c).otherwise(text)) if cleaned else text
         # Null for every row an earlier step answered: the model never sees those.
         scored = scorer(looked.withColumn("__input", F.when(F.col("__step") == 3, tidy)), "__input").drop("__input")
 

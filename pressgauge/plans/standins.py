@@ -14,6 +14,7 @@ from pressgauge.functions.matching import normalize_headline, split_paste
 from pressgauge.operators.corpus import corpus_rows
 from pressgauge.operators.sampling import stratified_split
 from pressgauge.operators.verdict import CutoffRecord
+from pressgauge.session import read_table
 
 RECORD = CutoffRecord(score_above=0.4, fake_precision=86.9, real_precision=90.1, measured_on=3160)
 BAND = (0.3, 0.7)
@@ -34,7 +35,7 @@ MARKERS = [
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_table(spark, f"{folder}/{name}.parquet", heavy=name in ("documents", "conversations"))
 
 
 def documents(spark, folder):
