@@ -30,7 +30,8 @@ FINE_LADDER = ladder(0.05, 0.95, 0.01)
 
 
 def evenly_spaced(count: int, low: float = 0.001, high: float = 0.999) -> list[float]:
-    return [low + (high - low) * i / (count - 1) for i in range(count)]
+    step = (high - low) / (count - 1)
+    return [low + i * step for i in range(count - 1)] + [high]
 
 
 def cutoff_candidates(scored: DataFrame, count: int = SWEEP_CANDIDATES) -> list[float]:

@@ -34,6 +34,7 @@ from pressgauge.operators.verdict import Scorer
 
 MAX_FEATURES, MAX_ITERATIONS, TOLERANCE = 50_000, 1000, 1e-4  # fixed values
 PARALLEL_RUNS = 4
+MODEL_TEXT = "model_text"
 NOTHING_BELOW, SMALL_BELOW = 0.5, 2.0  # fixed values, points of sorting score
 
 
@@ -59,9 +60,10 @@ def train(df: DataFrame, text: str, label: str = "label_binary", features: int =
     Weights are idf + 1 and rows are unit length; the penalty 1/n on the mean loss
     equals a unit penalty on the summed loss.
     """
-    words = RegexTokenizer(inputCol=text, outputCol="words", gaps=False, pattern=WORD + "{2,}")
+    words = RegexTokenizer(inputCol=MODEL_TEXT, outputCol="words", gaps=False, pattern=WORD + "{2,}")
     stop = StopWordsRemover(inputCol="words", outputCol="kept_words")
-    tokens = stop.transform(words.transform(df.select(text, label))).select("kept_words", label)
+    read = df.select(F.col(text).alias(MODEL_TEXT), label)
+    tokens = stop.transform(words.transform(read)).select("kept_words", label)
     tokens = tokens.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = tokens.count()
@@ -81,13 +83,11 @@ def train(df: DataFrame, text: str, label: str = "label_binary", features: int =
 
 
 def model_scorer(model: PipelineModel) -> Scorer:
-    """The model as a cascade step, entirely inside the JVM."""
-    column = model.stages[0].getInputCol()
+    """The model as a cascade step, entirely inside the JVM; null text is not scored."""
 
     def scorer(df: DataFrame, text: str) -> DataFrame:
-        needed = F.col(text).isNotNull()
-        scored = model.transform(df.withColumn(column, F.coalesce(F.col(text), F.lit(""))))
-        fake = F.when(needed, vector_to_array("probability")[1])
+        scored = model.transform(df.withColumn(MODEL_TEXT, F.coalesce(F.col(text), F.lit(""))))
+        fake = F.when(F.col(text).isNotNull(), vector_to_array("probability")[1])
         return scored.withColumn("fake_score", fake).select(*df.columns, "fake_score")
 
     return scorer

@@ -202,7 +202,8 @@ def _candidates(count: int) -> str:
     return f"""{HALVES},
 ranked AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS r FROM half_a),
 places AS (
-  SELECT (0.001::DOUBLE + (0.999::DOUBLE - 0.001::DOUBLE) * i / {count - 1}) * ((SELECT count(*) FROM half_a) - 1) AS place
+  SELECT CASE WHEN i = {count - 1} THEN 0.999::DOUBLE ELSE 0.001::DOUBLE + i * ((0.999::DOUBLE - 0.001::DOUBLE) / {count - 1}) END
+    * ((SELECT count(*) FROM half_a) - 1) AS place
   FROM range({count}) t(i)),
 around AS (
   SELECT place - floor(place) AS part, a.score AS low, b.score AS high FROM places

@@ -111,7 +111,8 @@ def load_collections(piles: dict[str, DataFrame], label: str = "label") -> DataF
 def read_raw_crawl(spark: SparkSession, path: str) -> DataFrame:
     """Eight-column crawl dump without a header; only rows with exactly eight fields
     and an all-digit id are whole articles."""
-    df = spark.read.csv(
+    # A pruned read would not notice rows of the wrong width.
+    df = spark.read.option("columnPruning", False).csv(
         path,
         schema=f"{RAW_CRAWL}, _broken string",
         header=False,
@@ -120,8 +121,6 @@ def read_raw_crawl(spark: SparkSession, path: str) -> DataFrame:
         escape='"',
         mode="PERMISSIVE",
         columnNameOfCorruptRecord="_broken",
-        # A pruned read would not notice rows of the wrong width.
-        **{"columnPruning": False},
     )
     whole = F.col("_broken").isNull() & F.col("id").rlike("^[0-9]+$")
     filled = [F.coalesce(c, F.lit("")).alias(c) for c in df.columns if c not in ("id", "_broken")]
