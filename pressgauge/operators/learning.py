@@ -31,8 +31,11 @@ from pressgauge.operators.metrics import sorting_score
 from pressgauge.operators.ordered import exact_quantiles
 from pressgauge.operators.sampling import SPLIT_SEED, first_per_group, stratified_split
 from pressgauge.operators.verdict import Scorer
+from pressgauge.session import cut_lineage
 
-MAX_FEATURES, MAX_ITERATIONS, TOLERANCE = 50_000, 1000, 1e-4  # fixed values
+MAX_FEATURES, MAX_ITERATIONS = 50_000, 1000  # fixed values
+TOLERANCE = 1e-3  # relative change of the loss at which a fit stops
+ROWS_PER_TASK = 2_000
 PARALLEL_RUNS = 4
 MODEL_TEXT = "model_text"
 NOTHING_BELOW, SMALL_BELOW = 0.5, 2.0  # fixed values, points of sorting score
@@ -76,9 +79,14 @@ def train(df: DataFrame, text: str, label: str = "label_binary", features: int =
             featuresCol="features", labelCol=label, regParam=1.0 / rows, elasticNetParam=0.0, standardization=False,
             maxIter=MAX_ITERATIONS, tol=TOLERANCE,
         )
-        fitted = learner.fit(unit.transform(weigh.transform(counts)).select("features", label))
+        # Every iteration is a pass over the features. They are written out once, so that
+        # no pass carries the vocabulary and the text along or starts over when an
+        # executor is lost; and few rows are not worth many tasks.
+        features = unit.transform(weigh.transform(counts)).select("features", label)
+        features = cut_lineage(features.coalesce(rows // ROWS_PER_TASK + 1))
     finally:
         tokens.unpersist()
+    fitted = learner.fit(features)
     return PipelineModel([words, stop, counter, weigh, unit, fitted])
 
 

@@ -115,14 +115,14 @@ def input_gate(spark, folder):
 
 @query
 def gate_summary(spark, folder):
-    checked = data.documents(spark, folder).select(intake.check_input(F.col("text"))["code"].alias("code"))
-    return checked.groupBy(F.coalesce("code", F.lit("accepted")).alias("code")).agg(F.count(F.lit(1)).alias("articles"))
+    checked = intake.describe_input(data.documents(spark, folder), "text")
+    return checked.groupBy(F.coalesce("problem", F.lit("accepted")).alias("code")).agg(F.count(F.lit(1)).alias("articles"))
 
 
 @query
 def too_short_for_model(spark, folder):
     problem = intake.check_long_enough(F.concat_ws(" ", "headline", "body"))
-    found = data.pastes(spark, folder).select("id", problem.alias("p")).filter("p is not null")
+    found = data.pastes(spark, folder).select("id", F.explode(F.array_compact(F.array(problem))).alias("p"))
     return found.select("id", "p.code", "p.message")
 
 
