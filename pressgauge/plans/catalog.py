@@ -311,6 +311,13 @@ def target_trim(spark, folder):
     return selection.trim_to_target(_selected(spark, folder), "id", 100).select("id", "source")
 
 
+@query
+def diverse_set_rows(spark, folder):
+    decided = _selected(spark, folder).withColumnRenamed("lang", "type")
+    rows = store.diverse_rows(decided, "FAKE", ["title", "text", "label", "domain", "type"], "headline", "body", "domain")
+    return rows.select("title", F.md5("text").alias("digest"), "label", "domain", "type")
+
+
 @query
 def spread_sample(spark, folder):
     docs = data.documents(spark, folder)
@@ -437,6 +444,11 @@ def history(spark, folder):
     return rows.select("id", "headline", "article_digest", "score", "result_label", "confidence", "method", "matched_headline")
 
 
+@query
+def history_total(spark, folder):
+    return report.history_total(_history(spark, folder))
+
+
 @query
 def dashboard(spark, folder):
     return report.dashboard(_history(spark, folder))

@@ -433,6 +433,8 @@ SQL = {
         SELECT sum(n)::BIGINT AS articles, count(*) AS sites, arg_max(source, (n, source)) AS busiest_site, max(n) AS busiest_articles FROM per""",
     "kept_per_site": f"WITH {FAKES} SELECT source AS counted_site, count(*) AS articles FROM selected WHERE kept GROUP BY 1",
     "target_trim": f"WITH {FAKES} SELECT id, source FROM selected WHERE kept ORDER BY seen, id LIMIT 100",
+    "diverse_set_rows": f"""WITH {FAKES} SELECT p.headline AS title, md5(p.body) AS digest, 'FAKE' AS label, p.source AS domain, p.lang AS type
+        FROM selected s JOIN paste p USING (id) WHERE kept""",
     "spread_sample": """WITH placed AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS place,
           greatest(1, (SELECT count(*) FROM documents) // 30) AS step FROM documents)
         SELECT doc_id, source FROM placed WHERE place - least(place // step, 29) * step < 4""",
@@ -485,6 +487,7 @@ SQL = {
         UNION ALL SELECT 'macro avg', sum(precision * 0.5::DOUBLE ORDER BY y), sum(recall * 0.5::DOUBLE ORDER BY y), sum(f1 * 0.5::DOUBLE ORDER BY y), any_value(n) FROM per, overall
         UNION ALL SELECT 'weighted avg', sum(precision * (support / n) ORDER BY y), sum(recall * (support / n) ORDER BY y), sum(f1 * (support / n) ORDER BY y), any_value(n) FROM per, overall""",
     "history": f"WITH {CASCADE} SELECT id, headline, md5(article_text) AS article_digest, score, result_label, confidence, method, matched_headline FROM shown",
+    "history_total": f"WITH {CASCADE} SELECT count(*) AS total FROM shown",
     "dashboard": f"""WITH {CASCADE}, c AS (SELECT count(*) AS total, count(*) FILTER (result_label = 'Likely Real') AS real_count,
           count(*) FILTER (result_label = 'Likely Fake') AS fake_count, count(*) FILTER (result_label = 'Not Sure') AS unsure_count FROM shown)
         SELECT *, round(real_count * 100 / total, 1) AS real_pct, round(fake_count * 100 / total, 1) AS fake_pct, round(unsure_count * 100 / total, 1) AS unsure_pct FROM c""",
