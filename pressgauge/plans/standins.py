@@ -168,14 +168,15 @@ def web_replies(spark, folder) -> DataFrame:
         .when(kind == 6, blank)
         .otherwise(lone)
     )
-    chunk = F.struct(
-        F.struct(F.concat(F.lit("https://news.example.com/"), F.col("conv_id").cast("string")).alias("uri"), F.when(F.col("turn") % 2 == 0, first_line).alias("title")).alias("web")
-    )
+    page = F.concat(F.lit("https://news.example.com/"), F.col("conv_id").cast("string"))
+    title = F.when(F.col("turn") % 2 == 0, first_line)
+    chunk = F.struct(F.struct(page.alias("uri"), title.alias("title")).alias("web"))
     grounding = F.struct(
         F.when(kind != 4, F.array(chunk, chunk)).alias("groundingChunks"),
         F.array(F.lit("query one"), first_line).alias("webSearchQueries"),
     )
     parts = F.array(F.struct(body.alias("text")), F.struct(F.lit(" ").alias("text")))
     candidate = F.struct(F.struct(parts.alias("parts")).alias("content"), grounding.alias("groundingMetadata"))
-    reply = F.when(kind == 5, '{"error": {"code": 500}}').otherwise(F.to_json(F.struct(F.array(candidate).alias("candidates"))))
+    answered = F.to_json(F.struct(F.array(candidate).alias("candidates")))
+    reply = F.when(kind == 5, '{"error": {"code": 500}}').otherwise(answered)
     return table(spark, folder, "conversations").select("conv_id", "turn", reply.alias("reply"))

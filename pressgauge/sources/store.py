@@ -49,14 +49,17 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def append_corpus(new_rows: DataFrame, path: str, reset: bool = False) -> None:
     """Add top-up rows; ids go on from the largest held, in load order. With `reset`
-    everything held is dropped first."""
+    they take the place of everything held, and should come from a top-up of nothing."""
     spark = new_rows.sparkSession
     held = None if reset else read_corpus(spark, path).agg(F.max("id")).first()[0]
     order = F.shiftleft(F.col("file_no").cast("long"), 56) + F.col("pos")
     numbered = number_rows(new_rows.withColumn("__order", order), "__order", "__n")
     rows = numbered.withColumn("id", F.col("__n") + F.lit((held or 0) + 1)).drop("__order", "__n", "file_no", "pos")
-    columns = [c.split()[0] for c in CORPUS_SCHEMA.split(", ")]
-    rows.select(*columns).write.mode("overwrite" if reset else "append").parquet(path)
+    rows = rows.select(*[c.split()[0] for c in CORPUS_SCHEMA.split(", ")])
+    if reset:
+        replace_table(rows, path)
+    else:
+        rows.write.mode("append").parquet(path)
 
 
 def append_history(history: DataFrame, path: str) -> None:
