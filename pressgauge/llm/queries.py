@@ -5,13 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pressgauge.llm import bpe, langid, mixing, quality
+from pressgauge.llm import bagminhash, bpe, hnsw, langid, lm, mixing, quality, substrings
 from pressgauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.scores(table(spark, folder, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = F.sha2("kept", 256).alias("kept_sha256")
+    return substrings.cut(table(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", kept)
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select(
@@ -19,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return hnsw.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify_held_out(table(spark, folder, "documents"))
 
@@ -31,6 +45,10 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan_mix(table(spark, folder, "documents")).select(
         "doc_id", "size", "source", "source_size", "target", "taken"
@@ -39,7 +57,16 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op5_quality_rules, op7_language_id, op8_bpe, op10_mixing)
+    for f in (
+        op2_lm_scoring,
+        op4_substring_dedup,
+        op5_quality_rules,
+        op6_nearest_neighbours,
+        op7_language_id,
+        op8_bpe,
+        op9_minhash,
+        op10_mixing,
+    )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_lm_scoring": lm.oracle()}
