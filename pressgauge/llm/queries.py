@@ -7,16 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import bagminhash, bpe, hnsw, langid, lm, mixing, quality, substrings
+from pressgauge.llm import bagminhash, bpe, hnsw, html, langid, lm, mixing, pii, quality, substrings
 from pressgauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
+
+
 def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm.scores(table(spark, folder, "documents"))
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.scan(table(spark, folder, "documents"))
+    counts = [f"n_{kind}" for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = F.sha2("kept", 256).alias("kept_sha256")
     return substrings.cut(table(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", kept)
@@ -58,7 +68,9 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_html_extraction,
         op2_lm_scoring,
+        op3_pii,
         op4_substring_dedup,
         op5_quality_rules,
         op6_nearest_neighbours,
