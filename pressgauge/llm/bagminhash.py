@@ -254,10 +254,11 @@ def link(sketches: DataFrame, docs: DataFrame, settings: Settings = Settings())
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, content, class_id and class_size (rows of the class), one row for each row."""
+    """doc_id, content (digest of the text), component (the class's smallest content), class_id and class_size (its
+    rows), one row for each row."""
     sketches = cut_lineage(sketch(docs, settings))
     labels = link(sketches, docs, settings).select(F.col("node").alias("content"), "component")
     classes = sketches.select("doc_id", "content").join(labels, "content", "left")
     classes = classes.withColumn("component", F.coalesce("component", "content"))
     named = classes.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return classes.join(named, "component").select("doc_id", "content", "class_id", "class_size")
+    return classes.join(named, "component").select("doc_id", "content", "component", "class_id", "class_size")

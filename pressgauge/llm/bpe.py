@@ -113,8 +113,8 @@ class Codec:
         return b"".join(map(self._bytes.__getitem__, struct.unpack(f"<{len(packed) // 4}I", packed)))
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, decoded: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers) and, unless left out,
+def encode_decode(docs: DataFrame, path: str, pattern: str, decoded: bool = True, *more: str) -> DataFrame:
+    """doc_id, `more`, n_tokens, ids (binary: little-endian unsigned 32-bit integers) and, unless left out,
     decoded (binary: the bytes that the ids stand for). One row for each row; nothing is shuffled.
 
     The rank file is read on the driver and broadcast; its size is the vocabulary's, whatever the data.
@@ -123,8 +123,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, decoded: bool = True
 
     def work(rows: pa.RecordBatch, codec: Codec) -> dict:
         ids = [codec.encode(text) for text in strings(rows["text"])]
-        found = {
-            "doc_id": rows["doc_id"],
+        found = {k: rows[k] for k in keys} | {
             "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
             "ids": pa.array(ids, pa.binary()),
         }
@@ -132,11 +131,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, decoded: bool = True
             found["decoded"] = pa.array([codec.decode(x) for x in ids], pa.binary())
         return found
 
-    rows = doc_text(docs)
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids binary"
-    return map_arrow(
-        rows, schema + ", decoded binary" * decoded, work, setup=lambda: Codec(ranks.value, pattern)
-    )
+    keys = ["doc_id", *more]
+    rows = doc_text(docs, *more)
+    schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", n_tokens bigint, ids binary"
+    return map_arrow(rows, schema + ", decoded binary" * decoded, work, setup=lambda: Codec(ranks.value, pattern))
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

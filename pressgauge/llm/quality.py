@@ -117,8 +117,11 @@ def _measure(text: str) -> tuple[int, ...]:
 
 
 def measure(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, `more` and the counts of each whole text, one row for each row. No shuffle."""
-    rows = doc_text(docs, *more)
+    """doc_id, `more` and the counts of each whole text, one row for each row. No shuffle.
+
+    `more` may name the text, which then comes along, empty where it was null.
+    """
+    rows = doc_text(docs, *[c for c in more if c != "text"])
     keys = ["doc_id", *more]
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
