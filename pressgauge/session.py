@@ -25,18 +25,27 @@ def build_session(master: str | None = None, app: str = "pressgauge", **conf: st
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's shared checkpoint folder and read it back.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it.
 
-    The folder is whatever the session names; only a session that names none
-    (a local test run) gets a temporary one.
+    A session on one machine that names none (a test) gets a temporary one. On a cluster that would lose
+    what other machines write, so there it is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="pressgauge-ckpt-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the cluster's shared checkpoint folder and read it back."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pressgauge-ckpt-")
-        )
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
