@@ -58,16 +58,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample(train: DataFrame, settings: Settings) -> DataFrame:
-    known = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    """lang and text of the sampled rows. Ids are ranked, and at most sample_rows for each language broadcast."""
+    known = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    known = known.select("doc_id", "lang", "text")
     common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    # only ids and hashes are ranked; the rank's bound is applied before rows leave their task
-    ranked = (
-        known.select("doc_id", "lang", "text")
-        .withColumn("__n", F.row_number().over(order))
-        .where(F.col("__n") <= settings.sample_rows)
-    )
-    return ranked.join(F.broadcast(common.select("lang")), "lang").select("lang", "text")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = known.select("doc_id", "lang").withColumn("__n", F.row_number().over(order))
+    ids = ids.where(F.col("__n") <= settings.sample_rows).join(F.broadcast(common.select("lang")), "lang")
+    return known.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
 
 def _pieces(rows: DataFrame, longest: int) -> DataFrame:
@@ -122,49 +120,55 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
 class Scorer:
     """Answers for single texts; made once in a task."""
 
-    MOST = 100_000  # words whose scores a task keeps
+    MOST = 300_000  # words whose scores a task keeps; it starts anew beyond them
 
     def __init__(self, model: Model):
         self._model = model
-        self._rows: dict[str, np.ndarray | None] = {}
-
-    def _word(self, word: str) -> np.ndarray | None:
-        known = self._model.words.get(word)
-        if known is not None:
-            return known
-        marked, at, found = f" {word} ", 0, []
-        while at < len(marked):
-            for n in range(min(self._model.longest, len(marked) - at), 0, -1):
-                scores = self._model.grams.get(marked[at : at + n])
-                if scores is not None:
-                    found.append(scores / n)
-                    at += n - 1
+        self._grams = {gram: k for k, gram in enumerate(model.grams)}
+        rows = [scores / len(gram) for gram, scores in model.grams.items()]
+        self._gram_rows = np.array(rows).reshape(-1, len(model.languages))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Row 0 stands for words without any score."""
+        self._place: dict[str, int] = {word: k for k, word in enumerate(self._model.words, 1)}
+        known = np.array(list(self._model.words.values())).reshape(-1, len(self._model.languages))
+        self._rows = np.zeros((len(known) + 1024, len(self._model.languages)))
+        self._rows[1 : len(known) + 1] = known
+        self._used = len(known) + 1
+
+    def _learn(self, word: str) -> int:
+        """The place of a word seen for the first time, by its longest known n-grams."""
+        marked, at, found, grams = f" {word} ", 0, [], self._grams
+        end, longest = len(marked), self._model.longest
+        while at < end:
+            for stop in range(min(at + longest, end), at, -1):
+                k = grams.get(marked[at:stop])
+                if k is not None:
+                    found.append(k)
+                    at = stop - 1
                     break
             at += 1
-        return np.mean(found, axis=0) if found else None
+        if not found:
+            self._place[word] = 0
+            return 0
+        if self._used == len(self._rows):
+            self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
+        self._rows[self._used] = self._gram_rows[found].sum(axis=0) / len(found)
+        self._place[word] = self._used
+        self._used += 1
+        return self._place[word]
 
     def predict(self, text: str) -> tuple[str, float]:
         """The language, and its share when the mean scores are taken as log odds."""
         words = words_of(text)
         if not words or not self._model.languages:
             return UNKNOWN, 0.0
-        if len(self._rows) > self.MOST:
-            self._rows.clear()
-        total, n, rows = np.zeros(len(self._model.languages)), 0, self._rows
-        times: dict[str, int] = {}
-        for word in words:
-            times[word] = times.get(word, 0) + 1
-        for word, k in times.items():
-            if word in rows:
-                scores = rows[word]
-            else:
-                scores = self._word(word)
-                if len(word) <= 40:
-                    rows[word] = scores
-            if scores is not None:
-                total += k * scores
-                n += k
-        mean = total / max(n, 1)
+        if len(self._place) > len(self._model.words) + self.MOST:
+            self._forget()
+        place, learn = self._place, self._learn
+        at = [place[word] if word in place else learn(word) for word in words]
+        mean = self._rows[at].sum(axis=0) / max(len(at) - at.count(0), 1)
         best = int(np.argmax(mean))
         return self._model.languages[best], float(1 / np.exp(mean - mean[best]).sum())
 
