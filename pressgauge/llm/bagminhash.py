@@ -11,11 +11,12 @@ registers only accept arrivals before their present ones, a process is followed
 latest of its text's registers; long texts stop after an arrival or two.
 
 Signatures are cut into bands; texts that share a band are candidates, verified by the exact overlap
-of their multisets. Equal texts are one node from the start. A bucket's texts are first compared with
-one of them, the bucket's pivot; then, in buckets that still hold several components, a growing part
-of the members is compared with those of other components, until every pair of members is in one
-component, compared, or excluded by the triangle inequality of the distance (1 - similarity) to the
-pivot. So the components are those of all verified candidate pairs, without listing all pairs.
+of their multisets. Equal texts are one node from the start. A bucket's texts are compared with one of
+them, the bucket's pivot, so that a bucket of n texts costs n comparisons, not n^2; pairs that are in one
+component already need none. A bucket that still holds several components is split by a second band, then
+a third: texts that share those as well are compared with the finer bucket's own pivot. A pair at 0.8
+shares 8 of the 25 bands on average, so it meets in many buckets with many pivots. Components are those
+of all verified pairs.
 
 A text of one to four words has one shingle, all its words. Texts without words are linked to their
 exact copies only. Null text is the empty text. Repeated rows get the same class. A class is named
@@ -43,7 +44,8 @@ class Settings:
     similarity: float = 0.8
     bands: int = 25  # a pair at 0.8 shares no band with probability 0.00005
     rows: int = 5
-    probes: int = 2  # members compared in the first further round, about; four times as many in each next
+    depth: int = 2  # times that a bucket of several components is split by a further band
+    ahead: int = 6  # bands that each split tries
 
 
 def signatures(text: np.ndarray, shingle: np.ndarray, times: np.ndarray, n_texts: int, registers: int) -> np.ndarray:
@@ -226,30 +228,23 @@ def link(sketches: DataFrame, docs: DataFrame, settings: Settings = Settings())
     rest = component_of(component_of(pairs, "pivot", "p"), "member", "c").where("p <> c")
     compare(rest.select(*_pair("pivot", "member")))
 
-    wide, probes = members.where("n > 2"), settings.probes
-    while True:
-        labeled = component_of(wide, "member", "c")
+    every = distinct.select(F.col("content").alias("member"), "keys")
+    finer = members.where("n > 2").select("key", "member")
+    for depth in range(settings.depth):
+        # buckets of several components, split by the bands that follow the one they share
+        labeled = component_of(finer, "member", "c")
         mixed = labeled.groupBy("key").agg(F.min("c").alias("__low"), F.max("c").alias("__high")).where("__low <> __high")
-        wide = cut_lineage(labeled.join(mixed.select("key"), "key"))
-        largest = wide.agg(F.max("n")).first()[0]
-        if largest is None:
-            break
-        known = checked.select(F.col("a").alias("pivot"), F.col("b").alias("member"), "similarity")
-        known = known.unionAll(checked.select(F.col("b").alias("pivot"), F.col("a").alias("member"), "similarity"))
-        placed = wide.join(known, ["pivot", "member"], "left").select(
-            "key", "member", "c", "n", F.when(F.col("member") == F.col("pivot"), 1.0).otherwise(F.col("similarity")).alias("s")
-        )
-        draw = F.shiftrightunsigned(F.xxhash64("member"), 11) / F.lit(float(2**53))
-        probe = placed.where(draw < F.lit(float(probes)) / F.col("n")).select(
-            "key", F.col("member").alias("probe"), F.col("c").alias("__c"), F.col("s").alias("__s")
-        )
-        near = F.coalesce(F.abs(F.col("s") - F.col("__s")) <= 1 - settings.similarity + 1e-9, F.lit(True))
-        candidates = placed.join(probe, "key").where((F.col("c") != F.col("__c")) & near)
-        compare(candidates.select(*_pair("member", "probe")))
-        wide = wide.drop("c")
-        if probes >= largest:
-            break
-        probes *= 4
+        rest = labeled.join(mixed.select("key"), "key").select("key", "member").join(every, "member")
+        steps = F.sequence(F.lit(1 + depth * settings.ahead), F.lit((depth + 1) * settings.ahead))
+        at = lambda d: F.pmod(F.col("key") + d, F.lit(settings.bands)).cast("int")
+        keys = F.transform(steps, lambda d: F.xxhash64("key", F.get("keys", at(d)), d))
+        rest = cut_lineage(rest.select("member", F.explode(keys).alias("key")))
+        # another pivot than before, else the same pairs would be found
+        pivots = rest.groupBy("key").agg((F.max if depth % 2 == 0 else F.min)("member").alias("pivot"), F.count("*").alias("n"))
+        rest = rest.join(pivots.where("n > 1"), "key")
+        pairs = component_of(component_of(rest.where("member <> pivot"), "pivot", "p"), "member", "c").where("p <> c")
+        compare(pairs.select(*_pair("pivot", "member")))
+        finer = rest.where("n > 2").select("key", "member")
     return found
 
 
