@@ -71,7 +71,12 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
 
 
 def map_arrow(
-    df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict], text: str = "text", setup: Callable | None = None
+    df: DataFrame,
+    schema: str,
+    work: Callable[[pa.RecordBatch], dict],
+    text: str = "text",
+    setup: Callable | None = None,
+    most: int = PIECE_BYTES,
 ) -> DataFrame:
     """`work` over slices of the rows in Arrow form; it answers with columns by name.
 
@@ -81,7 +86,7 @@ def map_arrow(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = (setup(),) if setup else ()
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, most):
                 found = work(piece, *state)
                 if found is not None:
                     yield pa.RecordBatch.from_pydict(found)

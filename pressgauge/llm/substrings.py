@@ -6,8 +6,9 @@ Every string of `length` bytes that starts twice or more in the corpus marks all
    on the string alone. Neighbouring starts share an anchor, so a text falls into runs of starts, about
    one run for 76 bytes. Anchors are counted over the corpus; a fixed-size bitmap of those found twice
    or more goes to all tasks, and other runs are left out. The bitmap may let more pass, never less:
-   results don't depend on its size.
-2. A run goes, as the bytes that its starts cover, to the shard of its anchor, equal ones
+   results don't depend on its size. A second bitmap tells which of them come in several forms, their runs
+   being different strings; a run of one form is repeated as a whole if its digest is counted twice.
+2. A run of several forms goes, as the bytes that its starts cover, to the shard of its anchor, equal ones
    counted and sent once. All occurrences of a repeated string meet in one shard. A frequent anchor is
    split: starts at near places before the anchor share more than the anchor, and are keyed by that.
    Anchors frequent enough for this are few (each is a certain share of all), so their list is bounded.
@@ -16,7 +17,7 @@ Every string of `length` bytes that starts twice or more in the corpus marks all
    prefix is 0, 1, 2, ... bytes long. An interval that finds no new place is not followed. The search stops
    at `length` bytes; places not found by then have common prefixes at least that long, so the suffixes
    between two found places share their first `length` bytes. A string that is
-   alone with its anchor and counted twice needs no such search: all of it is repeated.
+   alone with its anchor and counted twice needs no search.
 4. Marked ranges return to the texts by content, are merged and cut out.
 
 Null text is the empty text; texts shorter than `length` bytes keep all of theirs, and bytes need not be
@@ -39,6 +40,8 @@ from pressgauge.llm import hashing
 from pressgauge.llm.common import cut_lineage, map_arrow, pieces, utf8_buffer
 
 PIECE = 1_000_000  # bytes of text that are hashed at once
+BATCH = 16_000_000  # bytes of text whose equal strings are merged before they are sent
+TOGETHER = 300_000  # bytes of strings that are searched together: what a processor's cache holds works best
 BITMAP = 32_768  # bits of one row of Spark's bitmap functions, a fixed value
 
 
@@ -53,15 +56,17 @@ class Settings:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(first start, last start, anchor's hash) of each run of starts, and the hash of every gram.
+    """(first start, last start, anchor's hash, hash of its bytes) of each run of starts, and the hash of every gram.
 
     A run is a row of starts of strings with the same anchor, all in one text.
     """
     n, wide = len(data), length - gram + 1
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), none, none, none
     sums = hashing.running(data)
-    grams = hashing.mix((sums[gram:] - sums[:-gram]) * hashing.powers(n - gram + 1, hashing.inverse()))
+    down = hashing.powers(n, hashing.inverse())
+    grams = hashing.mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
     # the smallest of `wide` neighbours: the smaller of a block's tail and the next block's head
     filled = np.append(grams, np.full(-len(grams) % wide, np.iinfo(np.uint64).max, np.uint64)).reshape(-1, wide)
     tail = np.minimum.accumulate(filled[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -75,13 +80,15 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple
     np.add.at(change, np.maximum(offsets[:-1], offsets[1:] - length + 1), -1)
     start = np.flatnonzero(np.cumsum(change)[:starts] > 0)
     if not len(start):
-        return start, start, np.zeros(0, np.uint64), grams
+        return start, start, np.zeros(0, np.uint64), np.zeros(0, np.uint64), grams
     text = np.repeat(np.arange(len(lengths)), np.maximum(lengths - length + 1, 0))
     value = least[start]
     new = np.ones(len(start), bool)
     new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
     begins = np.flatnonzero(new)
-    return start[begins], start[np.append(begins[1:], len(start)) - 1], value[begins], grams
+    first, last = start[begins], start[np.append(begins[1:], len(start)) - 1]
+    form = hashing.mix((sums[last + length] - sums[first]) * down[first]) ^ (last - first).astype(np.uint64)
+    return first, last, value[begins], form, grams
 
 
 def split(first: int, last: int, value: int, grams: np.ndarray, depth: int, settings: Settings) -> list[tuple[int, int, int, int, int]]:
@@ -105,35 +112,40 @@ def split(first: int, last: int, value: int, grams: np.ndarray, depth: int, sett
 
 
 def anchors(docs: DataFrame, settings: Settings) -> DataFrame:
-    """value and times: the anchors of each slice of rows, once for a run, twice for one that holds it again."""
-
+    """value, form, times and again: the anchors of each slice's runs with the hash of the run's bytes, how often
+    they occur, and whether such a run holds its anchor twice and so may repeat itself."""
     wide = settings.length - settings.gram + 1
 
+    def measured(piece: pa.RecordBatch) -> np.ndarray:
+        first, last, value, form, grams = runs(*utf8_buffer(piece["text"]), settings.length, settings.gram)
+        again = np.zeros(len(first), np.uint64)
+        if len(first):
+            span = last - first + wide
+            at = np.cumsum(span) - span
+            place = np.arange(span.sum(), dtype=np.int32) + np.repeat((first - at).astype(np.int32), span)
+            again = (np.add.reduceat((grams[place] == np.repeat(value, span)).astype(np.int32), at) > 1).astype(np.uint64)
+        return np.stack([value, form, again])
+
     def work(batch: pa.RecordBatch) -> dict:
-        values, times = [], []
-        for piece in pieces(batch, "text", PIECE):
-            first, last, value, grams = runs(*utf8_buffer(piece["text"]), settings.length, settings.gram)
-            values.append(value)
-            if len(first):
-                # a run that holds its anchor twice may repeat itself
-                span = last - first + wide
-                at = np.cumsum(span) - span
-                place = np.arange(span.sum()) + np.repeat(first - at, span)
-                times.append(np.minimum(np.add.reduceat((grams[place] == np.repeat(value, span)).astype(np.int64), at), 2))
-        value, which = np.unique(np.concatenate(values), return_inverse=True)
-        times = np.bincount(which, np.concatenate(times) if times else None, len(value)).astype(np.int64)
-        return {"value": pa.array(value.view(np.int64)), "times": pa.array(times)}
-
-    return map_arrow(docs.select("text"), "value bigint, times bigint", work)
-
-
-def screen(counts: DataFrame, settings: Settings) -> np.ndarray:
-    """A bitmap of fixed size with the bit of every anchor found twice or more."""
+        found = np.concatenate([measured(p) for p in pieces(batch, "text", PIECE)], axis=1)
+        order = np.lexsort((found[1], found[0]))
+        value, form, again = found[:, order]
+        new = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (form[1:] != form[:-1]))[: len(value)])
+        return {
+            "value": pa.array(value[new].view(np.int64)),
+            "form": pa.array(form[new].view(np.int64)),
+            "times": pa.array(np.diff(np.append(new, len(value)))),
+            "again": pa.array(again[new] > 0),
+        }
+
+    return map_arrow(docs.select("text"), "value bigint, form bigint, times bigint, again boolean", work)
+
+
+def screen(values: DataFrame, settings: Settings) -> np.ndarray:
+    """A bitmap of fixed size with the bit of every value."""
     bit = F.shiftrightunsigned("value", 64 - int(math.log2(settings.screen_bits)))
-    rows = (
-        counts.where("times > 1")
-        .groupBy(F.floor(bit / BITMAP).alias("row"))
-        .agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(BITMAP))).alias("bits"))
+    rows = values.groupBy(F.floor(bit / BITMAP).alias("row")).agg(
+        F.bitmap_construct_agg(F.pmod(bit, F.lit(BITMAP))).alias("bits")
     )
     bitmap = np.zeros((settings.screen_bits // BITMAP, BITMAP // 8), np.uint8)
     for row in rows.toLocalIterator():
@@ -152,28 +164,33 @@ def frequent(counts: DataFrame, settings: Settings) -> dict[int, int]:
     }
 
 
-STRINGS = "key bigint, digest binary, bytes binary, times bigint, places array<struct<content:string,start:int>>"
+STRINGS = "key bigint, digest binary, bytes binary, size int, times bigint, places array<struct<content:string,start:int>>"
 
 
-def strings_of(docs: DataFrame, bitmap: np.ndarray, often: dict[int, int], settings: Settings) -> DataFrame:
-    """The strings that may be repeated, each once for a slice of rows: its key, digest, bytes, number, and
-    where it starts in which contents."""
+def strings_of(
+    docs: DataFrame, repeated: np.ndarray, formed: np.ndarray, often: dict[int, int], settings: Settings
+) -> DataFrame:
+    """The strings that may be repeated, each once for a batch of rows: its key, digest, size, number, where it
+    starts in which contents, and its bytes if its anchor may come in several forms."""
     context = docs.sparkSession.sparkContext
-    shared, split_at = context.broadcast(bitmap), context.broadcast(often)
+    shared, several, split_at = (context.broadcast(x) for x in (repeated, formed, often))
     shift = np.uint64(64 - int(math.log2(settings.screen_bits)))
 
-    def work(batch: pa.RecordBatch) -> dict:
-        data, offsets = utf8_buffer(batch["text"])
-        contents = batch["content"].to_pylist()
-        first, last, value, grams = runs(data, offsets, settings.length, settings.gram)
+    def collect(piece: pa.RecordBatch, found: dict) -> None:
+        data, offsets = utf8_buffer(piece["text"])
+        contents = piece["content"].to_pylist()
+        first, last, value, _, grams = runs(data, offsets, settings.length, settings.gram)
         bit = (value >> shift).astype(np.int64)
-        seen = (shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+        at, in_byte = bit >> 3, (bit & 7).astype(np.uint8)
+        seen = (shared.value[at] >> in_byte) & 1 > 0
+        forms = ((several.value[at] >> in_byte) & 1 > 0)[seen]
         first, last, value = first[seen], last[seen], value[seen]
         text = np.searchsorted(offsets, first, "right") - 1
-        whole, found = data.tobytes(), {}
-        signed = value.view(np.int64)
-        for a, b, t, v, u in zip(first.tolist(), last.tolist(), text.tolist(), signed.tolist(), value.tolist(), strict=True):
-            depth = split_at.value.get(v)
+        begins, whole, signed = offsets.tolist(), data.tobytes(), value.view(np.int64)
+        for a, b, t, v, u, many in zip(
+            *(x.tolist() for x in (first, last, text, signed, value, forms)), strict=True
+        ):
+            depth = split_at.value.get(v) if many else None
             parts = [(a, b, 0, 0, 0)] if depth is None else split(a, b, u, grams, depth, settings)
             for begin, end, part, low, high in parts:
                 key = v
@@ -181,25 +198,32 @@ def strings_of(docs: DataFrame, bitmap: np.ndarray, often: dict[int, int], setti
                     core = hashlib.md5(whole[low:high] + bytes([part]) + v.to_bytes(8, "big", signed=True)).digest()
                     key = int.from_bytes(core[:8], "big", signed=True)
                 string = whole[begin : end + settings.length]
-                entry = found.setdefault((key, string), [0, set()])
-                entry[0] += 1
-                entry[1].add((contents[t], begin - int(offsets[t])))
+                name = (key, hashlib.md5(string).digest())
+                entry = found.get(name)
+                if entry is None:
+                    entry = found[name] = [string if many else None, len(string), 0, set()]
+                entry[2] += 1
+                entry[3].add((contents[t], begin - begins[t]))
+
+    def work(batch: pa.RecordBatch) -> dict:
+        found: dict[tuple[int, bytes], list] = {}
+        for piece in pieces(batch, "text", PIECE):
+            collect(piece, found)
+        held = list(found.values())
         return {
             "key": pa.array([k for k, _ in found], pa.int64()),
-            "digest": pa.array([hashlib.md5(s + k.to_bytes(8, "big", signed=True)).digest() for k, s in found], pa.binary()),
-            "bytes": pa.array([s for _, s in found], pa.binary()),
-            "times": pa.array([n for n, _ in found.values()], pa.int64()),
+            "digest": pa.array([d for _, d in found], pa.binary()),
+            "bytes": pa.array([e[0] for e in held], pa.binary()),
+            "size": pa.array([e[1] for e in held], pa.int32()),
+            "times": pa.array([e[2] for e in held], pa.int64()),
             "places": pa.array(
-                [[{"content": c, "start": s} for c, s in sorted(p)] for _, p in found.values()],
+                [[{"content": c, "start": s} for c, s in sorted(e[3])] for e in held],
                 pa.list_(pa.struct([("content", pa.string()), ("start", pa.int32())])),
             ),
         }
 
-    def small(batch: pa.RecordBatch) -> dict:
-        found = [work(p) for p in pieces(batch, "text", PIECE)]
-        return {c: pa.concat_arrays([f[c] for f in found]) for c in found[0]}
-
-    return map_arrow(docs, STRINGS, small)
+    # batches of more rows merge more equal strings before anything is sent; their size is bounded here
+    return map_arrow(docs, STRINGS, work, most=BATCH)
 
 
 def suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -212,8 +236,10 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(width):
         key = key << 9 | np.where(left >= k, padded[k : k + n], 0)
-    order = np.argsort(key, kind="stable")
-    firsts = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+    # the place breaks no tie yet, so the fastest sort will do
+    order = np.argsort(key)
+    key = key[order]
+    firsts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     # a suffix's rank is the first place of the group of those that are equal to it so far
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(firsts, np.diff(np.append(firsts, n)))
@@ -225,15 +251,15 @@ def suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
         # a group has ended as a whole, or not at all
         open_ = open_[same & (left[open_] >= width)]
         if not len(open_):
-            return np.argsort(rank, kind="stable")
-        later = rank[open_ + width]
-        again = np.lexsort((later, rank[open_]))
-        open_, later = open_[again], later[again]
+            return np.argsort(rank * n + np.arange(n))
+        both = rank[open_] * n + rank[open_ + width]
+        again = np.argsort(both)
+        open_, both = open_[again], both[again]
         mine = rank[open_]
         starts = np.append(True, mine[1:] != mine[:-1])
         places = np.arange(len(open_))
         inside = places - places[starts][np.cumsum(starts) - 1]
-        changes = starts | np.append(True, later[1:] != later[:-1])
+        changes = np.append(True, both[1:] != both[:-1])
         rank[open_] = mine + inside[changes][np.cumsum(changes) - 1]
         width *= 2
 
@@ -245,36 +271,45 @@ def common_prefix_groups(symbols: np.ndarray, order: np.ndarray, length: int) ->
     that precedes them. An end symbol opens the search but does not extend: strings do not run on.
     """
     n = len(symbols)
-    before = symbols[order - 1]
+    before = symbols[order - 1].astype(np.uint16)
     counts = np.bincount(symbols, minlength=257)
     first_of = np.append(0, np.cumsum(counts))
     # the place of the suffix one symbol longer: the n-th c of the transform is the n-th suffix with c
-    longer = np.empty(n, np.int64)
-    longer[np.argsort(before, kind="stable")] = np.arange(n)
+    longer = np.empty(n, np.int32)
+    longer[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
+    longer[before == 0] = -1
     block = np.zeros(n + 1, bool)
     block[first_of] = True
     found = np.zeros(n + 1, bool)
     used = np.flatnonzero(counts)
-    low, high = first_of[used], first_of[used + 1]
+    low, high = first_of[used].astype(np.int32), first_of[used + 1].astype(np.int32)
     found[low], found[high] = True, True
-    owner = np.full(n + 1, -1, np.int64)
+    owner = np.full(n + 2, -1, np.int64)  # the last place stands before the first
     stamp = 0
     for _ in range(length - 1):
         if not len(low):
             break
         size = high - low
-        name = np.repeat(np.arange(stamp, stamp + len(low)), size)
-        stamp += len(low)
-        place = np.arange(len(name)) + np.repeat(low - (np.cumsum(size) - size), size)
-        extends = before[place] > 0
-        name, place = name[extends], longer[place[extends]]
-        # places that came from one interval by one symbol lie side by side
-        owner[place] = name
-        opens = (owner[place - 1] != name) | block[place] | (place == 0)
-        closes = (owner[place + 1] != name) | block[place + 1]
-        low, high = np.sort(place[opens]), np.sort(place[closes]) + 1
-        new = ~found[low] | ~found[high]
-        low, high = low[new], high[new]
+        if int(size.sum()) == len(low):
+            # intervals of one place each: their one extension is one place
+            low = longer[low]
+            low = low[low >= 0]
+            low = low[~(found[low] & found[low + 1])]
+            high = low + 1
+        else:
+            name = np.repeat(np.arange(stamp, stamp + len(low)), size)
+            stamp += len(low)
+            ends = np.cumsum(size)
+            place = longer[np.arange(len(name)) + np.repeat(low - (ends - size), size)]
+            extends = place >= 0
+            name, place = name[extends], place[extends]
+            # places that came from one interval by one symbol lie side by side
+            owner[place] = name
+            opens = (owner[place - 1] != name) | block[place]
+            closes = (owner[place + 1] != name) | block[place + 1]
+            low, high = np.sort(place[opens]), np.sort(place[closes]) + 1
+            new = ~(found[low] & found[high])
+            low, high = low[new], high[new]
         found[low], found[high] = True, True
     return found[:n]
 
@@ -308,31 +343,52 @@ def _covered(starts: np.ndarray, length: int) -> list[dict]:
 
 
 def judge_shard(strings: pd.DataFrame, length: int) -> pd.DataFrame:
-    """digest and the ranges of each string that repeated strings cover."""
-    alone = ~strings["key"].duplicated(keep=False) & (strings["times"] > 1)
-    single = strings[alone]
-    digests = list(single["digest"])
-    ranges = [[{"first": 0, "end": len(x)}] for x in single["bytes"]]
-    several = strings[~alone]
-    if len(several):
-        found = repeated_starts(list(several["bytes"]), several["times"].to_numpy(float), length)
-        for digest, starts in zip(several["digest"], found, strict=True):
+    """key, digest and the ranges of each string that repeated strings cover."""
+    strings = strings.sort_values("key", kind="stable")
+    key = strings["key"].to_numpy()
+    alone = ~strings["key"].duplicated(keep=False).to_numpy() & (strings["times"] > 1).to_numpy()
+    names, texts, times = (strings[c].to_numpy() for c in ("digest", "bytes", "times"))
+    keys, digests, ranges = list(key[alone]), list(names[alone]), [[{"first": 0, "end": len(x)}] for x in texts[alone]]
+    rest = np.flatnonzero(~alone)
+    at = 0
+    while at < len(rest):
+        end, size = at, 0
+        while end < len(rest) and (size < TOGETHER or key[rest[end]] == key[rest[end - 1]]):
+            size += len(texts[rest[end]])
+            end += 1
+        part = rest[at:end]
+        for k, name, starts in zip(key[part], names[part], repeated_starts(list(texts[part]), times[part].astype(float), length), strict=True):
             if len(starts):
-                digests.append(digest)
+                keys.append(k)
+                digests.append(name)
                 ranges.append(_covered(starts, length))
-    return pd.DataFrame({"digest": digests, "ranges": ranges})
+        at = end
+    return pd.DataFrame({"key": np.array(keys, np.int64), "digest": digests, "ranges": ranges})
 
 
 def removed_ranges(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """content (MD5 of a text) and ranges (first, end: bytes that repeated strings cover, may overlap)."""
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     texts = texts.withColumn("content", F.md5("text"))
-    counts = cut_lineage(anchors(texts, settings).groupBy("value").agg(F.sum("times").alias("times")).where("times > 1"))
-    strings = cut_lineage(strings_of(texts, screen(counts, settings), frequent(counts, settings), settings))
-    size = strings.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    counts = anchors(texts, settings).groupBy("value").agg(
+        F.sum("times").alias("times"),
+        F.max("again").alias("again"),
+        ((F.min("form") != F.max("form")) | F.max("again")).alias("several"),
+    )
+    counts = cut_lineage(counts.where("times > 1 or again"))
+    repeated, formed = screen(counts, settings), screen(counts.where("several"), settings)
+    strings = cut_lineage(strings_of(texts, repeated, formed, frequent(counts, settings), settings))
+
+    # one form only: it is repeated as a whole, or not at all
+    whole = strings.where("bytes is null").groupBy("key", "digest").agg(F.sum("times").alias("times"), F.first("size").alias("size"))
+    whole = whole.where("times > 1").select(
+        "key", "digest", F.array(F.struct(F.lit(0).alias("first"), F.col("size").alias("end"))).alias("ranges")
+    )
+    searched = strings.where("bytes is not null")
+    size = searched.agg(F.sum("size")).first()[0] or 0
     shards = max(1, math.ceil(size / settings.shard_bytes))
     # equal strings are merged inside the tasks first, so that a frequent one does not travel many times
-    distinct = strings.groupBy("key", "digest").agg(F.first("bytes").alias("bytes"), F.sum("times").alias("times"))
+    distinct = searched.groupBy("key", "digest").agg(F.first("bytes").alias("bytes"), F.sum("times").alias("times"))
     length = settings.length
     judged = (
         distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
@@ -340,11 +396,12 @@ def removed_ranges(docs: DataFrame, settings: Settings = Settings()) -> DataFram
         .groupBy("shard")
         .applyInPandas(
             lambda found: judge_shard(found, length),
-            "digest binary, ranges array<struct<first:int,end:int>>",
+            "key bigint, digest binary, ranges array<struct<first:int,end:int>>",
         )
     )
-    judged = cut_lineage(judged)
-    placed = strings.select("digest", "places").join(judged, "digest").select(F.explode("places").alias("place"), "ranges")
+    judged = cut_lineage(judged.unionAll(whole))
+    placed = strings.select("key", "digest", "places").join(judged, ["key", "digest"])
+    placed = placed.select(F.explode("places").alias("place"), "ranges")
     return (
         placed.select("place.content", "place.start", F.explode("ranges").alias("r"))
         .select("content", (F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.end")).alias("end"))
