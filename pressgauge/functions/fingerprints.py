@@ -79,8 +79,11 @@ NEEDED_WORDS = {
 
 
 def _plain(text: Column) -> Column:
-    """Lower case, plus the letters that only case-insensitive matching equates."""
-    return F.translate(F.lower(text), "ſıİ", "sii")
+    """Lower case, plus the letters that only case-insensitive matching equates.
+
+    These come first: the lower case of İ is two characters, which no word would meet.
+    """
+    return F.lower(F.translate(text, "ſıİ", "sii"))
 
 
 def _may_match(plain: Column, rule: str) -> Column:

@@ -124,8 +124,8 @@ def top_up(corpus: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def load_report(corpus: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Outcome counts per file and in total (file null), one aggregate over the rows
-    plus the few that went in; no row-level join is needed to count."""
+    """Outcome counts per file (by number: names may repeat) and in total (file null), one
+    aggregate over the rows plus the few that went in; no row-level join is needed to count."""
     seen = incoming.select("file_no", "file", F.when(has_key(F.col("key")), "seen").otherwise("unusable").alias("what"))
     files = incoming.groupBy("file_no").agg(F.min("file").alias("file"))
     gone_in = _insertions(corpus, incoming).join(files, "file_no").select("file_no", "file", F.col("outcome").alias("what"))
@@ -136,8 +136,9 @@ def load_report(corpus: DataFrame, incoming: DataFrame) -> DataFrame:
     inserted = tally("added", "better_evidence")
     return (
         seen.unionByName(gone_in)
-        .rollup("file")
+        .rollup("file_no")
         .agg(
+            F.when(F.grouping_id() == 0, F.min("file")).alias("file"),
             tally("seen", "unusable").alias("rows_read"),
             inserted.alias("inserted"),
             tally("added").alias("added"),
@@ -145,6 +146,7 @@ def load_report(corpus: DataFrame, incoming: DataFrame) -> DataFrame:
             (tally("seen") - inserted).alias("already_had"),
             tally("unusable").alias("unusable"),
         )
+        .drop("file_no")
     )
 
 

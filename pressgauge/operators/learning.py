@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import pandas as pd
@@ -30,12 +31,12 @@ from pressgauge.operators.corpus import label_binary
 from pressgauge.operators.metrics import sorting_score
 from pressgauge.operators.ordered import exact_quantiles
 from pressgauge.operators.sampling import SPLIT_SEED, first_per_group, stratified_split
+from pressgauge.operators.selection import drop_leaks
 from pressgauge.operators.verdict import Scorer
 from pressgauge.session import cut_lineage
 
 MAX_FEATURES, MAX_ITERATIONS = 50_000, 1000  # fixed values
-TOLERANCE = 1e-3  # relative change of the loss at which a fit stops
-ROWS_PER_TASK = 2_000
+TOLERANCE = 1e-6  # relative change of the loss at which a fit stops
 PARALLEL_RUNS = 4
 MODEL_TEXT = "model_text"
 NOTHING_BELOW, SMALL_BELOW = 0.5, 2.0  # fixed values, points of sorting score
@@ -81,9 +82,8 @@ def train(df: DataFrame, text: str, label: str = "label_binary", features: int =
         )
         # Every iteration is a pass over the features. They are written out once, so that
         # no pass carries the vocabulary and the text along or starts over when an
-        # executor is lost; and few rows are not worth many tasks.
-        features = unit.transform(weigh.transform(counts)).select("features", label)
-        features = cut_lineage(features.coalesce(rows // ROWS_PER_TASK + 1))
+        # executor is lost.
+        features = cut_lineage(unit.transform(weigh.transform(counts)).select("features", label))
     finally:
         tokens.unpersist()
     fitted = learner.fit(features)
@@ -144,17 +144,11 @@ def _side_by_side(spark: SparkSession, run: Callable, calls: list[tuple]) -> lis
 def run_experiment(df: DataFrame, first: str, second: str) -> DataFrame:
     """Three ways to split, each with raw and cleaned text: accuracy and sizes.
 
-    `df` has id, collection, raw, cleaned, label_binary. The shuffled split is the
-    flattering one; the arrow rows teach one collection and examine the other.
+    `df` has id, collection, title, raw, cleaned, label_binary. The shuffled split is
+    the flattering one; the arrow rows teach one collection and examine the other,
+    without headlines that were taught. Rows that cleaning empties take no part.
     """
-    df = df.select("id", "collection", "raw", "cleaned", "label_binary")
-    shuffled = stratified_split(df, "label_binary", "id", 0.2, out="__test")
-    piles = {name: df.filter(F.col("collection") == name) for name in (first, second)}
-    splits = [
-        ("shuffled", shuffled.filter(~F.col("__test")), shuffled.filter("__test")),
-        (f"{first} -> {second}", piles[first], piles[second]),
-        (f"{second} -> {first}", piles[second], piles[first]),
-    ]
+    splits = experiment_splits(df, first, second)
 
     def run(name, teach, test, version, text):
         model = train(teach, text)
@@ -167,6 +161,46 @@ def run_experiment(df: DataFrame, first: str, second: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def experiment_splits(df: DataFrame, first: str, second: str) -> list[tuple[str, DataFrame, DataFrame]]:
+    """(name, teach, exam) of the three ways to split."""
+    # The texts are cleaned once; every split and fit reads them from the shared folder.
+    df = cut_lineage(drop_emptied(df.select("id", "collection", "title", "raw", "cleaned", "label_binary")))
+    shuffled = stratified_split(df, "label_binary", "id", 0.2, out="__test")
+    piles = {name: df.filter(F.col("collection") == name) for name in (first, second)}
+    splits = [("shuffled", shuffled.filter(~F.col("__test")), shuffled.filter("__test"))]
+    for teach, exam in ((first, second), (second, first)):
+        splits.append((f"{teach} -> {exam}", piles[teach], cut_lineage(drop_leaks(piles[exam], piles[teach]))))
+    return splits
+
+
+def experiment_sizes(df: DataFrame, first: str, second: str) -> DataFrame:
+    """How many rows each split teaches and examines, by label: what an accuracy rests on."""
+    parts = []
+    for name, teach, exam in experiment_splits(df, first, second):
+        for part, rows in (("teach", teach), ("exam", exam)):
+            sizes = rows.groupBy("label_binary").agg(F.count(F.lit(1)).alias("articles"))
+            parts.append(sizes.select(F.lit(name).alias("split"), F.lit(part).alias("part"), "label_binary", "articles"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def vocabulary(
+    df: DataFrame, text: str = "cleaned", features: int = MAX_FEATURES, stop_words: list[str] | None = None
+) -> DataFrame:
+    """term, articles (that hold it) and idf: the words a model of `df` would know, the most used first."""
+    words = RegexTokenizer(inputCol=MODEL_TEXT, outputCol="words", gaps=False, pattern=WORD + "{2,}")
+    stop = StopWordsRemover(inputCol="words", outputCol="kept_words")
+    if stop_words is not None:
+        stop.setStopWords(stop_words)
+    tokens = stop.transform(words.transform(df.select(F.col(text).alias(MODEL_TEXT)))).select("kept_words")
+    n = tokens.count()
+    # repeats inside an article are added up before anything is shuffled
+    held = tokens.select(F.explode(F.array_distinct("kept_words")).alias("term"), F.col("kept_words").alias("all"))
+    used = F.size(F.filter("all", lambda w: w == F.col("term")))
+    terms = held.groupBy("term").agg(F.count(F.lit(1)).alias("articles"), F.sum(used).alias("uses"))
+    idf = F.log((F.lit(n) + 1.0) / (F.col("articles") + 1.0))
+    return terms.orderBy(F.desc("uses"), "term").limit(features).select("term", "articles", "uses", idf.alias("idf"))
+
+
 def accuracy_changes(results: DataFrame) -> DataFrame:
     """Per split: accuracy on raw and cleaned text and the difference."""
     wide = results.groupBy("split").pivot("version", ["raw", "clean"]).agg(F.first("accuracy"))

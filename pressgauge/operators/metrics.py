@@ -14,9 +14,11 @@ def sorting_score(scored: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> Da
     """One row, `sorting_score`: chance that a fake outscores a real, ties half.
 
     Equal scores are counted together first, so a score shared by very many rows
-    is a single row in the ranking.
+    is a single row in the ranking. A row without a score (null, NaN) cannot be
+    sorted and does not count.
     """
-    counted = scored.groupBy("score").agg(
+    has_score = F.col("score").isNotNull() & ~F.isnan(F.col("score").cast("double"))
+    counted = scored.filter(has_score).groupBy("score").agg(
         F.count(F.when(F.col("truth") == 1, 1)).alias("fakes"), F.count(F.when(F.col("truth") == 0, 1)).alias("reals")
     )
     ranked = running_totals(counted, "score", {"reals_upto": F.col("reals")}, rows_per_slice)

@@ -15,29 +15,32 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 2_048
-QUANTILE_ACCURACY = 20_000
+ROWS_PER_SLICE = 100_000
 
 
 def _cut_points(df: DataFrame, order: str, rows_per_slice: int) -> list[float]:
-    """At most MAX_SLICES - 1 increasing values of `order`; few rows need none."""
-    slices = min(MAX_SLICES, math.ceil(df.count() / rows_per_slice))
+    """Increasing values of `order`, one for each `rows_per_slice` rows that have a number there."""
+    value = F.col(order).cast("double")
+    numbers = df.filter(value.isNotNull() & ~F.isnan(value))
+    slices = math.ceil(numbers.count() / rows_per_slice)
     if slices <= 1:
         return []
     grid = [i / slices for i in range(1, slices)]
-    points = df.agg(F.percentile_approx(F.col(order).cast("double"), grid, QUANTILE_ACCURACY)).first()[0]
+    points = numbers.agg(F.percentile_approx(value, grid, max(20_000, 10 * slices))).first()[0]
     return sorted(set(points))
 
 
 def bucket_of(df: DataFrame, value: str, cuts: list[float], out: str) -> DataFrame:
-    """Number of `cuts` that are <= value (binary search, lower bound inclusive)."""
+    """Number of `cuts` that are <= value (binary search, lower bound inclusive); -1 for null, and one
+    above all others for NaN, as Spark orders them."""
     if not cuts:
-        return df.withColumn(out, F.lit(0.0))
+        number = F.col(value).cast("double")
+        return df.withColumn(out, F.when(number.isNull(), -1.0).when(F.isnan(number), 1.0).otherwise(0.0))
     splits = [-math.inf, *cuts, math.inf]
     as_double = df.withColumn("__value", F.col(value).cast("double"))
-    bucketed = Bucketizer(splits=splits, inputCol="__value", outputCol=out).transform(as_double)
-    return bucketed.drop("__value")
+    finder = Bucketizer(splits=splits, inputCol="__value", outputCol=out, handleInvalid="keep")
+    bucketed = finder.transform(as_double)
+    return bucketed.withColumn(out, F.when(F.col("__value").isNull(), -1.0).otherwise(F.col(out))).drop("__value")
 
 
 def running_totals(
@@ -46,20 +49,15 @@ def running_totals(
     totals: dict[str, Column],
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Add inclusive running sums of the `totals` columns in `order`.
+    """Add inclusive running sums of the `totals` columns in `order`, nulls first and NaN last.
 
-    `order` must be numeric and unique: sum up equal values first.
+    `order` must be numeric and unique: sum up equal values first. The answer is the same for any slices.
     """
-    cuts = _cut_points(df, order, rows_per_slice)
-    if not cuts:  # few rows by count: one slice, starting at zero
-        whole = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({name: F.sum(value).over(whole) for name, value in totals.items()})
-
-    sliced = bucket_of(df, order, cuts, "__slice")
+    sliced = bucket_of(df, order, _cut_points(df, order, rows_per_slice), "__slice")
     sliced = sliced.withColumns({f"__{name}": value for name, value in totals.items()})
     inside = Window.partitionBy("__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
 
-    # One row per slice, so at most MAX_SLICES rows reach this unpartitioned window.
+    # One row for each slice, so for each ROWS_PER_SLICE rows, reaches this unpartitioned window.
     before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         sliced.groupBy("__slice")
@@ -70,7 +68,7 @@ def running_totals(
         )
     )
     summed = sliced.withColumns({n: F.sum(f"__{n}").over(inside) for n in totals})
-    return summed.join(F.broadcast(starts), "__slice").select(
+    return summed.join(starts, "__slice").select(
         *df.columns, *[(F.col(n) + F.col(f"__start_{n}")).alias(n) for n in totals]
     )
 
@@ -85,8 +83,8 @@ def exact_quantiles(
     df: DataFrame, value: str, fractions: list[float], rows_per_slice: int = ROWS_PER_SLICE
 ) -> list[float]:
     """Exact linearly interpolated quantiles; only the two order statistics around
-    each fraction leave the cluster, at most 2 x len(fractions) numbers."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(
+    each fraction leave the cluster, at most 2 x len(fractions) numbers. Null and NaN have no rank."""
+    counted = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(F.col(value).alias("v")).agg(
         F.count(F.lit(1)).alias("n")
     )
     counted = counted.persist(StorageLevel.MEMORY_AND_DISK)

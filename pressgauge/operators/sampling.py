@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressgauge.operators.ordered import number_rows
 
 SPLIT_SEED = 42  # fixed value
-PREFIX_DIGITS = 3  # md5 hex digits used to find the cut before ranking anything
+RANKED_ROWS = 1_000  # rows that share a ticket prefix and are ranked in one task, about
 
 
 def ticket(row_id: Column, seed: int = SPLIT_SEED) -> Column:
@@ -20,11 +22,13 @@ def first_per_group(df: DataFrame, group: str, row_id: str, quota: Column, seed:
 
     `quota` is an expression over the group's row count, `group_size`. Tickets are
     uniform, so counting them by prefix finds the prefix where the quota runs out;
-    only the rows sharing that prefix are ranked (about group_size / 16^PREFIX_DIGITS
-    of them), and the flag itself is a comparison with the ticket found.
+    only the rows sharing that prefix are ranked, about RANKED_ROWS of them as the
+    prefix's length follows the number of rows, and the flag itself is a comparison
+    with the ticket found.
     """
+    digits = max(1, math.ceil(math.log(max(1, df.count() / RANKED_ROWS), 16)))
     slim = df.select(group, ticket(F.col(row_id), seed).alias("t"))
-    slim = slim.withColumn("prefix", F.substring("t", 1, PREFIX_DIGITS))
+    slim = slim.withColumn("prefix", F.substring("t", 1, digits))
     per_group = Window.partitionBy(group)
     prefixes = (
         slim.groupBy(group, "prefix")

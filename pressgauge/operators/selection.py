@@ -9,14 +9,14 @@ order, the greedy answer is also the only stable matching, and stable matchings
 can be found from all sites at once: every headline offers itself to the first
 site that may still take it, every site holds on to the first `cap` offers it
 sees, and a pair behind a full site's last held offer can never win. `_settle`
-removes such pairs round by round.
+keeps what is certain and removes such pairs round by round.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +24,6 @@ from pressgauge.functions.chars import strip
 from pressgauge.functions.matching import has_key, keep_keyed, normalize_headline
 from pressgauge.session import cut_lineage
 
-# Pairs that one task may walk one by one. More than this and rounds go on.
-TAIL_PAIRS = 200_000
-
 # General-news outlets, outlets never wanted, types wanted.
 GENERAL_NEWS = [
     "CNN", "The Hill", "Politico", "Axios", "The New York Times", "Vox", "CNBC", "Economist",
@@ -133,45 +130,43 @@ def _screened(rows: DataFrame, spec: Spec, blocked: DataFrame | None) -> DataFra
     return rows.withColumn("__fell", reason).drop("__blocked")
 
 
-def _walk(pairs: pd.DataFrame, cap: int) -> pd.DataFrame:
-    """The rule itself, for a bounded number of pairs."""
-    held, full, kept = set(), {}, []
-    for pair in pairs.sort_values(["seen", "pos"]).itertuples():
-        if pair.key not in held and full.get(pair.site, 0) < cap:
-            held.add(pair.key)
-            full[pair.site] = full.get(pair.site, 0) + 1
-            kept.append(pair.Index)
-    return pairs.loc[kept]
-
-
-def _settle(pairs: DataFrame, cap: int, tail_pairs: int) -> DataFrame:
-    """The kept (site, key, seen, pos) among `pairs`, one row per site and key."""
-    schema = pairs.schema
-    left = cut_lineage(pairs)
-    count = left.count()
-    while count > tail_pairs:
-        order = F.struct("seen", "pos")
-        offers = left.groupBy("key").agg(F.min(F.struct("seen", "pos", "site")).alias("offer")).select("offer.*", "key")
-        # Ranking stops at `cap` on the map side, so a huge site sends few rows.
-        per_site = Window.partitionBy("site").orderBy("seen", "pos")
-        last_held = (
-            offers.withColumn("rank", F.row_number().over(per_site))
-            .filter(F.col("rank") <= cap)
-            .filter(F.col("rank") == cap)
-            .select("site", order.alias("last"))
-        )
-        shrunk = left.join(last_held, "site", "left").filter(F.col("last").isNull() | (order <= F.col("last")))
-        left = cut_lineage(shrunk.select(*schema.names))
-        remaining = left.count()
-        if remaining == count:  # every offer is held
-            return offers.select(*schema.names)
-        count = remaining
-    return left.groupBy().applyInPandas(lambda pdf: _walk(pdf, cap), schema)
-
-
-def select_diverse(
-    rows: DataFrame, spec: Spec, blocked: DataFrame | None = None, tail_pairs: int = TAIL_PAIRS
-) -> DataFrame:
+def _settle(pairs: DataFrame, cap: int) -> DataFrame:
+    """The kept (site, key, seen, pos) among `pairs`, one row per site and key.
+
+    A pair is certain to be kept if it is its headline's first and among the first of
+    its site that still fit. Each round keeps all such pairs, drops their headlines'
+    other pairs, sites that are full, and pairs behind the last offer that a full site
+    holds; only undecided pairs go on. The first pair of all is always certain, so
+    every round settles one at least. Sites that contend for the same headlines one
+    after another take a round each; other sites settle beside them.
+    """
+    columns = pairs.schema.names
+    left = cut_lineage(pairs.withColumn("room", F.lit(cap)))
+    rounds: list[DataFrame] = []
+    place = F.struct("seen", "pos")
+    # Ranking stops at `cap` on the map side, so a huge site sends few rows.
+    rank = F.row_number().over(Window.partitionBy("site").orderBy("seen", "pos"))
+    while True:
+        firsts = left.groupBy("key").agg(F.min(F.struct("seen", "pos", "site")).alias("f"))
+        fitting = left.withColumn("rank", rank).filter(F.col("rank") <= cap).filter(F.col("rank") <= F.col("room"))
+        own = F.struct("seen", "pos", "site")
+        won = cut_lineage(fitting.join(firsts, "key").filter(own == F.col("f")).select(*columns))
+        rounds.append(won)
+        taken = won.groupBy("site").agg(F.count(F.lit(1)).cast("int").alias("taken"))
+        # Offers: what is still undecided of the headlines' first pairs.
+        left = left.join(won.select("key"), "key", "left_anti").join(taken, "site", "left")
+        left = left.withColumn("room", F.col("room") - F.coalesce("taken", F.lit(0))).drop("taken").filter("room > 0")
+        left = cut_lineage(left)
+        if left.isEmpty():
+            return reduce(DataFrame.unionAll, rounds)
+        offers = left.groupBy("key").agg(F.min(F.struct("seen", "pos", "site", "room")).alias("o")).select("o.*")
+        last = offers.withColumn("rank", rank).filter(F.col("rank") <= cap).filter(F.col("rank") == F.col("room"))
+        last = last.select("site", place.alias("last"))
+        behind = left.join(last, "site", "left").filter(F.col("last").isNull() | (place <= F.col("last")))
+        left = behind.drop("last").select(*columns, "room")
+
+
+def select_diverse(rows: DataFrame, spec: Spec, blocked: DataFrame | None = None) -> DataFrame:
     """Every input row with `kept` and, when not kept, `reason`, plus the `site` it
     counted for. `blocked` holds headline keys that must not be handed back."""
     screened = _screened(rows, spec, blocked)
@@ -186,7 +181,7 @@ def select_diverse(
         .agg(F.min("p.place").alias("first"))
         .select("site", "key", "first.*")
     )
-    winners = _settle(pairs, spec.cap, tail_pairs).select(
+    winners = _settle(pairs, spec.cap).select(
         F.col("key").alias("__key"), F.struct("seen", "pos").alias("__winner")
     )
     place = F.struct(F.col("__seen").alias("seen"), F.col(spec.position).alias("pos"))

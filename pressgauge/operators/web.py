@@ -19,16 +19,26 @@ NO_CONTENT, NO_JSON = "reply had no usable content", "could not read the reply a
 def web_check_queue(
     analyzed: DataFrame, low: float | None, high: float | None, per_day: int = SEARCHES_PER_DAY, requested: str = "requested"
 ) -> DataFrame:
-    """Model verdicts worth a search, with the reason, within each day's allowance
-    (first come, first served). Without a measured band only requests qualify."""
+    """Model verdicts worth a search, with the reason, their turn on the day and whether
+    that is within the day's allowance (first come, first served); none is left out.
+    Without a measured band only requests qualify.
+
+    A day's rows are numbered minute by minute, so that a busy day is many tasks' work.
+    """
     band = F.lit(False) if low is None or high is None else in_band(F.col("fake_score"), low, high)
     asked = F.coalesce(F.col(requested), F.lit(False))
     wanted = analyzed.filter((F.col("method") == "reading_model") & (band | asked)).withColumn(
         "reason", F.when(band, "unsure").otherwise("requested")
     )
-    day = F.to_date("analyzed_at")
-    turn = F.row_number().over(Window.partitionBy(day).orderBy("analyzed_at", "id"))
-    return wanted.withColumn("turn", turn).filter(F.col("turn") <= per_day)
+    timed = wanted.withColumns({"__day": F.to_date("analyzed_at"), "__minute": F.date_trunc("minute", "analyzed_at")})
+    earlier = Window.partitionBy("__d").orderBy(F.col("__m").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    minutes = timed.groupBy(F.col("__day").alias("__d"), F.col("__minute").alias("__m")).agg(F.count(F.lit(1)).alias("__n"))
+    minutes = minutes.select("__m", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__minute").orderBy("analyzed_at", "id"))
+    turn = (F.col("__before") + F.col("__turn")).cast("int")
+    numbered = timed.withColumn("__turn", inside).join(minutes, F.col("__minute").eqNullSafe(F.col("__m")))
+    queue = numbered.withColumn("turn", turn).withColumn("within_allowance", F.col("turn") <= per_day)
+    return queue.drop("__day", "__minute", "__turn", "__m", "__before")
 
 
 def clean_list(items: Column, limit: int = LIST_ITEMS) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pressgauge.functions import fingerprints, intake, matching
 from pressgauge.operators import calibration, corpus, learning, metrics, report, sampling, selection, survey, verdict, web
 from pressgauge.plans import standins as data
+from pressgauge.session import checkpoint_folder, cut_lineage
 from pressgauge.sources import articles, store
 
 QUERIES = {}
@@ -22,8 +22,7 @@ def query(function):
 
 def _scratch(spark, name: str) -> str:
     """A fresh folder where every executor can write: the cluster's shared one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pressgauge-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # --- text functions -------------------------------------------------------------
@@ -473,7 +472,7 @@ def delete_analyses(spark, folder):
 @query
 def web_queue(spark, folder):
     queue = web.web_check_queue(data.request_log(spark, folder), *data.BAND, per_day=50)
-    return queue.select("id", "reason", "turn")
+    return queue.select("id", "reason", "turn", "within_allowance")
 
 
 @query
@@ -500,7 +499,9 @@ def disagreement(spark, folder):
 def _taught(spark, folder):
     known = data.labelled(spark, folder).withColumnRenamed("headline", "title").withColumnRenamed("body", "text")
     pile = F.when(F.length("source") == 4, "first").otherwise("second")
-    return learning.prepare(known).withColumn("collection", pile)
+    prepared = learning.drop_emptied(learning.prepare(known)).withColumn("collection", pile)
+    # cleaned once; training and scoring both read it
+    return cut_lineage(prepared.select("id", "collection", "title", "source", "raw", "cleaned", "key", "label", "label_binary"))
 
 
 @query
@@ -515,7 +516,8 @@ def tfidf_scores(spark, folder):
 def tfidf_train_eval(spark, folder):
     rows = _taught(spark, folder)
     model = learning.train(rows.filter("collection = 'first'"), "cleaned")
-    scored = learning.model_scorer(model)(rows.filter("collection = 'second'"), "cleaned")
+    exam = selection.drop_leaks(rows.filter("collection = 'second'"), rows.filter("collection = 'first'"))
+    scored = learning.model_scorer(model)(exam, "cleaned")
     return metrics.classification_report(
         scored.select(F.col("label_binary").alias("truth"), (F.col("fake_score") > 0.5).cast("int").alias("prediction"))
     )
@@ -531,6 +533,71 @@ def cross_source_experiment(spark, folder):
     return learning.accuracy_changes(learning.run_experiment(_taught(spark, folder), "first", "second"))
 
 
+@query
+def experiment_sizes(spark, folder):
+    """What each split of the experiment teaches and examines."""
+    return learning.experiment_sizes(_taught(spark, folder), "first", "second").where("split <> 'shuffled'")
+
+
+@query
+def tfidf_vocabulary(spark, folder):
+    """Words of the taught articles with their uses, articles and rarity, stop words kept."""
+    return learning.vocabulary(_taught(spark, folder), stop_words=[])
+
+
+@query
+def emptied_rows(spark, folder):
+    """Articles of which cleaning leaves nothing, and the rest, by label."""
+    marked = data.marked(spark, folder).select(F.col("doc_id").alias("id"), F.col("raw").alias("body"))
+    known = data.labelled(spark, folder).drop("body").join(marked, "id").withColumnRenamed("headline", "title")
+    rows = learning.prepare(known.withColumn("text", F.when(F.col("id") % 7 == 0, "www.example.com/a").otherwise(F.col("body"))).withColumn("title", F.lit("")))
+    kept = learning.drop_emptied(rows).groupBy("label_binary").agg(F.count(F.lit(1)).alias("kept"))
+    return rows.groupBy("label_binary").agg(F.count(F.lit(1)).alias("articles")).join(kept, "label_binary")
+
+
+@query
+def ablation_piles(spark, folder):
+    """How many articles of each label the ablation's piles hold, taught headlines dropped from the exam."""
+    base, extra, exam = _three_piles(_taught(spark, folder), "label_binary = 1")
+    parts = [p.select(F.lit(n).alias("pile"), "label_binary") for n, p in (("base", base), ("extra", extra), ("exam", exam))]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("pile", "label_binary").agg(F.count(F.lit(1)).alias("articles"))
+
+
+@query
+def corpus_reset(spark, folder):
+    """A corpus loaded anew in place of one that is held: ids start at 1 again."""
+    path = _scratch(spark, "reset")
+    data.corpus(spark, folder).write.parquet(path)
+    none = data.corpus(spark, folder).limit(0)
+    new_rows, _ = corpus.top_up(none, data.incoming(spark, folder))
+    store.append_corpus(new_rows, path, reset=True)
+    return store.read_corpus(spark, path).select("id", "headline_key", "label_basis")
+
+
+@query
+def score_store(spark, folder):
+    """Scores of an exam, stored and read back."""
+    path = _scratch(spark, "scores")
+    exam = data.scored_exam(spark, folder).select(F.col("event_id").cast("string").alias("title"), F.col("truth").alias("label_binary"), "score")
+    store.write_scores(exam, path)
+    return store.read_scores(spark, path)
+
+
+@query
+def raw_crawl(spark, folder):
+    """Documents as an eight-column crawl dump, some rows broken, and what is read of it."""
+    path = _scratch(spark, "crawl")
+    shown = F.when(F.col("id") % 10 == 0, F.concat(F.lit("x"), F.col("id"))).otherwise(F.col("id").cast("string"))
+    blank = F.lit("")
+    rows = data.pastes(spark, folder).select(
+        shown.alias("id"), F.col("lang").alias("type"), F.col("source").alias("domain"), blank.alias("at"), blank.alias("url"),
+        blank.alias("authors"), F.col("headline").alias("title"), F.col("body").alias("content"),
+    )
+    rows.write.option("escape", '"').option("emptyValue", "").csv(path)
+    read = articles.read_raw_crawl(spark, path)
+    return read.select("id", "type", "domain", "title", F.md5("content").alias("content_digest"))
+
+
 @query
 def ablation_fakes(spark, folder):
     rows = _taught(spark, folder)

@@ -1,5 +1,5 @@
 """The catalogue's queries restated as DuckDB SQL, written from the rules rather
-than from the Spark plans. Learning queries have no SQL counterpart."""
+than from the Spark plans. What a model's fit gives has no SQL counterpart."""
 
 from __future__ import annotations
 
@@ -184,6 +184,13 @@ _markers = "[" + ", ".join(text(m) for m in MARKERS) + "]"
 MARKED = f"""
 marked AS (SELECT doc_id, lang, source, {_markers}[(doc_id % {len(MARKERS)})::INT + 1] || text AS raw FROM documents)"""
 
+TAUGHT = f"""{LABELLED},
+joined AS (SELECT id, source, label, {norm('headline')} AS key, {_TEXT} AS raw FROM labelled),
+taught AS (
+  SELECT *, {clean('raw')} AS cleaned, (label = 'FAKE')::INT AS label_binary,
+    CASE WHEN length(source) = 4 THEN 'first' ELSE 'second' END AS collection
+  FROM joined WHERE raw <> '' AND {clean('raw')} <> '')"""
+
 _g = "CASE WHEN {x} < 0.5 THEN 2 * {x} * {x} ELSE 1 - 2 * (1 - {x}) * (1 - {x}) END"
 EXAM = f"""
 spread AS (SELECT event_id, value / (value + 35) AS x, ((event_id * 7919 % 1000) / 1000::DOUBLE - 0.5::DOUBLE) * 0.35::DOUBLE AS noise FROM events),
@@ -503,7 +510,33 @@ SQL = {
           SELECT e.event_id AS id, ts, x.score > {BAND[0]} AND x.score < {BAND[1]} AS unsure, event_type = 'signup' AS asked
           FROM events e JOIN exam x ON x.event_id = e.event_id WHERE event_type <> 'error')
         SELECT id, CASE WHEN unsure THEN 'unsure' ELSE 'requested' END AS reason,
-          row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, id)::INT AS turn FROM wanted WHERE unsure OR asked QUALIFY turn <= 50""",
+          row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, id)::INT AS turn, turn <= 50 AS within_allowance FROM wanted WHERE unsure OR asked""",
     "web_replies": f"WITH {REPLIES} SELECT * FROM web",
     "disagreement": f"""WITH {REPLIES} SELECT conv_id, turn, coalesce(status = 'found' AND ((verdict = 'REAL' AND conv_id % 2 = 0) OR (verdict = 'FAKE' AND conv_id % 2 = 1)), FALSE) AS disagrees FROM web""",
+    "experiment_sizes": f"""WITH {TAUGHT}, other AS (SELECT * FROM (VALUES ('first', 'second'), ('second', 'first')) v(t, e)),
+        parts AS (SELECT t || ' -> ' || e AS split, 'teach' AS part, label_binary FROM other JOIN taught ON collection = t
+          UNION ALL SELECT t || ' -> ' || e, 'exam', label_binary FROM other JOIN taught x ON collection = e
+          WHERE key = '' OR NOT EXISTS (SELECT 1 FROM taught y WHERE y.collection = t AND y.key = x.key))
+        SELECT split, part, label_binary, count(*) AS articles FROM parts GROUP BY ALL""",
+    "tfidf_vocabulary": f"""WITH {TAUGHT}, uses AS (SELECT id, unnest(regexp_extract_all(lower(cleaned), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM taught),
+        terms AS (SELECT term, count(DISTINCT id) AS articles, count(*) AS uses FROM uses GROUP BY term ORDER BY uses DESC, term LIMIT 50000)
+        SELECT term, articles, uses, ln(((SELECT count(*) FROM taught) + 1.0::DOUBLE) / (articles + 1.0::DOUBLE)) AS idf FROM terms""",
+    "emptied_rows": f"""WITH {LABELLED}, {MARKED}, texts AS (
+          SELECT label = 'FAKE' AS fake, {strip("' ' || CASE WHEN id % 7 = 0 THEN 'www.example.com/a' ELSE raw END")} AS t FROM labelled JOIN marked ON doc_id = id)
+        SELECT fake::INT AS label_binary, count(*) AS articles, count(*) FILTER ({clean('t')} <> '') AS kept FROM texts WHERE t <> '' GROUP BY 1""",
+    "ablation_piles": f"""WITH {TAUGHT}, piles AS (
+          SELECT CASE WHEN collection = 'second' THEN 'exam' WHEN source < 'src5' THEN 'base' ELSE 'extra' END AS pile, * FROM taught),
+        used AS (SELECT * FROM piles WHERE pile <> 'extra' OR label_binary = 1)
+        SELECT pile, label_binary, count(*) AS articles FROM used u
+        WHERE pile <> 'exam' OR key = '' OR NOT EXISTS (SELECT 1 FROM used k WHERE k.pile <> 'exam' AND k.key = u.key) GROUP BY ALL""",
+    "corpus_reset": f"""WITH {CORPUS}, incoming AS (
+          SELECT CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS file_no, id AS pos, {norm('headline')} AS key,
+            CASE source WHEN 'src3' THEN 'fact_check' WHEN 'src5' THEN 'hearsay' ELSE 'source' END AS basis FROM paste),
+        ranked AS (SELECT *, {rank('basis')} AS r, min({rank('basis')}) OVER (PARTITION BY key ORDER BY file_no, pos
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM incoming WHERE key <> '')
+        SELECT row_number() OVER (ORDER BY file_no, pos) AS id, substr(key, 1, 1000) AS headline_key, basis AS label_basis
+        FROM ranked WHERE earlier IS NULL OR r < earlier""",
+    "score_store": f"WITH {EXAM} SELECT event_id::VARCHAR AS title, truth::INT AS label_binary, score FROM exam",
+    "raw_crawl": f"""WITH {PASTE} SELECT id::VARCHAR AS id, lang AS type, source AS domain, headline AS title, md5(body) AS content_digest
+        FROM paste WHERE id % 10 <> 0""",
 }

@@ -35,7 +35,7 @@ MARKERS = [
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet", heavy=name in ("documents", "conversations"))
+    return read_table(spark, f"{folder}/{name}.parquet")
 
 
 def documents(spark, folder):
@@ -97,7 +97,7 @@ def marked(spark, folder) -> DataFrame:
     return documents(spark, folder).select("doc_id", "lang", "source", F.concat(marker, "text").alias("raw"))
 
 
-def scored_exam(spark, folder) -> DataFrame:
+def scored_exam(spark, folder, with_event: bool = False) -> DataFrame:
     """event_id, score, truth: scores pushed to both ends, truth a noisy version."""
 
     def spread(x):
@@ -105,10 +105,10 @@ def scored_exam(spark, folder) -> DataFrame:
 
     x = F.col("value") / (F.col("value") + 35)
     noise = ((F.col("event_id") * 7919 % 1000) / 1000 - 0.5) * 0.35
-    rows = table(spark, folder, "events").select("event_id", x.alias("x"), noise.alias("noise"))
+    rows = table(spark, folder, "events").select("event_id", "ts", "event_type", x.alias("x"), noise.alias("noise"))
     once = rows.withColumn("once", spread(F.col("x")))
     return once.select(
-        "event_id",
+        *(("event_id", "ts", "event_type") if with_event else ("event_id",)),
         spread(F.col("once")).alias("score"),
         F.when(F.col("x") + F.col("noise") > 0.5, 1).otherwise(0).alias("truth"),
     )
@@ -126,14 +126,13 @@ def digest_scorer(df: DataFrame, text: str) -> DataFrame:
 
 def request_log(spark, folder) -> DataFrame:
     """Scored requests over time: id, analyzed_at, method, fake_score, requested."""
-    exam = scored_exam(spark, folder).select(F.col("event_id").alias("id"), F.col("score").alias("fake_score"))
-    events = table(spark, folder, "events").select(
+    return scored_exam(spark, folder, with_event=True).select(
         F.col("event_id").alias("id"),
+        F.col("score").alias("fake_score"),
         F.col("ts").alias("analyzed_at"),
         F.when(F.col("event_type") == "error", "database").otherwise("reading_model").alias("method"),
         (F.col("event_type") == "signup").alias("requested"),
     )
-    return events.join(exam, "id")
 
 
 def web_replies(spark, folder) -> DataFrame:

@@ -49,12 +49,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def read_table(spark: SparkSession, path: str, heavy: bool = False) -> DataFrame:
-    """A Parquet table. `heavy` marks long text whose per-row work outweighs moving it:
-    when the files give fewer tasks than there are cores, rows are dealt out evenly.
-    A table of many files is left as it is."""
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if heavy and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

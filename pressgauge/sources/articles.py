@@ -1,12 +1,13 @@
 """Article files.
 
-A CSV whose quoted fields hold newlines cannot be split, so one file is one task
-and rows come in file order. Large collections should come as many files, or be
+A CSV whose quoted fields hold newlines cannot be split, so one file is one task.
+`pos` orders rows by file name, then by place in the file, however Spark packs files. Large collections should come as many files, or be
 landed once as Parquet (with the position column) and read from there.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,8 +35,23 @@ RAW_CRAWL = "id string, type string, domain string, scraped_at string, url strin
 
 def read_article_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV with quoted newlines, every column a string, missing values null."""
+    return _read_article_csv(spark, path).drop("pos")
+
+
+def _read_article_csv(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
-    return df.select(*[_or_null(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return df.select(*[_or_null(F.col(f"`{c}`")).alias(c) for c in df.columns], _position(df).alias("pos"))
+
+
+def _position(df: DataFrame) -> Column:
+    """Grows with the file's name, then with the place in the file. The list of files is the reader's own."""
+    bare = lambda path: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", path)
+    ranks = [x for n, path in enumerate(sorted(map(bare, df.inputFiles()))) for x in (F.lit(path), F.lit(n))]
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+    rank = F.coalesce(F.element_at(F.create_map(*ranks), path), F.lit(0)) if len(ranks) > 2 else F.lit(0)
+    # the lower 33 bits count the rows of a task, and a file's rows are one task's, in order
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.shiftleft(rank.cast("long"), 33) + row
 
 
 def _or_null(text: Column) -> Column:
@@ -55,11 +71,11 @@ def read_labelled_csv(
 ) -> DataFrame:
     """One labelled file as top-up input: file_no, pos, file, headline, body, label,
     source, basis, key. Rows without a headline (or without a needed label) go."""
-    df = read_article_csv(spark, path)
+    df = _read_article_csv(spark, path)
     for column, hint in ((title_col, "title"), (None if label else label_col, "label")):
         if column and column not in df.columns:
             raise ValueError(f"{path} has no {hint} column {column!r}; found {df.columns}")
-    df = df.withColumn("pos", F.monotonically_increasing_id()).filter(F.col(title_col).isNotNull())
+    df = df.filter(F.col(title_col).isNotNull())
     if label is None:
         df = df.filter(F.col(label_col).isNotNull())
     body = F.coalesce(F.col(text_col), F.lit("")) if text_col in df.columns else F.lit("")
@@ -124,10 +140,10 @@ def read_raw_crawl(spark: SparkSession, path: str) -> DataFrame:
     )
     whole = F.col("_broken").isNull() & F.col("id").rlike("^[0-9]+$")
     filled = [F.coalesce(c, F.lit("")).alias(c) for c in df.columns if c not in ("id", "_broken")]
-    return df.withColumn("pos", F.monotonically_increasing_id()).filter(whole).select("pos", "id", *filled)
+    return df.withColumn("pos", _position(df)).filter(whole).select("pos", "id", *filled)
 
 
 def read_real_crawl(spark: SparkSession, path: str) -> DataFrame:
     """Newsroom crawl: publication, title, article, url, date; the rest is ignored."""
-    df = read_article_csv(spark, path).withColumn("pos", F.monotonically_increasing_id())
+    df = _read_article_csv(spark, path)
     return df.select("pos", "publication", "title", "article", "url", "date")

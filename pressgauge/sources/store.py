@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -62,9 +63,12 @@ def append_corpus(new_rows: DataFrame, path: str, reset: bool = False) -> None:
         rows.write.mode("append").parquet(path)
 
 
-def append_history(history: DataFrame, path: str) -> None:
-    """One file set per day of analysis, so that reports on a period read only it."""
-    history.withColumn("day", F.to_date("analyzed_at")).write.mode("append").partitionBy("day").parquet(path)
+def append_history(history: DataFrame, path: str, batch: str | None = None) -> None:
+    """One folder per day of analysis, so that reports on a period read only it, and in it
+    one per batch. A batch written again under its name replaces its rows of those days."""
+    rows = history.withColumns({"day": F.to_date("analyzed_at"), "batch": F.lit(batch or f"run-{uuid.uuid4().hex}")})
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("day", "batch").parquet(path)
 
 
 def replace_table(df: DataFrame, path: str, *partition: str) -> None:
@@ -72,7 +76,10 @@ def replace_table(df: DataFrame, path: str, *partition: str) -> None:
     sibling folder before the old ones go."""
     staged = path.rstrip("/") + ".staged"
     df.write.mode("overwrite").parquet(staged)
-    df.sparkSession.read.parquet(staged).write.mode("overwrite").partitionBy(*partition).parquet(path)
+    spark = df.sparkSession
+    spark.read.parquet(staged).write.mode("overwrite").partitionBy(*partition).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_scores(scored: DataFrame, path: str) -> None:

@@ -14,7 +14,7 @@ from pressgauge.functions.intake import gate
 from pressgauge.functions.matching import split_paste
 from pressgauge.operators.report import history_rows
 from pressgauge.operators.verdict import analyze
-from pressgauge.sources.store import read_corpus
+from pressgauge.sources.store import append_history, read_corpus
 
 REQUESTS = "id long, text string, submitted_at timestamp"
 
@@ -26,7 +26,7 @@ def read_requests(spark: SparkSession, folder: str) -> DataFrame:
 def analyze_stream(
     requests: DataFrame, corpus_path: str, history_path: str, checkpoint: str, **cascade
 ) -> StreamingQuery:
-    """Start appending verdicts. Each batch writes a folder of its own, so a batch
+    """Start appending verdicts to the history, under the batch's name, so that a batch
     replayed after a failure replaces its rows instead of repeating them."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -34,7 +34,7 @@ def analyze_stream(
         pasted = accepted.withColumn("p", split_paste(F.col("text"))).select("id", "p.*", "submitted_at")
         corpus = read_corpus(batch.sparkSession, corpus_path)
         rows = history_rows(analyze(pasted, corpus, **cascade), F.col("submitted_at"))
-        rows.write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
+        append_history(rows, history_path, f"stream-{batch_id}")
 
     return (
         requests.writeStream.foreachBatch(handle)

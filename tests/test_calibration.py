@@ -130,3 +130,16 @@ def test_report_and_samples(spark):
     assert {r.g: r.n for r in sample.groupBy("g").agg(F.count("*").alias("n")).collect()} == {"a": 250, "b": 200}
     spread = sampling.spread_sample(rows, "id", 10, 3, rows_per_slice=90)
     assert sorted(r.id for r in spread.collect()) == [p * 100 + k for p in range(10) for k in range(3)]
+
+
+@pytest.mark.parametrize("rows_per_slice", [10**6, 100, 7])
+def test_missing_scores_give_one_answer(spark, rows_per_slice):
+    rows = [(None if i % 10 == 0 else float("nan") if i % 10 == 1 else (i * 37 % 101) / 101, i % 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "score double, truth int")
+    real = [(s, t) for s, t in rows if s is not None and s == s]
+    pairs = [(a > b) + (a == b) / 2 for a, t in real if t for b, u in real if not u]
+    assert abs(metrics.sorting_score(df, rows_per_slice).first()[0] - sum(pairs) / len(pairs)) < 1e-9
+    values = sorted({s for s, _ in real})
+    frame = spark.createDataFrame([(v,) for v in [None, float("nan"), *values]], "v double")
+    placed = {repr(r.v): r.at for r in ordered.number_rows(frame, "v", "at", rows_per_slice).collect()}
+    assert [placed[repr(v)] for v in [None, *values, float("nan")]] == list(range(len(values) + 2))

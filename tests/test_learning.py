@@ -56,3 +56,22 @@ def test_retrain_decision(spark):
     rows = spark.createDataFrame([(74.0, 73.0), (74.0, 74.5), (74.0, 84.0)], "o double, n double")
     got = [r[0] for r in rows.select(learning.retrain_decision(F.col("o"), F.col("n"))).collect()]
     assert got == ["worse", "no real gain", "better"]
+
+
+def test_exam_headlines_are_never_taught(spark):
+    rows = [(i, "one" if i < 40 else "two", f"T {i % 50}", f"body text {i}", "FAKE" if i % 2 else "REAL") for i in range(80)]
+    frame = learning.prepare(spark.createDataFrame(rows, "id long, collection string, title string, text string, label string"))
+    for name, teach, exam in learning.experiment_splits(frame, "one", "two")[1:]:
+        taught = {r.title.lower() for r in teach.collect()}
+        assert taught and exam.count() and not taught & {r.title.lower() for r in exam.collect()}, name
+
+
+def test_scores_agree_with_a_tighter_fit(spark, articles, monkeypatch):
+    def scores():
+        model = learning.train(articles.filter("collection = 'one'"), "cleaned")
+        scored = learning.model_scorer(model)(articles.filter("collection = 'two'"), "cleaned")
+        return {r.id: r.fake_score for r in scored.select("id", "fake_score").collect()}
+
+    usual = scores()
+    monkeypatch.setattr(learning, "TOLERANCE", 1e-9)
+    assert all(abs(usual[k] - v) < 1e-3 for k, v in scores().items())

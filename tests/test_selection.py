@@ -64,7 +64,7 @@ def test_selection_equals_walk(spark, seed, tail):
         spec = sel.reals_spec(cap, site="domain", body="content", min_chars=5, allow=["CNN", "Vox", "Axios"])
     else:
         spec = sel.fakes_spec(cap, min_chars=5)
-    got = {r.pos: r.reason for r in sel.select_diverse(df, spec, keys, tail_pairs=tail).collect()}
+    got = {r.pos: r.reason for r in sel.select_diverse(df, spec, keys).collect()}
     want = {p: (spec.full if w == "full" else w) for p, w in walk(rows, cap, blocked, reals).items()}
     assert got == want
 

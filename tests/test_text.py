@@ -177,3 +177,14 @@ def test_gate(spark):
     assert got[1].s is None
     accepted, refused = intake.gate(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
     assert accepted.count() == 2 and refused.count() == 5
+
+
+def test_screened_rules_equal_rules_alone(spark):
+    """Letters that only case-insensitive matching equates must pass the screen."""
+    from pressgauge.functions import fingerprints as fp
+
+    texts = ["v\u0130deo: x", "\u0130STOCK now", "Wr\u0130ting by A. B.", "\u017fcreen\u017fhot via me", "Sub\u017fcribe to our list", "\u212aiosk"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    alone = [F.regexp_count("t", F.lit(p)).alias(f"r{i}") for i, p in enumerate(fp.JAVA_PATTERNS)]
+    screened = [c.alias(f"r{i}") for i, c in enumerate(fp.fingerprint_hits(F.col("t")))]
+    assert df.select(*screened).collect() == df.select(*alone).collect()

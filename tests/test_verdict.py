@@ -101,7 +101,9 @@ def test_band_edges_and_queue(spark):
     queue = web.web_check_queue(df, 0.01, 0.99)
     assert {r.id: r.reason for r in queue.collect()} == {0: "unsure", 1: "unsure", 2: "unsure", 4: "requested"}
     assert {r.id for r in web.web_check_queue(df, None, None).collect()} == {4}
-    assert {r.id for r in web.web_check_queue(df, 0.01, 0.99, per_day=2).collect()} == {0, 1}
+    queue = {r.id: (r.turn, r.within_allowance) for r in web.web_check_queue(df, 0.01, 0.99, per_day=2).collect()}
+    assert {k for k, (_, within) in queue.items() if within} == {0, 1}
+    assert sorted(t for t, _ in queue.values()) == list(range(1, len(queue) + 1))
 
 
 def test_web_replies(spark):
