@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 import pandas as pd
@@ -138,7 +138,8 @@ def _side_by_side(spark: SparkSession, run: Callable, calls: list[tuple]) -> lis
     """Independent runs submitted together: while one waits for its last tasks, the
     others keep the executors busy."""
     with ThreadPool(min(PARALLEL_RUNS, len(calls))) as pool:
-        return pool.map(inheritable_thread_target(spark)(lambda call: run(*call)), calls)
+        # a target for each call: threads that shared one would share its job properties
+        return pool.map(lambda target: target(), [inheritable_thread_target(spark)(partial(run, *call)) for call in calls])
 
 
 def run_experiment(df: DataFrame, first: str, second: str) -> DataFrame:
