@@ -218,7 +218,8 @@ def region(page_tokens: list[Token], weights: dict[str, float]) -> tuple[int, in
             words = len(text.split())
             if not words:
                 continue
-            total += words * weights[feature]
+            # an advert's length must not part an article: such text costs once
+            total += weights[feature] * (words if feature != "noise" else 1)
         if total <= 0:
             total, start = 0.0, k + 1
         elif total > best:
