@@ -126,13 +126,13 @@ class Scorer:
         self._model = model
         self._grams = {gram: k for k, gram in enumerate(model.grams)}
         rows = [scores / len(gram) for gram, scores in model.grams.items()]
-        self._gram_rows = np.array(rows).reshape(-1, len(model.languages))
+        self._gram_rows = np.array(rows).reshape(len(rows), len(model.languages))
         self._forget()
 
     def _forget(self) -> None:
         """Row 0 stands for words without any score."""
         self._place: dict[str, int] = {word: k for k, word in enumerate(self._model.words, 1)}
-        known = np.array(list(self._model.words.values())).reshape(-1, len(self._model.languages))
+        known = np.array(list(self._model.words.values())).reshape(len(self._model.words), len(self._model.languages))
         self._rows = np.zeros((len(known) + 1024, len(self._model.languages)))
         self._rows[1 : len(known) + 1] = known
         self._used = len(known) + 1

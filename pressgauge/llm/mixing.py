@@ -20,6 +20,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -125,16 +126,18 @@ def _draws(numbers: DataFrame, settings: Settings) -> DataFrame:
     last = F.floor(F.col("upto"))
     last = last - F.when(place(last) >= F.col("upto"), 1).otherwise(0)
     count = F.least(last - first + 1, F.col("blocks") * F.lit(settings.most))
+    slots = shares.agg(F.sum("wanted")).first()[0] or 0
     shares = shares.withColumn("__first", first).withColumn("__count", count).where("__count > 0")
-    # runs of slots first, then their slots, so that no single row becomes a whole source
+    # runs of slots first, then their slots, so that no single row becomes a whole source; the number of
+    # tasks is given, as Spark would merge rows that look few before they are slots
     run = 4_096
     runs = shares.withColumn("__run", F.explode(F.sequence(F.lit(0), F.floor((F.col("__count") - 1) / run).cast("int"))))
-    runs = runs.repartition(F.col("source"), F.col("__run"))
+    runs = runs.repartition(max(1, math.ceil(slots / (8 * run))), F.xxhash64("source", "__run"))
     n = F.explode(F.sequence(F.col("__run") * F.lit(run).cast("bigint"), F.least(F.col("__run") * F.lit(run).cast("bigint") + (run - 1), F.col("__count") - 1)))
-    shards = F.greatest(F.lit(1), F.ceil(F.col("upto") / settings.shard_blocks))
-    slots = runs.withColumn("n", n)
+    shards = F.lit(max(1, math.ceil(slots / settings.shard_blocks)))
+    runs = runs.withColumn("n", n)
     key = F.xxhash64(F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull())
-    return slots.select(
+    return runs.select(
         "source",
         permute(F.pmod(F.col("n"), F.col("blocks")), F.col("blocks"), key, settings).alias("block"),
         F.pmod(F.xxhash64(F.lit(settings.seed), F.lit("shard"), F.col("__first") + F.col("n")), shards).alias("shard"),
@@ -175,8 +178,9 @@ def plan_mix(docs: DataFrame, settings: Settings = Settings(), *keys: str) -> Da
             F.least(F.col("start") + F.col("size"), (F.col("__b") + 1) * length) - F.greatest(F.col("start"), F.col("__b") * length)
         ).alias("words"),
     )
+    # Spark sizes slots by the rows that they are made of, far too low: it must not broadcast them
     taken = (
-        parts.join(drawn, F.col("__source").eqNullSafe(F.col("source")) & (F.col("__block") == F.col("block")))
+        parts.join(drawn.hint("merge"), F.col("__source").eqNullSafe(F.col("source")) & (F.col("__block") == F.col("block")))
         .groupBy("__source", F.col("lane").alias("__lane"), F.col("start").alias("__start"))
         .agg(
             F.sum(F.col("words") * F.col("times")).alias("taken"),
@@ -189,7 +193,7 @@ def plan_mix(docs: DataFrame, settings: Settings = Settings(), *keys: str) -> Da
         & (F.col("start") == F.col("__start"))
         & (F.col("size") > 0)
     )
-    return packed.join(taken, matches, "left").select(
+    return packed.join(taken.hint("merge"), matches, "left").select(
         "doc_id",
         *keys,
         "size",
