@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressgauge.functions.matching import display_headline
+from pressgauge.operators.web import WEB_CHECK
 
 # Chart series, in display order.
 VERDICT_SERIES = ["Likely Real", "Likely Fake", "Not Sure"]
@@ -13,13 +14,15 @@ METHOD_SERIES = {"Database Match": "database", "Reading Model": "reading_model",
 
 HISTORY_COLUMNS = [
     "id", "headline", "article_text", "score", "result_label", "explanation", "analyzed_at", "confidence", "method",
-    "matched_headline", "matched_extract",
+    "matched_headline", "matched_extract", "web_check",
 ]
 
 
 def history_rows(analyzed: DataFrame, analyzed_at: Column | None = None) -> DataFrame:
     """One history row per analysed request: shortened headline, verdict, and a copy
-    of the evidence; confidence stays null when the verdict was refused."""
+    of the evidence; confidence stays null when the verdict was refused, and web_check
+    when no search ran."""
+    web_check = F.col("web_check") if "web_check" in analyzed.columns else F.lit(None)
     shown = display_headline(F.col("headline"), F.col("body"))
     return analyzed.withColumn("__shown", shown).select(
         "id",
@@ -33,6 +36,7 @@ def history_rows(analyzed: DataFrame, analyzed_at: Column | None = None) -> Data
         "method",
         F.coalesce("match.headline", F.lit("")).alias("matched_headline"),
         F.coalesce("match.article_text", F.lit("")).alias("matched_extract"),
+        web_check.cast(WEB_CHECK).alias("web_check"),
     )
 
 

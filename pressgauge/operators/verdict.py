@@ -14,6 +14,7 @@ from pressgauge.functions.fingerprints import clean_article_text
 from pressgauge.functions.intake import MIN_WORDS, check_long_enough, word_count
 from pressgauge.functions.matching import full_text, has_key, keep_keyed, normalize_headline, opening_of
 from pressgauge.operators.corpus import basis_rank, corpus_label, describe_basis
+from pressgauge.operators.web import attach_web_checks
 
 EVIDENCE = ("id", "label", "source", "label_basis", "headline", "article_text")
 
@@ -119,13 +120,16 @@ def analyze(
     record: CutoffRecord | None = None,
     model_record: dict | None = None,
     cleaned: bool = True,
+    replies: DataFrame | None = None,
+    band: tuple[float, float] | None = None,
 ) -> DataFrame:
     """The cascade, one output row per request (id, headline, body, ...).
 
     Exact lookup; then too short; then the scorer: with a measured record the
     verdict quotes measured precision, without one the model's own probability;
     then nothing available. Adds score, label, confidence, method, explanation,
-    matched_on, match and fake_score.
+    matched_on, match and fake_score. With `replies` (id, web_check) a last step adds
+    what the web says where the score is in `band` or `search_web` asks for it.
     """
     looked = lookup(requests, corpus)
     text = full_text(F.col("headline"), F.col("body"))
@@ -170,7 +174,7 @@ def analyze(
         step = F.when(F.col("__step") == 1, hit).when(F.col("__step") == 2, brief)
         return step.when(p.isNotNull(), judged).otherwise(nothing)
 
-    return scored.withColumns(
+    answered = scored.withColumns(
         {
             "score": by_step(F.when(match["label"] == "FAKE", 100).otherwise(0), F.lit(50), score, F.lit(0)),
             "label": by_step(
@@ -186,6 +190,9 @@ def analyze(
             ),
         }
     ).drop("__step")
+    if replies is None:
+        return answered
+    return attach_web_checks(answered, replies, *(band or (None, None)))
 
 
 def performance_sentence(model_record: dict | None) -> str:

@@ -155,6 +155,33 @@ def normalize_web_replies(replies: DataFrame, reply: str = "reply", elapsed: str
     return read.withColumn("web_check", record).select(*replies.columns, "web_check")
 
 
+WEB_CHECK = (
+    "struct<status:string,verdict:string,confidence:string,summary:string,reporting:array<string>,debunking:array<string>,"
+    "factcheck_rating:string,sources:array<struct<title:string,url:string>>,queries:array<string>,error:string,"
+    "elapsed:double,reason:string>"
+)
+
+
+def attach_web_checks(
+    analyzed: DataFrame, read: DataFrame, low: float | None, high: float | None, requested: str = "search_web"
+) -> DataFrame:
+    """Add `web_check` to answered requests: what a search said where the model is unsure or
+    one was asked for, with that reason; null where none ran. Verdicts stay as they are.
+
+    `read` has id and the record of `normalize_web_replies`. A search that brought no
+    record is 'unavailable', which is neither 'nothing' nor null.
+    """
+    band = F.lit(False) if low is None or high is None else in_band(F.col("fake_score"), low, high)
+    asked = F.coalesce(F.col(requested), F.lit(False)) if requested in analyzed.columns else F.lit(False)
+    wanted = (F.col("method") == "reading_model") & (band | asked)
+    reason = F.when(band, "unsure").otherwise("requested")
+    blank = F.from_json(F.lit('{"status": "unavailable", "error": "no reply"}'), WEB_CHECK)
+    found = read.select(F.col("id").alias("__id"), F.col("web_check").alias("__reply"))
+    joined = analyzed.withColumn("__ask", F.when(wanted, F.col("id"))).join(found, F.col("__ask") == F.col("__id"), "left")
+    record = F.coalesce(F.col("__reply").withField("reason", reason).cast(WEB_CHECK), blank.withField("reason", reason))
+    return joined.withColumn("web_check", F.when(F.col("__ask").isNotNull(), record)).drop("__ask", "__id", "__reply")
+
+
 def flag_disagreement(df: DataFrame, label: str = "result_label") -> DataFrame:
     """Add `disagrees`: the web found the opposite of the model's verdict."""
     web = F.col("web_check")

@@ -443,6 +443,17 @@ def history(spark, folder):
     return rows.select("id", "headline", "article_digest", "score", "result_label", "confidence", "method", "matched_headline")
 
 
+@query
+def history_web(spark, folder):
+    """History with the web step: the band asks, every eleventh request asks for itself, replies by conversation."""
+    asked = data.pastes(spark, folder).withColumn("search_web", F.col("id") % 11 == 0)
+    read = web.normalize_web_replies(data.web_replies(spark, folder).filter("turn = 0"))
+    replies = read.select(F.col("conv_id").alias("id"), "web_check")
+    told = verdict.analyze(asked, data.corpus(spark, folder), data.digest_scorer, data.RECORD, replies=replies, band=data.BAND)
+    rows = report.history_rows(told, F.timestamp_seconds(F.col("id")))
+    return rows.select("id", "method", *[F.col(f"web_check.{c}").alias(f"web_{c}") for c in ("reason", "status", "verdict")])
+
+
 @query
 def history_total(spark, folder):
     return report.history_total(_history(spark, folder))

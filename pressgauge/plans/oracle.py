@@ -494,6 +494,11 @@ SQL = {
         UNION ALL SELECT 'macro avg', sum(precision * 0.5::DOUBLE ORDER BY y), sum(recall * 0.5::DOUBLE ORDER BY y), sum(f1 * 0.5::DOUBLE ORDER BY y), any_value(n) FROM per, overall
         UNION ALL SELECT 'weighted avg', sum(precision * (support / n) ORDER BY y), sum(recall * (support / n) ORDER BY y), sum(f1 * (support / n) ORDER BY y), any_value(n) FROM per, overall""",
     "history": f"WITH {CASCADE} SELECT id, headline, md5(article_text) AS article_digest, score, result_label, confidence, method, matched_headline FROM shown",
+    "history_web": f"""WITH {CASCADE}, {REPLIES}, asked AS (SELECT id, method,
+          CASE WHEN method <> 'reading_model' THEN NULL WHEN p > {BAND[0]} AND p < {BAND[1]} THEN 'unsure' WHEN id % 11 = 0 THEN 'requested' END AS reason FROM cascade)
+        SELECT id, method, reason AS web_reason, CASE WHEN reason IS NOT NULL THEN coalesce(status, 'unavailable') END AS web_status,
+          CASE WHEN reason IS NOT NULL THEN verdict END AS web_verdict
+        FROM asked LEFT JOIN web ON conv_id = id AND turn = 0""",
     "history_total": f"WITH {CASCADE} SELECT count(*) AS total FROM shown",
     "dashboard": f"""WITH {CASCADE}, c AS (SELECT count(*) AS total, count(*) FILTER (result_label = 'Likely Real') AS real_count,
           count(*) FILTER (result_label = 'Likely Fake') AS fake_count, count(*) FILTER (result_label = 'Not Sure') AS unsure_count FROM shown)
