@@ -138,3 +138,31 @@ def test_history_table_rewrite(spark, tmp_path):
     held = spark.read.parquet(path)
     store.replace_table(held.filter("id <> 3"), path, "day")
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 2, 4]
+
+
+def test_report_tells_files_of_one_name_apart(spark):
+    schema = "file_no int, pos long, file string, headline string, body string, label string, source string, basis string, key string"
+    rows = [(k, i, "news.csv", f"H {k} {i}", "", "REAL", "s", "source", f"h {k} {i}") for k in range(2) for i in range(k + 1)]
+    none = corpus.corpus_rows(spark.createDataFrame(rows, schema).withColumn("id", F.col("pos")), "id").limit(0)
+    told = [(r.file, r.rows_read, r.added) for r in corpus.load_report(none, spark.createDataFrame(rows, schema)).collect()]
+    assert sorted(told, key=repr) == sorted([("news.csv", 1, 1), ("news.csv", 2, 2), (None, 3, 3)], key=repr)
+
+
+def test_rows_follow_file_names_not_sizes(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name, n in (("c.csv", 400), ("a.csv", 2), ("b.csv", 50)):
+        lines = "".join(f'"{name} {i}","{"long text " * 20}"\n' for i in range(n))
+        (folder / name).write_text("title,text\n" + lines)
+    read = articles.read_labelled_csv(spark, str(folder), "s", label="real").orderBy("pos").collect()
+    assert [r.headline for r in read] == [f"{name} {i}" for name, n in (("a.csv", 2), ("b.csv", 50), ("c.csv", 400)) for i in range(n)]
+
+
+def test_batch_and_stream_share_a_history(spark, tmp_path):
+    path = str(tmp_path / "shared")
+    rows = spark.range(4).withColumn("analyzed_at", F.timestamp_seconds(F.col("id") * 86_400))
+    store.append_history(rows, path)
+    store.append_history(rows, path, "stream-0")
+    store.append_history(rows, path, "stream-0")  # a replay takes the place of the first attempt
+    history = spark.read.parquet(path)
+    assert history.count() == 8 and history.select("batch").distinct().count() == 2
