@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressgauge.session import cut_lineage, read_table
@@ -24,10 +25,13 @@ __all__ = [
     "WORD",
     "cut_lineage",
     "doc_text",
+    "hash_sample",
     "map_arrow",
     "pieces",
+    "share_for",
     "strings",
     "table",
+    "unit_hash",
     "utf8_buffer",
 ]
 
@@ -41,6 +45,25 @@ def doc_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def share_for(most: int, of: Column) -> Column:
+    """The share of hashes to keep of `of` values so that `most` of them are nearly surely among them."""
+    return F.lit(float(most + 6 * math.sqrt(most) + 20)) / F.greatest(of, F.lit(1))
+
+
+def unit_hash(column: str) -> Column:
+    """A number from 0 up to 1 that depends on the value alone."""
+    return F.shiftrightunsigned(F.xxhash64(column), 11) / F.lit(float(2**53))
+
+
+def hash_sample(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """At most `most` different rows, those of the smallest hash of `column`.
+
+    A count tells how small hashes must be, so little more than `most` rows meet in the task that ranks them.
+    """
+    few = rows.where(unit_hash(column) < share_for(most, F.lit(rows.count()))).distinct()
+    return few.orderBy(unit_hash(column), column).limit(most)
+
+
 def strings(column: pa.Array) -> list[str]:
     """Python strings of a text column; bytes that are not UTF-8 become U+FFFD."""
     try:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressgauge.llm.common import map_arrow, strings
+from pressgauge.llm.common import hash_sample, map_arrow, strings
 
 
 @dataclass(frozen=True)
@@ -253,13 +253,7 @@ def count_features(page: str) -> dict[str, tuple[int, int]] | None:
 
 def learn_weights(pages: DataFrame, settings: Settings = Settings()) -> Weights:
     """From at most sample_rows pages; features are few, whatever the pages."""
-    ids = (
-        pages.select("page_id")
-        .where("page_id is not null")
-        .orderBy(F.xxhash64("page_id"), "page_id")
-        .limit(settings.sample_rows)
-        .distinct()
-    )
+    ids = hash_sample(pages.select("page_id").where("page_id is not null"), "page_id", settings.sample_rows)
     sample = pages.select("page_id", F.col("html").alias("text")).where("text is not null").join(F.broadcast(ids), "page_id", "left_semi")
 
     def work(batch: pa.RecordBatch) -> dict:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pressgauge.llm.common import cut_lineage, doc_text, map_arrow, strings
+from pressgauge.llm.common import cut_lineage, doc_text, map_arrow, share_for, strings, unit_hash
 
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -62,10 +62,12 @@ def _sample(train: DataFrame, settings: Settings) -> DataFrame:
     known = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     known = known.select("doc_id", "lang", "text")
     common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("__n", F.row_number().over(order))
-    ids = ids.where(F.col("__n") <= settings.sample_rows).join(F.broadcast(common.select("lang")), "lang")
-    return known.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    order = Window.partitionBy("lang").orderBy(unit_hash("doc_id"), "doc_id")
+    # at most `languages` rows; little more than sample_rows of each language are then ranked
+    ids = known.select("doc_id", "lang").join(F.broadcast(common), "lang")
+    ids = ids.where(unit_hash("doc_id") < share_for(settings.sample_rows, F.col("count"))).select("doc_id", "lang").distinct()
+    ids = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= settings.sample_rows)
+    return known.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
 
 def _pieces(rows: DataFrame, longest: int) -> DataFrame:

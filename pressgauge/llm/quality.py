@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressgauge.llm.common import BLANKS, doc_text, map_arrow, strings
+from pressgauge.llm.common import BLANKS, doc_text, hash_sample, map_arrow, strings
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = (
@@ -205,13 +205,9 @@ def learn(values: np.ndarray, bad: np.ndarray, prune: np.ndarray, settings: Sett
 
 def learn_list(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> list[Rule]:
     """Learns from at most `sample_rows` labelled documents; only their statistics reach the driver."""
-    wanted = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("__quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(settings.sample_rows)
-    )
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("__quality"))
+    wanted = hash_sample(known, "doc_id", settings.sample_rows)
     # `wanted` is bounded by sample_rows, so Spark may broadcast it and the texts stay where they are
     taught = measure(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"), "__quality")
     rows = (
