@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.session import cut_lineage, read_table
+from pressgauge.session import checkpoint_folder, cut_lineage, read_table
 
 # The six characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -29,6 +30,7 @@ __all__ = [
     "map_arrow",
     "pieces",
     "share_for",
+    "stored",
     "strings",
     "table",
     "unit_hash",
@@ -40,6 +42,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_table(spark, f"{folder}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a compressed table in the cluster's shared checkpoint folder: for rows too wide for a checkpoint,
+    which is not compressed. It survives lost executors, as a checkpoint does."""
+    path = f"{checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def doc_text(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), and `more`; other columns stay behind, whatever they are called."""
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)

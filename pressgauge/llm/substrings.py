@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.llm import hashing
-from pressgauge.llm.common import cut_lineage, map_arrow, pieces, utf8_buffer
+from pressgauge.llm.common import map_arrow, pieces, stored, utf8_buffer
 
 PIECE = 1_000_000  # bytes of text that are hashed at once
 BATCH = 16_000_000  # bytes of text whose equal strings are merged before they are sent
@@ -375,9 +375,9 @@ def removed_ranges(docs: DataFrame, settings: Settings = Settings()) -> DataFram
         F.max("again").alias("again"),
         ((F.min("form") != F.max("form")) | F.max("again")).alias("several"),
     )
-    counts = cut_lineage(counts.where("times > 1 or again"))
+    counts = stored(counts.where("times > 1 or again"))
     repeated, formed = screen(counts, settings), screen(counts.where("several"), settings)
-    strings = cut_lineage(strings_of(texts, repeated, formed, frequent(counts, settings), settings))
+    strings = stored(strings_of(texts, repeated, formed, frequent(counts, settings), settings))
 
     # one form only: it is repeated as a whole, or not at all
     whole = strings.where("bytes is null").groupBy("key", "digest").agg(F.sum("times").alias("times"), F.first("size").alias("size"))
@@ -399,7 +399,7 @@ def removed_ranges(docs: DataFrame, settings: Settings = Settings()) -> DataFram
             "key bigint, digest binary, ranges array<struct<first:int,end:int>>",
         )
     )
-    judged = cut_lineage(judged.unionAll(whole))
+    judged = stored(judged.unionAll(whole))
     placed = strings.select("key", "digest", "places").join(judged, ["key", "digest"])
     placed = placed.select(F.explode("places").alias("place"), "ranges")
     return (
