@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.llm import hashing
-from pressgauge.llm.common import cut_lineage, doc_text, map_arrow, pieces, utf8_buffer
+from pressgauge.llm.common import cut_lineage, doc_text, map_arrow, pieces, stored, utf8_buffer
 
 PIECE = 1_000_000  # bytes of text that are hashed at once
 
@@ -196,7 +196,7 @@ def link(sketches: DataFrame, docs: DataFrame, settings: Settings = Settings())
     # the texts of candidates: of each, the rows of its smallest doc_id
     wanted = members.groupBy(F.col("member").alias("content")).agg(F.first("doc_id").alias("__doc"))
     texts = doc_text(docs).withColumn("content", F.md5(F.col("text").cast("binary")))
-    texts = cut_lineage(
+    texts = stored(
         texts.join(wanted, "content").where(F.col("doc_id").eqNullSafe(F.col("__doc"))).select("content", "text")
     )
 
