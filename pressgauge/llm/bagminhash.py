@@ -13,8 +13,8 @@ latest of its text's registers; long texts stop after an arrival or two.
 Signatures are cut into bands; texts that share a band are candidates, verified by the exact overlap
 of their multisets. Equal texts are one node from the start. A bucket's texts are compared with one of
 them, the bucket's pivot, so that a bucket of n texts costs n comparisons, not n^2; pairs that are in one
-component already need none. A bucket that still holds several components is split by a second band, then
-a third: texts that share those as well are compared with the finer bucket's own pivot. A pair at 0.8
+component already need none. A bucket that still holds several components is split by a second band, eight
+of them in turn: texts that share it as well are compared with the finer bucket's own pivot. A pair at 0.8
 shares 8 of the 25 bands on average, so it meets in many buckets with many pivots. Components are those
 of all verified pairs.
 
@@ -44,8 +44,8 @@ class Settings:
     similarity: float = 0.8
     bands: int = 25  # a pair at 0.8 shares no band with probability 0.00005
     rows: int = 5
-    depth: int = 2  # times that a bucket of several components is split by a further band
-    ahead: int = 6  # bands that each split tries
+    depth: int = 1  # times that a bucket of several components is split by a further band
+    ahead: int = 8  # bands that each split tries
 
 
 def signatures(text: np.ndarray, shingle: np.ndarray, times: np.ndarray, n_texts: int, registers: int) -> np.ndarray:
@@ -158,11 +158,18 @@ def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest node) for every node of the links (a, b).
 
     Every node points to the smallest node it knows of; large-star and small-star steps alternate until
-    nothing changes, a number of rounds that grows with the logarithm of a component's size.
+    every node points to one other, which points to none: a number of rounds that grows with the logarithm
+    of a component's size.
     """
+
+    def unfinished(edges: DataFrame) -> bool:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("held"))
+        ends = ends.unionAll(edges.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("out").alias("out"), F.max("held").alias("held"))
+        return ends.where("out > 1 or (out > 0 and held > 0)").limit(1).count() > 0
+
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges, before = cut_lineage(edges), None
-    while True:
+    edges = cut_lineage(edges)
+    while unfinished(edges):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: greater neighbours go to the least
@@ -174,10 +181,6 @@ def components(links: DataFrame) -> DataFrame:
             joined.select("u", F.col("m").alias("v"))
         )
         edges = cut_lineage(small.distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first())
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
