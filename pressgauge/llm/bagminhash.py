@@ -13,10 +13,10 @@ latest of its text's registers; long texts stop after an arrival or two.
 Signatures are cut into bands; texts that share a band are candidates, verified by the exact overlap
 of their multisets. Equal texts are one node from the start. A bucket's texts are compared with one of
 them, the bucket's pivot, so that a bucket of n texts costs n comparisons, not n^2; pairs that are in one
-component already need none. A bucket that still holds several components is split by a second band, eight
-of them in turn: texts that share it as well are compared with the finer bucket's own pivot. A pair at 0.8
-shares 8 of the 25 bands on average, so it meets in many buckets with many pivots. Components are those
-of all verified pairs.
+component already need none. The texts of buckets that still hold several components are then joined by what
+any pair at the similarity must share, one of the rarest shingles of both its texts, and every pair of
+different components that meets there is verified. So no pair that shares a band is left out, and what is
+common to many texts costs nothing. Components are those of all verified pairs.
 
 A text of one to four words has one shingle, all its words. Texts without words are linked to their
 exact copies only. Null text is the empty text. Repeated rows get the same class. A class is named
@@ -28,6 +28,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ from pressgauge.llm import hashing
 from pressgauge.llm.common import cut_lineage, doc_text, map_arrow, pieces, stored, utf8_buffer
 
 PIECE = 1_000_000  # bytes of text that are hashed at once
+CELL_BITS, BLOCK_BITS = 22, 12  # of the table that tells common shingles; it only decides what a run costs
 
 
 @dataclass(frozen=True)
@@ -44,8 +46,6 @@ class Settings:
     similarity: float = 0.8
     bands: int = 25  # a pair at 0.8 shares no band with probability 0.00005
     rows: int = 5
-    depth: int = 1  # times that a bucket of several components is split by a further band
-    ahead: int = 8  # bands that each split tries
 
 
 def signatures(text: np.ndarray, shingle: np.ndarray, times: np.ndarray, n_texts: int, registers: int) -> np.ndarray:
@@ -189,6 +189,85 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def candidates(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """a, b: every pair of members (member, c) of different c that can reach the similarity, and few others.
+
+    In one order of all shingles (each counted as often as it occurs), a pair of overlap o shares one of the first
+    size - o + 1 of both its texts. Shingles that many members have come last in that order, so what is common to
+    many brings nobody together.
+    """
+    session, t = members.sparkSession, settings.similarity
+    rows = members.join(texts.withColumnRenamed("content", "member"), "member").select("member", "c", "text")
+
+    def count(batch: pa.RecordBatch) -> dict:
+        _, shingle, _ = hashing.shingles(*utf8_buffer(batch["text"]), settings.words)
+        cell, n = np.unique(shingle >> np.uint64(64 - CELL_BITS), return_counts=True)
+        block, first = np.unique(cell >> np.uint64(BLOCK_BITS), return_index=True)
+        edges = np.append(first, len(cell))
+        within, n = (cell & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint16), n.astype(np.uint32)
+        parts = list(zip(edges[:-1], edges[1:], strict=True))
+        return {
+            "block": pa.array(block.astype(np.int32)),
+            "cells": pa.array([within[i:j].tobytes() for i, j in parts], pa.binary()),
+            "counts": pa.array([n[i:j].tobytes() for i, j in parts], pa.binary()),
+        }
+
+    def add_up(parts: pd.DataFrame) -> pd.DataFrame:
+        sums = np.zeros(1 << BLOCK_BITS)
+        for cells, counts in zip(parts["cells"], parts["counts"], strict=True):
+            sums[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint32)
+        return pd.DataFrame({"block": parts["block"].iloc[:1], "levels": [np.log2(sums + 1).astype(np.uint8).tobytes()]})
+
+    counted = map_arrow(rows.select("text"), "block int, cells binary, counts binary", count)
+    levels = np.zeros((1 << CELL_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint8)
+    for row in counted.groupBy("block").applyInPandas(add_up, "block int, levels binary").toLocalIterator():
+        levels[row["block"]] = np.frombuffer(row["levels"], np.uint8)
+    shared = session.sparkContext.broadcast(levels.ravel())
+
+    def prefixes(batch: pa.RecordBatch) -> dict:
+        text, shingle, times = hashing.shingles(*utf8_buffer(batch["text"]), settings.words)
+        level = shared.value[(shingle >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+        order = np.lexsort((shingle, level, text))
+        text, shingle, times = text[order], shingle[order], times[order]
+        size = np.bincount(text, times, batch.num_rows).astype(np.int64)
+        # the shorter of a pair overlaps by 2 t / (1 + t) of its size at least, the longer by t
+        short = size - np.ceil(size * (2 * t / (1 + t)) - 1e-6).astype(np.int64) + 1
+        long = size - np.ceil(size * t - 1e-6).astype(np.int64) + 1
+        first = np.cumsum(times) - times
+        first -= (np.cumsum(size) - size)[text]
+        # of a shingle only as many occurrences as the longer prefix reaches
+        kept = np.flatnonzero(first < long[text])
+        text, shingle, times, first = text[kept], shingle[kept], times[kept], first[kept]
+        times = np.minimum(times, long[text] - first)
+        which = np.repeat(np.arange(len(text)), times)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+        token = hashing.mix(shingle[which] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return {
+            "member": batch["member"].take(pa.array(text[which])),
+            "c": batch["c"].take(pa.array(text[which])),
+            "size": pa.array(size[text[which]]),
+            "token": pa.array(token.view(np.int64)),
+            "short": pa.array(first[which] + nth < short[text[which]]),
+        }
+
+    def small(batch: pa.RecordBatch) -> dict:
+        found = [prefixes(p) for p in pieces(batch, "text", PIECE)]
+        return {c: pa.concat_arrays([f[c] for f in found]) for c in found[0]}
+
+    tokens = cut_lineage(map_arrow(rows, "member string, c string, size bigint, token bigint, short boolean", small))
+    # tokens of one component alone lead nowhere
+    several = tokens.groupBy("token").agg(F.min("c").alias("__low"), F.max("c").alias("__high"), F.max("short").alias("__short"))
+    tokens = cut_lineage(tokens.join(several.where("__short and __low <> __high").select("token"), "token"))
+    left = tokens.where("short").select("token", F.col("member").alias("x"), F.col("c").alias("__x"), F.col("size").alias("m"))
+    right = tokens.select("token", F.col("member").alias("y"), F.col("c").alias("__y"), F.col("size").alias("n"))
+    met = left.join(right, "token").where(
+        (F.col("__x") != F.col("__y"))
+        & (F.col("m") >= F.col("n") * F.lit(t) - 1e-6)
+        & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") < F.col("y"))))
+    )
+    return met.select(*_pair("x", "y")).distinct()
+
+
 def link(sketches: DataFrame, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """node (content) and component, for contents that are linked to others."""
     distinct = sketches.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
@@ -211,10 +290,10 @@ def link(sketches: DataFrame, docs: DataFrame, settings: Settings = Settings())
     def state() -> DataFrame:
         return cut_lineage(components(checked.where(F.col("similarity") >= settings.similarity)))
 
-    def compare(candidates: DataFrame) -> int:
-        """Verifies the candidates that were not yet, and adds them to what is checked."""
+    def compare(pairs: DataFrame) -> int:
+        """Verifies the pairs that were not yet, and adds them to what is checked."""
         nonlocal checked, found
-        new = cut_lineage(candidates.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+        new = cut_lineage(pairs.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"))
         n_new = new.count()
         if n_new:
             known = cut_lineage(verify(new, texts, settings.words).distinct())
@@ -231,23 +310,16 @@ def link(sketches: DataFrame, docs: DataFrame, settings: Settings = Settings())
     rest = component_of(component_of(pairs, "pivot", "p"), "member", "c").where("p <> c")
     compare(rest.select(*_pair("pivot", "member")))
 
-    every = distinct.select(F.col("content").alias("member"), "keys")
-    finer = members.where("n > 2").select("key", "member")
-    for depth in range(settings.depth):
-        # buckets of several components, split by the bands that follow the one they share
-        labeled = component_of(finer, "member", "c")
-        mixed = labeled.groupBy("key").agg(F.min("c").alias("__low"), F.max("c").alias("__high")).where("__low <> __high")
-        rest = labeled.join(mixed.select("key"), "key").select("key", "member").join(every, "member")
-        steps = F.sequence(F.lit(1 + depth * settings.ahead), F.lit((depth + 1) * settings.ahead))
-        at = lambda d: F.pmod(F.col("key") + d, F.lit(settings.bands)).cast("int")
-        keys = F.transform(steps, lambda d: F.xxhash64("key", F.get("keys", at(d)), d))
-        rest = cut_lineage(rest.select("member", F.explode(keys).alias("key")))
-        # another pivot than before, else the same pairs would be found
-        pivots = rest.groupBy("key").agg((F.max if depth % 2 == 0 else F.min)("member").alias("pivot"), F.count("*").alias("n"))
-        rest = rest.join(pivots.where("n > 1"), "key")
-        pairs = component_of(component_of(rest.where("member <> pivot"), "pivot", "p"), "member", "c").where("p <> c")
-        compare(pairs.select(*_pair("pivot", "member")))
-        finer = rest.where("n > 2").select("key", "member")
+    # what buckets of several components still leave open
+    labeled = component_of(members.where("n > 2").select("key", "member"), "member", "c")
+    mixed = labeled.groupBy("key").agg(F.min("c").alias("__low"), F.max("c").alias("__high")).where("__low <> __high")
+    rest = cut_lineage(labeled.join(mixed.select("key"), "key").select("member", "c").distinct())
+    open_ = cut_lineage(candidates(rest, texts, settings))
+    # each member with one partner first, as above
+    either = open_.select(F.col("a").alias("member"), "a", "b").unionAll(open_.select(F.col("b").alias("member"), "a", "b"))
+    one = either.groupBy("member").agg(F.min(F.struct("a", "b")).alias("pair"))
+    compare(one.select("pair.a", "pair.b"))
+    compare(component_of(component_of(open_, "a", "p"), "b", "c").where("p <> c").select("a", "b"))
     return found
 
 

@@ -77,6 +77,24 @@ def test_classes_equal_comparing_all_pairs(spark, prose, seed):
     assert all(c <= k for k, c in got.items())
 
 
+def test_pairs_within_a_common_passage(spark, prose):
+    """Planted pairs are little more than a passage that hundreds share, so that they meet in its buckets alone."""
+    words = lambda seed, n: [f"w{seed}x{k}" for k in range(n)]
+    passage = words("p", 60)
+    texts = [" ".join(passage + words(f"f{k}", 30 + k % 60)) for k in range(240)]
+    for k in range(60):
+        ends = words(f"s{k}", 2)
+        texts += [" ".join(ends + passage + words(f"{side}{k}", 6)) for side in "ab"]
+    # shingles that repeat
+    texts += [" ".join(passage + ["again"] * n) for n in (12, 15, 30)]
+    rows = list(enumerate(texts))
+    want = classes_of(rows)
+    assert len(set(want)) == 240 + 60 + 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in B.near_duplicates(df).collect()}
+    assert same_partition([got[k] for k, _ in rows], want)
+
+
 def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(40)] + [("x", "y")], "a string, b string")
     found = {r.node: r.component for r in B.components(links).collect()}
