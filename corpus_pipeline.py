@@ -61,23 +61,23 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix draws the block of their first word: no, one or two times.
-
-    So the words of each source come near its target, and no document is cut.
+    """Whole documents, no, one or two times each, so that the words of each source add up to its target and a
+    document's copies follow the share of it that the mix takes.
     """
-    plan = mixing.plan_mix(docs, mixing.Settings(), "n_chars")
-    # rows that the plan cannot tell apart (same id, source and length) share their draws evenly
-    drawn = plan.groupBy("doc_id", "source", "n_chars", "size").agg(
-        F.sum("first_taken").alias("__times"), F.count("*").alias("__rows")
+    plan = mixing.plan_mix(docs, mixing.Settings(), "n_chars").where("size > 0")
+    parts = ("doc_id", "source", "n_chars", "size")
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in ("doc_id", "n_chars", "size")])
+    key = F.concat(key, F.coalesce(F.concat(F.lit("|"), F.col("source").cast("string")), F.lit("")))
+    # rows that the plan cannot tell apart (same id, source and length) get its rows in turn
+    drawn = plan.select(*parts, "first_taken").groupBy(key.alias("__key")).agg(
+        F.sort_array(F.collect_list("first_taken"), asc=False).alias("__times")
     )
-    keyed = docs.select(*COLUMNS).withColumn("size", mixing.word_count(F.col("text")))
-    drawn = drawn.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "n_chars", "size")], "__times", "__rows")
-    same = F.lit(True)
-    for c in ("doc_id", "source", "n_chars", "size"):
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    times = F.round(F.col("__times") / F.col("__rows")).cast("int")
-    rows = keyed.join(drawn, same).withColumn("__times", times).where("__times > 0")
-    return rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*COLUMNS)
+    drawn = drawn.where(F.element_at("__times", 1) > 0)
+    keyed = docs.select(*COLUMNS).withColumn("size", mixing.word_count(F.col("text"))).withColumn("__key", key)
+    order = Window.partitionBy("__key").orderBy("lang", F.xxhash64("text"), "text")
+    rows = keyed.join(drawn, "__key").withColumn("__n", F.row_number().over(order))
+    rows = rows.withColumn("__times", F.element_at("__times", F.col("__n"))).where("__times > 0")
+    return rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,7 @@ class Settings:
     shard_blocks: int = 10_000  # blocks of an output shard, about
     rounds: int = 24  # of the shuffle
     seed: int = 20
+    long: int = 256  # a row of this part of its source is long
 
 
 def word_count(text: Column) -> Column:
@@ -144,9 +145,8 @@ def _draws(numbers: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def plan_mix(docs: DataFrame, settings: Settings = Settings(), *keys: str) -> DataFrame:
-    """doc_id, `keys`, size, source, source_size, target, taken, and first_taken: how often the block of the
-    row's first word is drawn. One row for each row.
+def words_taken(docs: DataFrame, settings: Settings = Settings(), *keys: str) -> DataFrame:
+    """doc_id, `keys`, size, source, source_size, target, taken, and the row's lane and place in it. One row for each row.
 
     The texts are read once, for their word counts; from then on only numbers are shuffled.
     """
@@ -173,7 +173,6 @@ def plan_mix(docs: DataFrame, settings: Settings = Settings(), *keys: str) -> Da
         "lane",
         "start",
         (F.col("first_block") + F.col("__b")).alias("__block"),
-        (F.floor(F.col("start") / length) == F.col("__b")).alias("__opens"),
         (
             F.least(F.col("start") + F.col("size"), (F.col("__b") + 1) * length) - F.greatest(F.col("start"), F.col("__b") * length)
         ).alias("words"),
@@ -182,10 +181,7 @@ def plan_mix(docs: DataFrame, settings: Settings = Settings(), *keys: str) -> Da
     taken = (
         parts.join(drawn.hint("merge"), F.col("__source").eqNullSafe(F.col("source")) & (F.col("__block") == F.col("block")))
         .groupBy("__source", F.col("lane").alias("__lane"), F.col("start").alias("__start"))
-        .agg(
-            F.sum(F.col("words") * F.col("times")).alias("taken"),
-            F.sum(F.when(F.col("__opens"), F.col("times"))).alias("first_taken"),
-        )
+        .agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     )
     matches = (
         F.col("source").eqNullSafe(F.col("__source"))
@@ -201,10 +197,74 @@ def plan_mix(docs: DataFrame, settings: Settings = Settings(), *keys: str) -> Da
         "source_size",
         "target",
         F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
-        F.coalesce("first_taken", F.lit(0)).cast("bigint").alias("first_taken"),
+        "lane",
+        "start",
     )
 
 
+def _same_source(name: str) -> Column:
+    return F.col("source").eqNullSafe(F.col(name))
+
+
+def plan_mix(docs: DataFrame, settings: Settings = Settings(), *keys: str) -> DataFrame:
+    """doc_id, `keys`, size, source, source_size, target, taken, and first_taken: how often the row goes into a mix of
+    whole documents. One row for each row.
+
+    Copies follow taken / size. Long rows (at most `long` of a source) are rounded one after another by falling
+    size, each making up for what those before it are off. What they leave is spread over the ratios of the
+    others, whose running sum in order of size is rounded: rounding then errs by half of the longest of them at most.
+    """
+    plan = cut_lineage(words_taken(docs, settings, *keys))
+    columns = [c for c in plan.columns if c not in ("lane", "start")]
+    is_long = F.col("size") * settings.long >= F.col("source_size")
+    most = F.lit(settings.most)
+
+    listed = F.struct(-F.col("size"), "lane", "start", *columns)
+    ordered = plan.where(is_long & (F.col("size") > 0)).groupBy(F.col("source").alias("__source")).agg(F.sort_array(F.collect_list(listed)).alias("rows"))
+
+    def step(state: Column, row: Column) -> Column:
+        size, taken, off = row["size"], row["taken"], state["off"]
+        low, high = F.greatest(F.ceil(taken / size) - 1, F.lit(0)), F.least(F.floor(taken / size) + 1, most)
+        k = F.least(F.greatest(F.round((taken - off) / size).cast("bigint"), low), high).cast("bigint")
+        return F.struct((off + k * size - taken).alias("off"), F.concat(state["copies"], F.array(k)).alias("copies"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("off"), F.array().cast("array<bigint>").alias("copies"))
+    rounded = cut_lineage(ordered.select("__source", "rows", F.aggregate("rows", start, step).alias("state")))
+    pairs = F.explode(F.arrays_zip(F.col("rows").alias("row"), F.col("state.copies").alias("copies")))
+    long = rounded.select(pairs.alias("p")).select(*[F.col(f"p.row.{c}").alias(c) for c in columns], F.col("p.copies").alias("first_taken"))
+
+    short = plan.where(~is_long & (F.col("size") > 0))
+    sums = short.groupBy(F.col("source").alias("__of")).agg(
+        F.sum("taken").alias("__all"), F.sum(F.col("size") * most - F.col("taken")).alias("__room")
+    )
+    off = sums.join(rounded.select("__source", F.col("state.off").alias("__off")), F.col("__of").eqNullSafe(F.col("__source")), "left").drop("__source")
+    ratio = F.col("taken") / F.col("size")
+    less = ratio * (1 - F.least(F.lit(1.0), F.col("__off") / F.greatest("__all", F.lit(1))))
+    more = ratio + (most - ratio) * F.least(F.lit(1.0), -F.col("__off") / F.greatest("__room", F.lit(1)))
+    ratio = F.when(F.col("__off") > 0, less).when(F.col("__off") < 0, more).otherwise(ratio)
+    # in whole numbers, so that running sums are exact
+    one = 1 << 30
+    short = short.join(off, _same_source("__of")).withColumn("__r", F.least(F.floor(ratio * one), most * F.lit(one).cast("bigint")))
+    # rows of one size are equal here; the sizes of a source are few, about the root of twice its words at most
+    lanes = short.groupBy("source", "size", "lane").agg(F.sum("__r").alias("__sum"))
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    lanes = lanes.withColumn("__lanes", F.sum("__sum").over(upto("source", "size").orderBy("lane")))
+    sizes = lanes.groupBy(F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.sum("__sum").alias("__sum"))
+    sizes = sizes.withColumn("__sizes", F.sum("__sum").over(upto("__source").orderBy(F.desc("__size")))).drop("__sum")
+    before = F.coalesce("__lanes", F.lit(0)) + F.coalesce("__sizes", F.lit(0))
+    lanes = lanes.join(sizes, _same_source("__source") & (F.col("size") == F.col("__size"))).select(
+        F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("lane").alias("__lane"), before.alias("__before")
+    )
+    of_lane = _same_source("__source") & (F.col("size") == F.col("__size")) & (F.col("lane") == F.col("__lane"))
+    inside = F.coalesce(F.sum("__r").over(upto("source", "size", "lane").orderBy("start")), F.lit(0))
+    place = F.col("__before") + F.col("__inside") + F.lit(one // 2)
+    copies = F.shiftright(place + F.col("__r"), 30) - F.shiftright(place, 30)
+    short = short.withColumn("__inside", inside).join(lanes, of_lane).select(*columns, copies.alias("first_taken"))
+
+    none = plan.where("size = 0").select(*columns, F.lit(0).cast("bigint").alias("first_taken"))
+    return long.unionByName(short).unionByName(none)
+
+
 def shard_draws(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """shard, source, blocks: what each output shard draws from each source."""
     rows = cut_lineage(docs.select("doc_id", F.col("source").cast("string"), word_count(F.col("text")).alias("size")))

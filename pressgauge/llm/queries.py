@@ -60,7 +60,7 @@ def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.plan_mix(table(spark, folder, "documents")).select(
+    return mixing.words_taken(table(spark, folder, "documents")).select(
         "doc_id", "size", "source", "source_size", "target", "taken"
     )
 

@@ -43,6 +43,39 @@ def test_targets_limits_and_reruns(docs):
     assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, rows), key=repr)
 
 
+def test_whole_documents_meet_targets(spark, prose):
+    """Even where one document is a fifth of its source; rows without an id of their own are drawn like others."""
+    import corpus_pipeline
+
+    names, rows = ["a", "b", None], []
+    for k in range(1_800):
+        text = prose(k, 20 + k % 100)
+        rows.append((None if k % 9 == 0 else k // 2, text, "en", names[k % 3], len(text)))
+    for name in names:
+        words = sum(len(r[1].split()) for r in rows if r[3] == name)
+        rows.append((-1, prose(7, words // 4), "en", name, 1))
+    same = prose(8, 50)
+    rows += [(-2, same, "en", "b", 300)] * 75
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    sizes, longest = Counter(), Counter()
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+        longest[r[3]] = max(longest[r[3]], len(r[1].split()))
+    assert all(0.17 * sizes[s] < longest[s] for s in sizes)
+    want, given, times, words = targets(sizes, mixing.Settings()), Counter(rows), Counter(), Counter()
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        times[tuple(r)] += 1
+        words[r.source] += len(r.text.split())
+    assert all(n <= 2 * given[r] for r, n in times.items())
+    assert all(abs(words[s] - want[s]) <= 64 + 0.005 * sizes[s] for s in sizes), (words, want)
+    plan = mixing.plan_mix(docs, mixing.Settings(), "n_chars").collect()
+    assert len(plan) == len(rows) and all(0 <= r.first_taken <= 2 for r in plan)
+    # copies follow what the mix takes: rows of which nothing is taken are seldom used, those taken twice mostly twice
+    short = [r for r in plan if r.size < 200]
+    mean = lambda part: sum(r.first_taken for r in part) / len(part)
+    assert mean([r for r in short if r.taken == 2 * r.size]) > mean([r for r in short if r.taken == 0]) + 1
+
+
 def test_shard_draws_are_spread(docs):
     settings = mixing.Settings(block=16, shard_blocks=500)
     draws = mixing.shard_draws(docs, settings).collect()
