@@ -9,7 +9,8 @@ the sample has not shown. One linear scan finds the contiguous region of the lar
 what stands in such elements, is the page's.
 
 Character references are decoded, runs of white space inside a block become one space, blocks are trimmed
-and joined in order by one line feed, empty ones left out. Everything else of the region is kept, whole. A
+and joined in order by one line feed, empty ones left out. Inside the content, and for blocks that are text
+themselves, a class or id marks an element only if all of the name does, and ids of such blocks never do. Everything else of the region is kept, whole. A
 line break element is white space. A null, empty or textless page, or one in which nothing scores above
 zero, has the text "". Unclosed elements, stray end tags and pages that break off are read as far as they
 go. Repeated rows are answered alike.
@@ -36,7 +37,7 @@ class Settings:
 
 
 # Fixed values of HTML: elements whose text is not page text, those without an end, and those that break lines.
-RAW = frozenset("script style noscript template iframe textarea title svg math object audio video canvas select".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object audio video canvas select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 "
@@ -53,6 +54,10 @@ NOISE_WORDS = frozenset(
     "popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations "
     "trending comment comments commentlist disqus reply replies respond login search pagination pager widget widgets".split()
 )
+# words that say nothing beside those
+PLAIN_WORDS = frozenset("section box block list area bar button buttons icon icons link links item items form inner outer panel".split())
+# blocks that are text themselves: their ids are made from it, or numbered
+TEXT_BLOCKS = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text page wrapper container".split())
 
 _QUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
@@ -67,13 +72,25 @@ def _noise(tag: str, attributes: str, in_content: bool) -> bool:
     if not attributes or tag in ("body", "html", "article", "main"):
         return False
     words: set[str] = set()
+    names: list[str] = []
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         if name.lower() == "hidden" or (name.lower() == "role" and value.strip() in NOISE_ROLES):
             return True
         if name.lower() in ("class", "id"):
             words.update(_SPLIT.split(value))
-    return bool(words & NOISE_WORDS) and not words & CONTENT_WORDS
+            # an id is one name, a class has several
+            if name.lower() == "class":
+                names += value.split()
+            elif tag not in TEXT_BLOCKS:
+                names.append(value)
+    if words & CONTENT_WORDS:
+        return False
+    if in_content or (tag in TEXT_BLOCKS and tag != "li"):
+        # among content a name must be all noise: "comments", but not "search-engines"
+        parts = [set(_SPLIT.split(x)) - PLAIN_WORDS - {""} for x in names]
+        return any(x and x <= NOISE_WORDS for x in parts)
+    return bool(words & NOISE_WORDS)
 
 
 Token = tuple[str, str | None, int]  # feature, text (None: a tag), block

@@ -32,6 +32,20 @@ CASES = [
 ]
 
 
+NAMED = [
+    ("<article><h2 id='search-engines'>Search</h2><p>one</p><h3 id=social-media>Media</h3><p>two</p></article>", "Search\none\nMedia\ntwo"),
+    ("<article><p>a</p><section id='related-work'><h2>Related work</h2><p>b</p></section><p id='notice-3'>c</p></article>", "a\nRelated work\nb\nc"),
+    ("<div id='content'><h2 id='login'>How to log in</h2><p id='search-1'>" + "well " * 9 + "</p></div>", "How to log in\n" + "well " * 8 + "well"),
+    ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", "so x=2 holds"),
+    ("<article><p>a</p><section class='comments-section'><p>no</p></section><div class='ad wide'>no</div><p class=advert>no</p><p>b</p></article>", "a\nb"),
+]
+
+
+@pytest.mark.parametrize("body, want", NAMED)
+def test_names_made_from_text(weights, body, want):
+    assert html.extract_text(SHOP + body + FOOT, weights) == want
+
+
 @pytest.mark.parametrize("body, want", CASES)
 def test_main_text(weights, body, want):
     assert html.extract_text(SHOP + body + FOOT, weights) == want
