@@ -16,7 +16,7 @@ them, the bucket's pivot, so that a bucket of n texts costs n comparisons, not n
 component already need none. The texts of buckets that still hold several components are then joined by what
 any pair at the similarity must share, one of the rarest shingles of both its texts, and every pair of
 different components that meets there is verified. So no pair that shares a band is left out, and what is
-common to many texts costs nothing. Components are those of all verified pairs.
+common to many texts brings few together; a large group just below the similarity still costs many comparisons. Components are those of all verified pairs.
 
 A text of one to four words has one shingle, all its words. Texts without words are linked to their
 exact copies only. Null text is the empty text. Repeated rows get the same class. A class is named
