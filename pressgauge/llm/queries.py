@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.llm import bagminhash, bpe, hnsw, html, langid, lm, mixing, pii, quality, substrings
+from pressgauge.llm import bagminhash, bpe, gnat, hnsw, html, langid, lm, mixing, pii, puls, quality, runs, substrings
 from pressgauge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +67,36 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return gnat.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def periodic_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Where the words of a text of n words come from: one in ten texts goes on periodically from some word."""
+    if doc_id is None or not n:
+        return None
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    places = np.arange(n)
+    places[a:] = a + np.arange(n - a) % (1 + (n - a) // (3 + g % 8))
+    return places
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.scan(table(spark, folder, "documents"), periodic_tail, digest=True)
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", F.col("collapsed").alias("collapsed_sha256")
+    )
+
+
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return puls.score_held_out(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -78,6 +110,9 @@ QUERIES: dict[str, Query] = {
         op8_bpe,
         op9_minhash,
         op10_mixing,
+        op11_hard_negatives,
+        op12_periodic_runs,
+        op13_toxicity,
     )
 }
 
