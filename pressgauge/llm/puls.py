@@ -6,10 +6,11 @@ unlabelled ones as clean) - prior * (loss of the confirmed ones as clean). The l
 clean texts, which cannot be negative: once their sum falls below 0, a step of the fit raises it again instead
 of lowering the risk, which keeps the classifier from learning the confirmed texts by heart.
 
-The classifier is linear over which words and marked character n-grams a text has, with logistic loss and a quadratic
-penalty, fitted with numpy on a bounded sample: the `positives` confirmed texts and `unlabelled` texts of smallest id
-hash. Features are the `features` ones whose shares among both differ most beyond chance. The prior is the share of
-toxic rows among all labelled rows that may be learned from, unless it is set.
+The classifier is linear over which words and marked character n-grams a text has, each worth its rarity, with sigmoid
+loss (bounded, so no single text can drive the correction) and a quadratic penalty, fitted with numpy on a bounded
+sample: the `positives` confirmed texts and `unlabelled` texts of smallest id hash. Features are the `features` ones
+whose shares among both differ most beyond chance. The prior is the share of toxic rows among all labelled rows that may
+be learned from, unless it is set; if labels are given to toxic texts more often than to others, set it.
 
 A document is confirmed if any of its label rows says toxic = 1; null labels say nothing. Rows without an id or text are
 not learned from. Null text is empty; a text without words has the score of no feature. Without a confirmed document all
@@ -40,7 +41,8 @@ class Settings:
     prior: float | None = None
     steps: int = 300
     rate: float = 0.05
-    penalty: float = 1e-3
+    penalty: float = 1e-4
+    reach: float = 20.0  # what the features of an unlabelled text are worth together, on average at most
 
 
 @dataclass(frozen=True)
@@ -141,28 +143,41 @@ def risk_step(
 ) -> tuple[float, float, np.ndarray, np.ndarray]:
     """From raw scores: the loss on confirmed texts as toxic, the estimated loss on clean ones, and the direction in
     which the scores should fall, for confirmed and unlabelled texts."""
-    p, u = 1 / (1 + np.exp(-on_confirmed)), 1 / (1 + np.exp(-on_unlabelled))
-    toxic = float(np.logaddexp(0, -on_confirmed).mean())
-    clean = float(np.logaddexp(0, on_unlabelled).mean() - prior * np.logaddexp(0, on_confirmed).mean())
-    if clean >= 0:
-        return toxic, clean, prior * (p - 1) / len(p) - prior * p / len(p), u / len(u)
-    return toxic, clean, prior * p / len(p), -u / len(u)
+    p, u = _sigmoid(on_confirmed), _sigmoid(on_unlabelled)
+    toxic, clean = float((1 - p).mean()), float(u.mean() - prior * p.mean())
+    on_p, on_u = p * (1 - p) / len(p), u * (1 - u) / len(u)
+    return (toxic, clean, -2 * prior * on_p, on_u) if clean >= 0 else (toxic, clean, prior * on_p, -on_u)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def _worth(unlabelled: tuple, size: int, reach: float) -> np.ndarray:
+    """How much each feature counts: 0 if every text has it, scaled so that steps suit texts of many features."""
+    rows, at, n = unlabelled
+    rarity = np.log((n + 1) / (np.bincount(at, minlength=size) + 1))
+    together = rarity[at].sum() / max(n, 1) / max(rarity.max(initial=0), 1e-9)
+    return rarity / max(rarity.max(initial=0), 1e-9) * min(1.0, reach / max(together, 1e-9))
 
 
 def fit(confirmed: tuple, unlabelled: tuple, size: int, prior: float, settings: Settings) -> tuple[np.ndarray, float]:
-    """Weights and bias, by steps with momentum scaled to each weight's gradients (Adam), in a fixed order."""
+    """Weights and bias, by shrinking steps with momentum scaled to each weight's gradients (Adam), in a fixed order."""
+    worth = _worth(unlabelled, size, settings.reach)
     w, mean, square = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, settings.steps + 1):
-        scores = [w[size] + np.bincount(rows, w[at], minlength=n) for rows, at, n in (confirmed, unlabelled)]
+        weights = w[:size] * worth
+        scores = [w[size] + np.bincount(rows, weights[at], minlength=n) for rows, at, n in (confirmed, unlabelled)]
         _, _, *falls = risk_step(*scores, prior)
         gradient = np.zeros(size + 1)
         for fall, (rows, at, _) in zip(falls, (confirmed, unlabelled), strict=True):
-            gradient[:size] += np.bincount(at, fall[rows], minlength=size)
+            gradient[:size] += worth * np.bincount(at, fall[rows], minlength=size)
             gradient[size] += fall.sum()
         gradient[:size] += settings.penalty * w[:size]
         mean, square = 0.9 * mean + 0.1 * gradient, 0.999 * square + 0.001 * gradient**2
-        w -= settings.rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    return w[:size], float(w[size])
+        rate = settings.rate * (1 - 0.95 * step / settings.steps)
+        w -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    return w[:size] * worth, float(w[size])
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
@@ -198,7 +213,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             scores = np.zeros(batch.num_rows)
         else:
             raw = [model.bias + float(model.weights[sorted(reader.read(text))].sum()) for text in strings(batch["text"])]
-            scores = 1 / (1 + np.exp(-np.clip(np.array(raw, np.float64), -500, 500)))
+            scores = _sigmoid(np.array(raw, np.float64))
         return {
             "doc_id": batch["doc_id"],
             "score": pa.array(scores, pa.float64()),
