@@ -1,9 +1,11 @@
 """Total-order work without a single-partition window.
 
-A window over the whole table would put every row in one task. Here the order is
-cut into slices at approximate quantiles, totals per slice give each slice its
-starting point, and the window runs inside the slices. The cut points only decide
-which task does the work; results are exact.
+A window over the whole table would put every row in one task. Here each value gets an integer that never falls as the
+value grows, and the leading bits of these integers make a tree: rows that share enough bits form a slice, slices that
+share all but their last 8 bits a parent, and so on up. Totals are added up the tree; what comes before a node is what
+comes before its parent and, in a window of at most 256 siblings, what its smaller siblings hold. A window over rows
+runs inside slices only. How many bits a slice needs is found by counting: only slices that are still too large are
+counted again, 8 bits deeper. No list of cuts exists, on the driver or anywhere; results are exact.
 """
 
 from __future__ import annotations
@@ -14,20 +16,58 @@ from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 ROWS_PER_SLICE = 100_000
-
-
-def _cut_points(df: DataFrame, order: str, rows_per_slice: int) -> list[float]:
-    """Increasing values of `order`, one for each `rows_per_slice` rows that have a number there."""
-    value = F.col(order).cast("double")
-    numbers = df.filter(value.isNotNull() & ~F.isnan(value))
-    slices = math.ceil(numbers.count() / rows_per_slice)
-    if slices <= 1:
-        return []
-    grid = [i / slices for i in range(1, slices)]
-    points = numbers.agg(F.percentile_approx(value, grid, max(20_000, 10 * slices))).first()[0]
-    return sorted(set(points))
+STEP = 8  # bits between a level of the tree and the next
+FINE = 42  # bits after the point of a binary logarithm: what a double still tells apart at 1,075
+
+
+def _key(df: DataFrame, order: str) -> Column:
+    """An integer that never falls as `order` grows, NaN last; null for null. Values that share one stay in one slice."""
+    if isinstance(df.schema[order].dataType, IntegralType):
+        return F.col(order).cast("bigint")
+    x = F.col(order).cast("double")
+    # 1 to 2,099 for any size of number; the sign mirrors it
+    size = F.least(F.log2(F.abs(x)) + 1_075, F.lit(2_100.0))
+    scaled = F.floor(F.signum(x) * size * F.lit(float(1 << FINE)))
+    return F.when(F.isnan(x), F.lit(2_200 << FINE)).when(x == 0, F.lit(0).cast("bigint")).otherwise(scaled)
+
+
+def _slices(df: DataFrame, order: str, rows_per_slice: int) -> tuple[Column, int]:
+    """The slice of each row, from 0 (null, if any null has a slice of its own), and how many bits slices have."""
+    keys = df.select(_key(df, order).alias("key"))
+    low, high, rows = keys.agg(F.min("key"), F.max("key"), F.count("key")).first()
+    if rows <= rows_per_slice:
+        return F.lit(0).cast("bigint"), 0
+    key = _key(df, order)
+    if high - low >= 1 << 63:
+        keys, key, low, high = keys.select(F.shiftright("key", 1).alias("key")), F.shiftright(key, 1), low >> 1, high >> 1
+    bits = (high - low).bit_length()
+    left = bits
+    while left > 0:
+        left = max(0, left - STEP)
+        counted = keys.groupBy(F.shiftright(F.col("key") - low, left).alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+        large = counted.filter((F.col("n") > rows_per_slice) & F.col("slice").isNotNull()).select("slice")
+        if large.isEmpty():
+            break
+        # at most rows / rows_per_slice slices; only their rows are counted again
+        keys = keys.join(large, F.shiftright(F.col("key") - low, left) == F.col("slice"), "left_semi")
+    return F.coalesce(F.shiftright(key - F.lit(low), left) + 1, F.lit(0).cast("bigint")), bits - left + 1
+
+
+def _before(nodes: DataFrame, names: list[str], bits: int) -> DataFrame:
+    """node and, by name, the totals of all smaller nodes."""
+    parent = F.shiftright("node", STEP)
+    siblings = Window.partitionBy("parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    within = nodes.withColumn("parent", parent).select(
+        "node", "parent", *[F.coalesce(F.sum(name).over(siblings), F.lit(0)).alias(name) for name in names]
+    )
+    if bits <= STEP:
+        return within.drop("parent")
+    above = nodes.groupBy(parent.alias("node")).agg(*[F.sum(name).alias(name) for name in names])
+    starts = _before(above, names, bits - STEP).select(F.col("node").alias("parent"), *[F.col(n).alias(f"__{n}") for n in names])
+    return within.join(starts, "parent").select("node", *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in names])
 
 
 def bucket_of(df: DataFrame, value: str, cuts: list[float], out: str) -> DataFrame:
@@ -53,21 +93,14 @@ def running_totals(
 
     `order` must be numeric and unique: sum up equal values first. The answer is the same for any slices.
     """
-    sliced = bucket_of(df, order, _cut_points(df, order, rows_per_slice), "__slice")
-    sliced = sliced.withColumns({f"__{name}": value for name, value in totals.items()})
+    slice_of, bits = _slices(df, order, rows_per_slice)
+    sliced = df.withColumn("__slice", slice_of).withColumns({f"__{name}": value for name, value in totals.items()})
     inside = Window.partitionBy("__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-
-    # One row for each slice, so for each ROWS_PER_SLICE rows, reaches this unpartitioned window.
-    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        sliced.groupBy("__slice")
-        .agg(*[F.sum(f"__{name}").alias(f"__{name}") for name in totals])
-        .select(
-            "__slice",
-            *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__start_{n}") for n in totals],
-        )
-    )
     summed = sliced.withColumns({n: F.sum(f"__{n}").over(inside) for n in totals})
+    if not bits:
+        return summed.select(*df.columns, *totals)
+    slices = sliced.groupBy(F.col("__slice").alias("node")).agg(*[F.sum(f"__{name}").alias(name) for name in totals])
+    starts = _before(slices, list(totals), bits).select(F.col("node").alias("__slice"), *[F.col(n).alias(f"__start_{n}") for n in totals])
     return summed.join(starts, "__slice").select(
         *df.columns, *[(F.col(n) + F.col(f"__start_{n}")).alias(n) for n in totals]
     )

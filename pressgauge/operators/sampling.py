@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressgauge.operators.ordered import number_rows
+from pressgauge.session import cut_lineage
 
 SPLIT_SEED = 42  # fixed value
-RANKED_ROWS = 1_000  # rows that share a ticket prefix and are ranked in one task, about
+TICKET_DIGITS = 32
+DIGITS = 2  # of a ticket that are told apart at a time: 256 bins for each group
+RANKED_ROWS = 1_000  # tickets of a group that are ranked in one task
 
 
 def ticket(row_id: Column, seed: int = SPLIT_SEED) -> Column:
@@ -20,25 +21,32 @@ def ticket(row_id: Column, seed: int = SPLIT_SEED) -> Column:
 def first_per_group(df: DataFrame, group: str, row_id: str, quota: Column, seed: int, out: str) -> DataFrame:
     """Flag the `quota` rows of each group with the smallest tickets.
 
-    `quota` is an expression over the group's row count, `group_size`. Tickets are
-    uniform, so counting them by prefix finds the prefix where the quota runs out;
-    only the rows sharing that prefix are ranked, about RANKED_ROWS of them as the
-    prefix's length follows the number of rows, and the flag itself is a comparison
-    with the ticket found.
+    `quota` is an expression over the group's row count, `group_size`. The ticket at which the quota ends is found
+    digit by digit: tickets that begin as it does are counted by their next DIGITS digits, and of these bins, a fixed
+    number for each group, only the one in which the quota ends goes on. Once a group has few tickets left they are
+    ranked; the flag itself is a comparison with the ticket found.
     """
-    digits = max(1, math.ceil(math.log(max(1, df.count() / RANKED_ROWS), 16)))
-    slim = df.select(group, ticket(F.col(row_id), seed).alias("t"))
-    slim = slim.withColumn("prefix", F.substring("t", 1, digits))
-    per_group = Window.partitionBy(group)
-    prefixes = (
-        slim.groupBy(group, "prefix")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumns({"group_size": F.sum("n").over(per_group), "upto": F.sum("n").over(per_group.orderBy("prefix"))})
-        .withColumn("take", F.least(quota, F.col("group_size")) - F.col("upto") + F.col("n"))
+    slim = df.select(group, ticket(F.col(row_id), seed).alias("t")).filter(F.col(group).isNotNull())
+    sizes = slim.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"))
+    edge = sizes.select(
+        group, F.lit("").alias("prefix"), F.least(quota, F.col("group_size")).cast("bigint").alias("take"), F.col("group_size").alias("n")
     )
-    edge = prefixes.filter((F.col("take") > 0) & (F.col("take") <= F.col("n"))).select(group, "prefix", "take")
+    edge = cut_lineage(edge.filter("take > 0"))
+    per_group = Window.partitionBy(group)
+    while True:
+        wide = (F.col("n") > RANKED_ROWS) & (F.length("prefix") < TICKET_DIGITS)
+        if edge.filter(wide).isEmpty():
+            break
+        open_ = slim.join(edge.filter(wide), group).filter(F.col("t").startswith(F.col("prefix")))
+        bins = open_.groupBy(group, F.expr(f"substring(t, 1, length(prefix) + {DIGITS})").alias("prefix")).agg(
+            F.count(F.lit(1)).alias("n"), F.first("take").alias("take")
+        )
+        bins = bins.withColumn("take", F.col("take") - F.sum("n").over(per_group.orderBy("prefix")) + F.col("n"))
+        ended = bins.filter((F.col("take") > 0) & (F.col("take") <= F.col("n"))).select(group, "prefix", "take", "n")
+        edge = cut_lineage(edge.filter(~wide).unionByName(ended))
     last = (
-        slim.join(edge, [group, "prefix"])
+        slim.join(edge, group)
+        .filter(F.col("t").startswith(F.col("prefix")))
         .withColumn("rank", F.row_number().over(per_group.orderBy("t")))
         .filter(F.col("rank") == F.col("take"))
         .select(group, F.col("t").alias("__last"))

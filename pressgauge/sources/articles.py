@@ -1,13 +1,11 @@
 """Article files.
 
-A CSV whose quoted fields hold newlines cannot be split, so one file is one task.
-`pos` orders rows by file name, then by place in the file, however Spark packs files. Large collections should come as many files, or be
-landed once as Parquet (with the position column) and read from there.
+`pos` orders rows by file name, then by place in the file. A file whose quoted fields hold newlines is still read by as
+many tasks as it has byte ranges (`records`).
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 from pressgauge.functions.chars import strip
 from pressgauge.functions.matching import full_text, normalize_headline
 from pressgauge.operators.corpus import SOURCE, label_binary
+from pressgauge.sources import records
 
 # Texts a data frame reader takes for a missing value.
 MISSING = [
@@ -39,19 +38,11 @@ def read_article_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read_article_csv(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
-    return df.select(*[_or_null(F.col(f"`{c}`")).alias(c) for c in df.columns], _position(df).alias("pos"))
-
-
-def _position(df: DataFrame) -> Column:
-    """Grows with the file's name, then with the place in the file. The list of files is the reader's own."""
-    bare = lambda path: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", path)
-    ranks = [x for n, path in enumerate(sorted(map(bare, df.inputFiles()))) for x in (F.lit(path), F.lit(n))]
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
-    rank = F.coalesce(F.element_at(F.create_map(*ranks), path), F.lit(0)) if len(ranks) > 2 else F.lit(0)
-    # the lower 33 bits count the rows of a task, and a file's rows are one task's, in order
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return F.shiftleft(rank.cast("long"), 33) + row
+    # for the names only: this reads no more than the first record
+    names = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False).columns
+    read = records.read_records(spark, path).filter("number > 0")
+    read = read.select(records.position().alias("pos"), records.fields(F.col("text"), names).alias("f"))
+    return read.select(*[_or_null(F.col(f"f.`{c}`")).alias(c) for c in names], "pos")
 
 
 def _or_null(text: Column) -> Column:
@@ -127,20 +118,13 @@ def load_collections(piles: dict[str, DataFrame], label: str = "label") -> DataF
 def read_raw_crawl(spark: SparkSession, path: str) -> DataFrame:
     """Eight-column crawl dump without a header; only rows with exactly eight fields
     and an all-digit id are whole articles."""
-    # A pruned read would not notice rows of the wrong width.
-    df = spark.read.option("columnPruning", False).csv(
-        path,
-        schema=f"{RAW_CRAWL}, _broken string",
-        header=False,
-        multiLine=True,
-        quote='"',
-        escape='"',
-        mode="PERMISSIVE",
-        columnNameOfCorruptRecord="_broken",
+    names = [part.split()[0] for part in RAW_CRAWL.split(", ")]
+    read = records.read_records(spark, path).select(
+        records.position().alias("pos"), records.fields(F.col("text"), names, "_broken").alias("f")
     )
-    whole = F.col("_broken").isNull() & F.col("id").rlike("^[0-9]+$")
-    filled = [F.coalesce(c, F.lit("")).alias(c) for c in df.columns if c not in ("id", "_broken")]
-    return df.withColumn("pos", _position(df)).filter(whole).select("pos", "id", *filled)
+    whole = F.col("f._broken").isNull() & F.col("f.id").rlike("^[0-9]+$")
+    filled = [F.coalesce(f"f.{c}", F.lit("")).alias(c) for c in names if c != "id"]
+    return read.filter(whole).select("pos", "f.id", *filled)
 
 
 def read_real_crawl(spark: SparkSession, path: str) -> DataFrame:
