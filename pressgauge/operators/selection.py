@@ -9,14 +9,18 @@ order, the greedy answer is also the only stable matching, and stable matchings
 can be found from all sites at once: every headline offers itself to the first
 site that may still take it, every site holds on to the first `cap` offers it
 sees, and a pair behind a full site's last held offer can never win. `_settle`
-keeps what is certain and removes such pairs round by round.
+keeps what is certain and removes such pairs round by round. Sites that contend
+for the same headlines wait for one another, so each round also walks the first
+FRONT pairs that are still undecided, whatever waits for what among them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ GENERAL_NEWS = [
 NEVER_WANTED = ["Reuters", "Washington Post"]
 WANTED_TYPES = ["fake", "conspiracy", "junksci", "rumor", "unreliable"]
 
+FRONT = 200_000  # slim pairs that one task walks in a round
+
 # Why a row was not kept.
 UNUSED_LABEL = "label we are not using"
 NOT_GENERAL = "not a general-news outlet"
@@ -130,15 +136,30 @@ def _screened(rows: DataFrame, spec: Spec, blocked: DataFrame | None) -> DataFra
     return rows.withColumn("__fell", reason).drop("__blocked")
 
 
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rule itself, pair by pair: those of one partition that are kept. It holds FRONT pairs at most."""
+    parts = list(batches)
+    if not parts:
+        return
+    front = pd.concat(parts).sort_values(["seen", "pos"])
+    held, room, kept = set(), {}, []
+    for k, (site, key, has) in enumerate(zip(front["site"], front["key"], front["room"], strict=True)):
+        left = room.get(site, has)
+        if left and key not in held:
+            held.add(key)
+            room[site] = left - 1
+            kept.append(k)
+    yield front.iloc[kept]
+
+
 def _settle(pairs: DataFrame, cap: int) -> DataFrame:
     """The kept (site, key, seen, pos) among `pairs`, one row per site and key.
 
-    A pair is certain to be kept if it is its headline's first and among the first of
-    its site that still fit. Each round keeps all such pairs, drops their headlines'
-    other pairs, sites that are full, and pairs behind the last offer that a full site
-    holds; only undecided pairs go on. The first pair of all is always certain, so
-    every round settles one at least. Sites that contend for the same headlines one
-    after another take a round each; other sites settle beside them.
+    Everything before the first undecided pairs is decided and taken off, so walking them gives what the walk over all
+    pairs would: a round settles FRONT pairs at least, and a chain of contending sites among them at once. Beyond them a
+    pair is certain to be kept if it is its headline's first and among the first of its site that still fit. Each round
+    keeps all such pairs, drops their headlines' other pairs, sites that are full, and pairs behind the last offer that a
+    full site holds; only undecided pairs go on.
     """
     columns = pairs.schema.names
     left = cut_lineage(pairs.withColumn("room", F.lit(cap)))
@@ -146,24 +167,38 @@ def _settle(pairs: DataFrame, cap: int) -> DataFrame:
     place = F.struct("seen", "pos")
     # Ranking stops at `cap` on the map side, so a huge site sends few rows.
     rank = F.row_number().over(Window.partitionBy("site").orderBy("seen", "pos"))
+
+    def without(rows: DataFrame, won: DataFrame) -> DataFrame:
+        """`rows` that may still be kept once `won` are."""
+        taken = won.groupBy("site").agg(F.count(F.lit(1)).cast("int").alias("taken"))
+        rest = rows.join(won.select("key"), "key", "left_anti").join(taken, "site", "left")
+        return rest.withColumn("room", F.col("room") - F.coalesce("taken", F.lit(0))).drop("taken").filter("room > 0")
+
     while True:
+        front = left.orderBy("seen", "pos").limit(FRONT)
+        walked = front.coalesce(1).mapInPandas(_walk, left.schema)
+        won = cut_lineage(walked.select(*columns))
+        last = front.agg(F.max(place).alias("last")).select("last.*").first()
+        rounds.append(won)
+        if last["seen"] is None:
+            return reduce(DataFrame.unionAll, rounds)
+        seen, pos = last["seen"], last["pos"]
+        beyond = left.filter((F.col("seen") > seen) | ((F.col("seen") == seen) & (F.col("pos") > pos)))
+        left = cut_lineage(without(beyond, won))
+        if left.isEmpty():
+            return reduce(DataFrame.unionAll, rounds)
         firsts = left.groupBy("key").agg(F.min(F.struct("seen", "pos", "site")).alias("f"))
         fitting = left.withColumn("rank", rank).filter(F.col("rank") <= cap).filter(F.col("rank") <= F.col("room"))
         own = F.struct("seen", "pos", "site")
         won = cut_lineage(fitting.join(firsts, "key").filter(own == F.col("f")).select(*columns))
         rounds.append(won)
-        taken = won.groupBy("site").agg(F.count(F.lit(1)).cast("int").alias("taken"))
+        left = cut_lineage(without(left, won))
         # Offers: what is still undecided of the headlines' first pairs.
-        left = left.join(won.select("key"), "key", "left_anti").join(taken, "site", "left")
-        left = left.withColumn("room", F.col("room") - F.coalesce("taken", F.lit(0))).drop("taken").filter("room > 0")
-        left = cut_lineage(left)
-        if left.isEmpty():
-            return reduce(DataFrame.unionAll, rounds)
         offers = left.groupBy("key").agg(F.min(F.struct("seen", "pos", "site", "room")).alias("o")).select("o.*")
         last = offers.withColumn("rank", rank).filter(F.col("rank") <= cap).filter(F.col("rank") == F.col("room"))
         last = last.select("site", place.alias("last"))
         behind = left.join(last, "site", "left").filter(F.col("last").isNull() | (place <= F.col("last")))
-        left = behind.drop("last").select(*columns, "room")
+        left = cut_lineage(behind.drop("last").select(*columns, "room"))
 
 
 def select_diverse(rows: DataFrame, spec: Spec, blocked: DataFrame | None = None) -> DataFrame:

@@ -87,15 +87,29 @@ def test_leaks_and_blocklist(spark):
     assert [r.key for r in sel.taught_keys(pile, other).collect()] == ["a b"]
 
 
-def test_contending_sites_settle_one_a_round(spark, monkeypatch):
-    """n sites that all want the same n headlines and keep one each; other sites are done in the first round."""
-    rows, n = [], 6
-    for site in range(n):
-        rows += [(site * 100 + k, f"s{site}", f"wanted {k}", "x" * 10, "fake") for k in range(n)]
-    rows += [(5_000 + k, f"calm{k}", f"own {k}", "x" * 10, "fake") for k in range(5)]
-    rounds, write = [], sel.cut_lineage
-    monkeypatch.setattr(sel, "cut_lineage", lambda df: rounds.append(1) or write(df))
-    got = {r.pos: r.reason for r in sel.select_diverse(spark.createDataFrame(rows, SCHEMA), sel.fakes_spec(1, min_chars=5)).collect()}
-    spec = sel.fakes_spec(1)
+def contending(n):
+    """n sites that all want the same n headlines and keep one each, and others that want nobody else's."""
+    rows = [(site * 100 + k, f"s{site}", f"wanted {k}", "x" * 10, "fake") for site in range(n) for k in range(n)]
+    return rows + [(5_000 + k, f"calm{k}", f"own {k}", "x" * 10, "fake") for k in range(5)]
+
+
+@pytest.mark.parametrize("front", [sel.FRONT, 20, 5])
+def test_contending_sites_settle_in_few_rounds(spark, monkeypatch, front):
+    rows, writes, write = contending(9), [], sel.cut_lineage
+    monkeypatch.setattr(sel, "FRONT", front)
+    monkeypatch.setattr(sel, "cut_lineage", lambda df: writes.append(1) or write(df))
+    spec = sel.fakes_spec(1, min_chars=5)
+    got = {r.pos: r.reason for r in sel.select_diverse(spark.createDataFrame(rows, SCHEMA), spec).collect()}
     assert got == {p: (spec.full if w == "full" else w) for p, w in walk(rows, 1, set(), False).items()}
-    assert len(rounds) <= 1 + 2 * n
+    # two pairs for each site that waits, taken off `front` at a time: the chain's length in sites does not count
+    assert len(writes) <= 3 + 5 * -(-2 * len(rows) // front) if front < 86 else len(writes) <= 3
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_small_fronts_equal_the_walk(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice("abcdefgh"), f"T{rng.randrange(25)}", "body text", "fake") for i in range(200)]
+    monkeypatch.setattr(sel, "FRONT", 30)
+    spec = sel.fakes_spec(4, min_chars=5)
+    got = {r.pos: r.reason for r in sel.select_diverse(spark.createDataFrame(rows, SCHEMA), spec).collect()}
+    assert got == {p: (spec.full if w == "full" else w) for p, w in walk(rows, 4, set(), False).items()}
