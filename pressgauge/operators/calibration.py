@@ -275,7 +275,7 @@ def compare_cutoffs(scored: DataFrame, tuned: float, fairest: float, default: fl
     return scored.agg(*sums).select(F.inline(rows))
 
 
-def calibrate(half_a: DataFrame, half_b: DataFrame) -> dict:
+def calibrate(half_a: DataFrame, half_b: DataFrame, chosen_for: str = "best accuracy on a held-out half of the exam") -> dict:
     """The whole record: chosen on `half_a`, reported on `half_b`. Cutoffs stay
     unrounded; only figures for display are rounded."""
     choice = choose_cutoff(sweep(half_a, cutoff_candidates(half_a))).first()
@@ -285,6 +285,7 @@ def calibrate(half_a: DataFrame, half_b: DataFrame) -> dict:
     unsure = find_unsure_band(half_a, best).first()
     return {
         "cutoff": best,
+        "chosen_for": chosen_for,
         "accuracy": round(tuned["accuracy"], 2),
         "real_recall": round(tuned["real_recall"], 3),
         "fake_recall": round(tuned["fake_recall"], 3),

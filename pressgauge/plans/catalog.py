@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from pressgauge.functions import fingerprints, intake, matching
-from pressgauge.operators import calibration, corpus, learning, metrics, report, sampling, selection, survey, verdict, web
+from pressgauge.operators import calibration, corpus, learning, linear, metrics, report, sampling, selection, survey, verdict, web
 from pressgauge.plans import standins as data
 from pressgauge.session import checkpoint_folder, cut_lineage
-from pressgauge.sources import articles, store
+from pressgauge.sources import articles, registry, store
 
 QUERIES = {}
 
@@ -637,3 +637,153 @@ def cascade_with_model(spark, folder):
     model = learning.train(_taught(spark, folder), "cleaned")
     told = verdict.analyze(data.pastes(spark, folder), data.corpus(spark, folder), learning.model_scorer(model), data.RECORD)
     return told.groupBy("method", "label").agg(F.count(F.lit(1)).alias("articles"))
+
+
+# --- learning by whole-number sums ------------------------------------------------
+
+
+def _first(column=None):
+    return (F.col("collection") == "first").cast("long")
+
+
+def _linear_exam(rows):
+    return selection.drop_leaks(rows.filter("collection = 'second'"), rows.filter("collection = 'first'"))
+
+
+@query
+def linear_scores(spark, folder):
+    """Model taught on the first pile, every labelled document scored."""
+    rows = _taught(spark, folder)
+    model = linear.fit_piles(rows, "cleaned", {"first": _first()})["first"]
+    scored = linear.scorer(model)(rows.select("id", "collection", "label_binary", "cleaned"), "cleaned")
+    return scored.select("id", "collection", "label_binary", F.round("fake_score", 6).alias("fake_score"))
+
+
+@query
+def linear_train_eval(spark, folder):
+    """Taught on the first pile, examined on what is new in the second."""
+    rows = _taught(spark, folder)
+    scored = linear.scorer(linear.fit_piles(rows, "cleaned", {"first": _first()})["first"])(_linear_exam(rows), "cleaned")
+    return metrics.classification_report(
+        scored.select(F.col("label_binary").alias("truth"), (F.col("fake_score") > 0.5).cast("int").alias("prediction"))
+    )
+
+
+@query
+def linear_top_terms(spark, folder):
+    """The words that lean most to either side, weights in units of 2^-20."""
+    model = linear.fit_piles(_taught(spark, folder), "cleaned", {"all": F.lit(1)})["all"]
+    terms = spark.createDataFrame(model.table()).select("term", F.col("weight").cast("long").alias("weight"))
+    real = terms.orderBy("weight", "term").limit(20).withColumn("leans", F.lit("REAL"))
+    return real.unionByName(terms.orderBy(F.desc("weight"), "term").limit(20).withColumn("leans", F.lit("FAKE")))
+
+
+@query
+def linear_experiment(spark, folder):
+    """Three ways to split, raw and cleaned text: accuracy in percent."""
+    rows = sampling.stratified_split(_taught(spark, folder), "label_binary", "id", 0.2, out="test")
+    second = (F.col("collection") == "second").cast("long")
+    piles = {"shuffled": (~F.col("test")).cast("long"), "first -> second": _first(), "second -> first": second}
+    exams = {
+        "shuffled": rows.filter("test"),
+        "first -> second": _linear_exam(rows),
+        "second -> first": selection.drop_leaks(rows.filter("collection = 'first'"), rows.filter("collection = 'second'")),
+    }
+    told = []
+    for version, text in (("raw", "raw"), ("clean", "cleaned")):
+        models = linear.fit_piles(rows, text, piles)
+        for name, exam in exams.items():
+            right = F.sum(((F.col("fake_score") > 0.5).cast("int") == F.col("label_binary")).cast("long")).alias("hits")
+            scored = linear.scorer(models[name])(exam.select("label_binary", text), text)
+            told.append(scored.agg(right, F.count(F.lit(1)).alias("articles")).select(F.lit(name).alias("split"), F.lit(version).alias("version"), "hits", "articles"))
+    out = told[0]
+    for more in told[1:]:
+        out = out.unionAll(more)
+    return out.select("split", "version", "hits", "articles", (F.col("hits") * 100.0 / F.col("articles")).alias("accuracy"))
+
+
+def _ablation(spark, folder, wanted, with_trimmed):
+    """src0-src4 teach, src5-src9 bring new articles of one label; copies and trims are the first by ticket."""
+    rows = _taught(spark, folder)
+    old = (F.col("collection") == "first") & (F.col("source") < "src5")
+    new = (F.col("collection") == "first") & (F.col("source") >= "src5") & (F.col("label_binary") == wanted)
+    pool = old & (F.col("label_binary") == wanted)
+    if with_trimmed:
+        pool = pool & F.col("source").isin("src0", "src1")
+    n_new, n_pool = rows.agg(F.count(F.when(new, 1)), F.count(F.when(pool, 1))).first()
+    drawn = rows.withColumn("pooled", pool.cast("int"))
+    drawn = sampling.first_per_group(drawn, "pooled", "id", F.lit(min(n_new, n_pool)), sampling.SPLIT_SEED, "copied")
+    drawn = sampling.first_per_group(drawn, "pooled", "id", F.lit(max(min(n_new, n_pool - 1), 0)), sampling.SPLIT_SEED + 1, "dropped")
+    drawn = cut_lineage(drawn)
+    piles = linear.ablation_piles(old, new, pool, F.col("copied"), F.col("dropped") if with_trimmed else None)
+    exam = selection.drop_leaks(rows.filter("collection = 'second'"), rows.filter(old), rows.filter(new))
+    return drawn, piles, exam
+
+
+@query
+def linear_ablation_fakes(spark, folder):
+    """Before, with new fakes, with as many copied: one table, one fit."""
+    return linear.compare_piles(*_ablation(spark, folder, 1, False)).select("run", "n_train", F.round("sorting", 6).alias("sorting"), "accuracy")
+
+
+@query
+def linear_ablation_reals(spark, folder):
+    """As for fakes, and with rows of the dominant sources dropped."""
+    return linear.compare_piles(*_ablation(spark, folder, 0, True)).select("run", "n_train", F.round("sorting", 6).alias("sorting"), "accuracy")
+
+
+@query
+def ablation_trimmed_rows(spark, folder):
+    """The rows of the run that drops articles of the dominant sources."""
+    drawn, piles, _ = _ablation(spark, folder, 0, True)
+    return drawn.filter(piles["D"] > 0).select("id", "source", "label_binary")
+
+
+@query
+def model_registry(spark, folder):
+    """Two models deployed with their records, read back, and what the second is worth over the first."""
+    path, rows = _scratch(spark, "models"), _taught(spark, folder)
+    old = ((F.col("collection") == "first") & (F.col("source") < "src5")).cast("long")
+    figures = {r.run: r for r in linear.compare_piles(rows, {"old": old, "new": _first()}, _linear_exam(rows)).collect()}
+    for name, pile in (("old", old), ("new", _first())):
+        counts = linear.term_counts(rows, "cleaned", {"pile": pile}).filter("uses_pile > 0")
+        registry.publish(spark, path, {"terms": counts}, {"sorting": round(figures[name].sorting, 6), "training_samples": figures[name].n_train})
+    told = registry.history(spark, path, "sorting", learning.retrain_decision)
+    tables, record = registry.read_version(spark, path)
+    return told.crossJoin(tables["terms"].agg(F.count(F.lit(1)).alias("terms"))).withColumn("training_samples", F.lit(record["training_samples"]).cast("long"))
+
+
+@query
+def cutoff_record(spark, folder):
+    """The record of a calibration, written and read back."""
+    path = _scratch(spark, "cutoff")
+    half_a, half_b = data.halves(spark, folder)
+    store.write_record(spark, calibration.calibrate(half_a, half_b), path)
+    read = spark.read.schema(store.CUTOFF_SCHEMA).json(path)
+    return read.select(
+        "cutoff", "chosen_for", "accuracy", "real_recall", "fake_recall", "cutoff_chosen_on", "measured_on", "evaluation", "alternative_even_cutoff"
+    )
+
+
+@query
+def dataset_registry(spark, folder):
+    """Documents written as the known collections and loaded as such, two of the three."""
+    path = _scratch(spark, "sets")
+    rows = data.pastes(spark, folder).filter("headline <> ''")
+    files = {"Fake.csv": 0, "True.csv": 1, "fake_or_real_news.csv": 2}
+    for name, part in files.items():
+        kind = F.when(F.col("id") % 2 == 0, " fake").otherwise("real ").alias("label")
+        columns = [F.col("headline").alias("title"), F.col("body").alias("text"), *([kind] if part == 2 else [])]
+        rows.filter(F.col("id") % 3 == part).select(*columns).write.option("header", True).option("escape", '"').csv(f"{path}/{name}")
+    loaded = articles.load_datasets(spark, path, ["true", "mixed"])
+    return loaded.select("file_no", "file", "key", "label", "source", "basis", F.md5("body").alias("body_digest"))
+
+
+@query
+def csv_positions(spark, folder):
+    """Documents as one CSV file, and the place in it at which each is read."""
+    path = _scratch(spark, "place")
+    rows = data.pastes(spark, folder).select(F.col("id").cast("string").alias("title"), "body")
+    rows.coalesce(1).sortWithinPartitions(F.col("title").cast("long")).write.option("header", True).option("escape", '"').csv(path)
+    read = articles.read_labelled_csv(spark, path, "documents", label="real", text_col="body")
+    return read.select("pos", F.col("headline").cast("long").alias("id"), F.md5("body").alias("body_digest"))

@@ -7,7 +7,7 @@ import re
 
 from pressgauge.functions import intake, wording
 from pressgauge.functions.fingerprints import RULES
-from pressgauge.operators import calibration
+from pressgauge.operators import calibration, linear
 from pressgauge.plans.standins import BAND, MARKERS, RECORD
 
 # --- expressions -----------------------------------------------------------------
@@ -545,3 +545,137 @@ SQL = {
     "raw_crawl": f"""WITH {PASTE} SELECT id::VARCHAR AS id, lang AS type, source AS domain, headline AS title, md5(body) AS content_digest
         FROM paste WHERE id % 10 <> 0""",
 }
+
+
+# --- learning by whole-number sums ------------------------------------------------
+
+_WORDS = "regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+
+
+def _linear(teach: str, exam: str, before: str = TAUGHT) -> str:
+    """CTEs up to weights(arm, term, w) and scored(arm, id, y, score). teach: arm, id, y, c, words; exam: arm, id, y, words."""
+    return f"""WITH RECURSIVE {before},
+teach AS MATERIALIZED ({teach}), exam_rows AS MATERIALIZED ({exam}),
+held AS MATERIALIZED (SELECT arm, id, y, c, term, count(*) AS uses FROM (SELECT arm, id, y, c, unnest(words) AS term FROM teach WHERE c > 0) GROUP BY ALL),
+sizes AS (SELECT arm, sum(c) AS n FROM teach GROUP BY arm),
+used AS (SELECT arm, term, sum(c * uses) AS u, sum(c) AS articles FROM held GROUP BY arm, term
+  QUALIFY row_number() OVER (PARTITION BY arm ORDER BY sum(c * uses) DESC, term) <= {linear.MAX_FEATURES}),
+vocab AS MATERIALIZED (SELECT arm, term, floor((ln((1 + n)::DOUBLE / (1 + articles)::DOUBLE) + 1) * {1 << linear.RARITY} + 0.5::DOUBLE)::BIGINT AS rarity
+  FROM used JOIN sizes USING (arm)),
+unit AS (SELECT arm, id, y, c, term, floor(t * {1 << linear.VALUE}::DOUBLE / sqrt(sum(t::DOUBLE * t::DOUBLE) OVER (PARTITION BY arm, id)) + 0.5::DOUBLE)::BIGINT AS x
+  FROM (SELECT arm, id, y, c, term, (uses * rarity)::BIGINT AS t FROM held JOIN vocab USING (arm, term))),
+feat AS MATERIALIZED (SELECT * FROM unit UNION ALL SELECT arm, id, y, c, '', {1 << linear.VALUE} FROM teach WHERE c > 0),
+bound AS MATERIALIZED (SELECT arm, term, 0.25::DOUBLE * sum(c * x * s)::DOUBLE / {1 << 2 * linear.VALUE}::DOUBLE + (term <> '')::INT AS d
+  FROM feat JOIN (SELECT arm, id, sum(x)::BIGINT AS s FROM feat GROUP BY ALL) USING (arm, id) GROUP BY arm, term),
+fit AS (SELECT 0 AS k, arm, term, 0::BIGINT AS w, 0::BIGINT AS z FROM bound
+  UNION ALL
+  SELECT k + 1, arm, term, w2, floor(w2 + k::DOUBLE / (k + 3)::DOUBLE * (w2 - w) + 0.5::DOUBLE)::BIGINT FROM (
+    SELECT f.k, arm, term, f.w, floor(f.z - (g / {1 << linear.VALUE}::DOUBLE + f.z * (term <> '')::INT) / d + 0.5::DOUBLE)::BIGINT AS w2
+    FROM fit f JOIN bound USING (arm, term) JOIN (
+      SELECT arm, term, sum(c * r * x)::DOUBLE AS g FROM feat JOIN (
+        SELECT arm, id, floor((1 / (1 + exp(-sum(z * x)::DOUBLE / {1 << linear.VALUE + linear.WEIGHT}::DOUBLE)) - y) * {1 << linear.WEIGHT}::DOUBLE + 0.5::DOUBLE)::BIGINT AS r
+        FROM feat JOIN fit USING (arm, term) GROUP BY arm, id, y) USING (arm, id) GROUP BY arm, term) USING (arm, term)
+    WHERE f.k < {linear.STEPS})),
+weights AS MATERIALIZED (SELECT arm, term, w FROM fit WHERE k = {linear.STEPS}),
+seen AS (SELECT arm, id, y, term, count(*) AS uses FROM (SELECT arm, id, y, unnest(words) AS term FROM exam_rows) GROUP BY ALL),
+seen_unit AS (SELECT arm, id, term, floor(t * {1 << linear.VALUE}::DOUBLE / sqrt(sum(t::DOUBLE * t::DOUBLE) OVER (PARTITION BY arm, id)) + 0.5::DOUBLE)::BIGINT AS x
+  FROM (SELECT arm, id, term, (uses * rarity)::BIGINT AS t FROM seen JOIN vocab USING (arm, term))),
+margins AS (SELECT arm, id, sum(x * w) AS m FROM seen_unit JOIN weights USING (arm, term) GROUP BY ALL),
+scored AS (SELECT e.arm, e.id, e.y, 1 / (1 + exp(-(coalesce(m, 0) + b.w * {1 << linear.VALUE})::DOUBLE / {1 << linear.VALUE + linear.WEIGHT}::DOUBLE)) AS score
+  FROM exam_rows e JOIN weights b ON b.arm = e.arm AND b.term = '' LEFT JOIN margins g ON g.arm = e.arm AND g.id = e.id)"""
+
+
+_W = _WORDS.format(text="cleaned")
+_NEW = "key = '' OR NOT EXISTS (SELECT 1 FROM taught k WHERE {of} AND k.key = x.key)"
+_ONE = f"SELECT 'first' AS arm, id, label_binary AS y, 1 AS c, {_W} AS words FROM taught WHERE collection = 'first'"
+_SECOND = f"SELECT 'first' AS arm, id, label_binary AS y, {_W} AS words FROM taught x WHERE collection = 'second' AND ({_NEW.format(of=chr(39).join(['k.collection = ', 'first', '']))})"
+_TICKET = "md5('{seed}-' || id)"
+
+
+def _runs(wanted: int, trimmed: bool) -> str:
+    """The ablation's arms, with the exam scored by each."""
+    pool = f"old AND label_binary = {wanted}" + (" AND source IN ('src0', 'src1')" if trimmed else "")
+    rank = "row_number() OVER (PARTITION BY pooled ORDER BY {t})"
+    arms = {"A": "old::INT", "B": "(old OR new)::INT", "C": "old::INT + copied::INT"} | ({"D": "(old AND NOT dropped)::INT"} if trimmed else {})
+    marked = f"""{TAUGHT}, flagged AS (SELECT *, collection = 'first' AND source < 'src5' AS old,
+        collection = 'first' AND source >= 'src5' AND label_binary = {wanted} AS new FROM taught),
+      pooled AS (SELECT *, {pool} AS pooled FROM flagged),
+      counted AS (SELECT count(*) FILTER (new) AS n_new, count(*) FILTER (pooled) AS n_pool FROM pooled),
+      drawn AS MATERIALIZED (SELECT p.*, pooled AND {rank.format(t=_TICKET.format(seed=42))} <= least(n_new, n_pool) AS copied,
+        pooled AND {rank.format(t=_TICKET.format(seed=43))} <= greatest(least(n_new, n_pool - 1), 0) AS dropped FROM pooled p, counted)"""
+    teach = " UNION ALL ".join(f"SELECT '{a}' AS arm, id, label_binary AS y, {c} AS c, {_W} AS words FROM drawn" for a, c in arms.items())
+    exam = f"""SELECT arm, id, label_binary AS y, {_W} AS words FROM drawn x, (VALUES {', '.join(f"('{a}')" for a in arms)}) v(arm)
+      WHERE collection = 'second' AND (key = '' OR NOT EXISTS (SELECT 1 FROM drawn k WHERE (k.old OR k.new) AND k.key = x.key))"""
+    return _linear(teach, exam, marked)
+
+
+_ABLATION = """, ranked AS (SELECT arm, y, score, rank() OVER (PARTITION BY arm ORDER BY score) + (count(*) OVER (PARTITION BY arm, score) - 1) / 2 AS r FROM scored)
+  SELECT arm AS run, any_value(n)::BIGINT AS n_train, round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2)
+    / (count(*) FILTER (y = 1)) / (count(*) FILTER (y = 0)) * 100, 6) AS sorting, avg(((score > 0.5)::INT = y)::INT) * 100 AS accuracy
+  FROM ranked JOIN sizes USING (arm) GROUP BY arm"""
+
+_SPLITS = f"""{TAUGHT}, split AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY label_binary ORDER BY md5('42-' || id))
+    <= floor(count(*) OVER (PARTITION BY label_binary) * 0.2) AS test FROM taught)"""
+_VERSIONS = (("raw", "raw"), ("clean", "cleaned"))
+_SPLIT_TEACH = " UNION ALL ".join(
+    f"SELECT '{name}|{version}' AS arm, id, label_binary AS y, ({of})::INT AS c, {_WORDS.format(text=text)} AS words FROM split"
+    for version, text in _VERSIONS
+    for name, of in (("shuffled", "NOT test"), ("first -> second", "collection = 'first'"), ("second -> first", "collection = 'second'"))
+)
+_SPLIT_EXAM = " UNION ALL ".join(
+    f"SELECT '{name}|{version}' AS arm, id, label_binary AS y, {_WORDS.format(text=text)} AS words FROM split x WHERE {of}"
+    for version, text in _VERSIONS
+    for name, of in (
+        ("shuffled", "test"),
+        ("first -> second", f"""collection = 'second' AND ({_NEW.format(of="k.collection = 'first'")})"""),
+        ("second -> first", f"""collection = 'first' AND ({_NEW.format(of="k.collection = 'second'")})"""),
+    )
+)
+_OLD_NEW = " UNION ALL ".join(
+    f"SELECT '{arm}' AS arm, id, label_binary AS y, ({of})::INT AS c, {_W} AS words FROM taught"
+    for arm, of in (("1", "collection = 'first' AND source < 'src5'"), ("2", "collection = 'first'"))
+)
+_OLD_NEW_EXAM = f"""SELECT arm, id, label_binary AS y, {_W} AS words FROM taught x, (VALUES ('1'), ('2')) v(arm)
+  WHERE collection = 'second' AND ({_NEW.format(of="k.collection = 'first'")})"""
+
+SQL |= {
+    "linear_scores": _linear(_ONE, f"SELECT 'first' AS arm, id, label_binary AS y, {_W} AS words FROM taught")
+    + " SELECT s.id, collection, label_binary, round(score, 6) AS fake_score FROM scored s JOIN taught t ON t.id = s.id",
+    "linear_train_eval": _linear(_ONE, _SECOND)
+    + """, p AS (SELECT y AS truth, (score > 0.5)::INT AS said FROM scored),
+        classes AS (SELECT v.y, count(*) FILTER (truth = v.y AND said = v.y) AS hit, count(*) FILTER (said = v.y) AS said_, count(*) FILTER (truth = v.y) AS is_
+          FROM p, (SELECT unnest([0, 1]) AS y) v GROUP BY v.y),
+        per AS (SELECT y, CASE y WHEN 0 THEN 'REAL' ELSE 'FAKE' END AS name, coalesce(hit / nullif(said_, 0), 0) AS precision, coalesce(hit / nullif(is_, 0), 0) AS recall,
+          coalesce(2 * hit / nullif(said_ + is_, 0), 0) AS f1, is_ AS support FROM classes),
+        overall AS (SELECT count(*) FILTER (truth = said) / count(*) AS a, count(*) AS n FROM p)
+        SELECT name, precision, recall, f1, support FROM per
+        UNION ALL SELECT 'accuracy', a, a, a, n FROM overall
+        UNION ALL SELECT 'macro avg', sum(precision * 0.5::DOUBLE ORDER BY y), sum(recall * 0.5::DOUBLE ORDER BY y), sum(f1 * 0.5::DOUBLE ORDER BY y), any_value(n) FROM per, overall
+        UNION ALL SELECT 'weighted avg', sum(precision * (support / n) ORDER BY y), sum(recall * (support / n) ORDER BY y), sum(f1 * (support / n) ORDER BY y), any_value(n) FROM per, overall""",
+    "linear_top_terms": _linear(f"SELECT 'all' AS arm, id, label_binary AS y, 1 AS c, {_W} AS words FROM taught", f"SELECT 'all' AS arm, id, label_binary AS y, {_W} AS words FROM taught WHERE false")
+    + """, told AS (SELECT term, w AS weight FROM weights WHERE term <> '')
+        SELECT * FROM (SELECT term, weight, 'REAL' AS leans FROM told ORDER BY weight, term LIMIT 20)
+        UNION ALL SELECT * FROM (SELECT term, weight, 'FAKE' AS leans FROM told ORDER BY weight DESC, term LIMIT 20)""",
+    "linear_experiment": _linear(_SPLIT_TEACH, _SPLIT_EXAM, _SPLITS)
+    + """ SELECT split_part(arm, '|', 1) AS split, split_part(arm, '|', 2) AS version, count(*) FILTER ((score > 0.5)::INT = y) AS hits, count(*) AS articles,
+        hits * 100.0::DOUBLE / articles AS accuracy FROM scored GROUP BY arm""",
+    "linear_ablation_fakes": _runs(1, False) + _ABLATION,
+    "linear_ablation_reals": _runs(0, True) + _ABLATION,
+    "ablation_trimmed_rows": _runs(0, True) + " SELECT id, source, label_binary FROM drawn WHERE old AND NOT dropped",
+    "model_registry": _linear(_OLD_NEW, _OLD_NEW_EXAM)
+    + """, ranked AS (SELECT arm, y, score, rank() OVER (PARTITION BY arm ORDER BY score) + (count(*) OVER (PARTITION BY arm, score) - 1) / 2 AS r FROM scored),
+        told AS (SELECT arm::BIGINT AS version, round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2)
+          / (count(*) FILTER (y = 1)) / (count(*) FILTER (y = 0)) * 100, 6) AS figure FROM ranked GROUP BY arm)
+        SELECT version, figure, lag(figure) OVER (ORDER BY version) AS before,
+          CASE WHEN before IS NULL THEN NULL WHEN figure - before < 0 THEN 'worse' WHEN figure - before < 1 THEN 'no real gain' ELSE 'better' END AS decision,
+          (SELECT count(DISTINCT term) FROM held WHERE arm = '2') AS terms, (SELECT n FROM sizes WHERE arm = '2')::BIGINT AS training_samples FROM told""",
+    "cutoff_record": f"""WITH {SWEEP}, pick AS (SELECT arg_max(cutoff, (accuracy, -position)) AS best, arg_min(cutoff, (abs(real_recall - fake_recall), position)) AS fairest FROM swept)
+        SELECT any_value(best) AS cutoff, 'best accuracy on a held-out half of the exam' AS chosen_for, round(avg(((score >= best) = (truth = 1))::INT) * 100, 2) AS accuracy,
+          round(avg((score < best)::INT) FILTER (truth = 0), 3) AS real_recall, round(avg((score >= best)::INT) FILTER (truth = 1), 3) AS fake_recall,
+          (SELECT count(*) FROM half_a) AS cutoff_chosen_on, count(*) AS measured_on, 'cross_source' AS evaluation, any_value(fairest) AS alternative_even_cutoff FROM half_b, pick""",
+    "dataset_registry": f"""WITH {PASTE}, parts AS (SELECT *, id % 3 AS part FROM paste WHERE headline <> '')
+        SELECT part - 1 AS file_no, CASE part WHEN 1 THEN 'True.csv' ELSE 'fake_or_real_news.csv' END AS file, {norm('headline')} AS key,
+          CASE WHEN part = 1 OR id % 2 = 1 THEN 'REAL' ELSE 'FAKE' END AS label, CASE part WHEN 1 THEN 'Kaggle ISOT' ELSE 'McIntire' END AS source,
+          'source' AS basis, md5(body) AS body_digest FROM parts WHERE part > 0""",
+    "csv_positions": f"WITH {PASTE} SELECT row_number() OVER (ORDER BY id) AS pos, id, md5(body) AS body_digest FROM paste",
+}
