@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pressgauge.plans.catalog import QUERIES  # noqa: E402
-from pressgauge.session import build_session  # noqa: E402
+from pressgauge.session import READ_PARTITIONS, build_session  # noqa: E402
 
 HEADLINE = [
     "normalize_headlines",
@@ -51,6 +51,7 @@ HEADLINE = [
     "web_queue",
     "web_replies",
     "tfidf_train_eval",
+    "linear_train_eval",
 ]
 
 
@@ -63,6 +64,7 @@ def main() -> None:
         **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-")},
     )
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set(READ_PARTITIONS, cpus)  # the test tables have one row group each
     spark.read.parquet(f"{folder}/documents.parquet").count()  # JVM and reader warm-up
     seconds = {}
     for name in HEADLINE:

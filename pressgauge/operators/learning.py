@@ -38,6 +38,7 @@ from pressgauge.session import cut_lineage
 MAX_FEATURES, MAX_ITERATIONS = 50_000, 1000  # fixed values
 TOLERANCE = 1e-6  # relative change of the loss at which a fit stops
 PARALLEL_RUNS = 4
+ROWS_PER_TASK = 2_000  # of a pass over the features, at least
 MODEL_TEXT = "model_text"
 NOTHING_BELOW, SMALL_BELOW = 0.5, 2.0  # fixed values, points of sorting score
 
@@ -83,7 +84,9 @@ def train(df: DataFrame, text: str, label: str = "label_binary", features: int =
         # Every iteration is a pass over the features. They are written out once, so that
         # no pass carries the vocabulary and the text along or starts over when an
         # executor is lost.
-        features = cut_lineage(unit.transform(weigh.transform(counts)).select("features", label))
+        # Each pass starts one task for a partition: few rows need few.
+        tasks = max(1, rows // ROWS_PER_TASK)
+        features = cut_lineage(unit.transform(weigh.transform(counts)).select("features", label).coalesce(tasks))
     finally:
         tokens.unpersist()
     fitted = learner.fit(features)
@@ -194,10 +197,10 @@ def vocabulary(
         stop.setStopWords(stop_words)
     tokens = stop.transform(words.transform(df.select(F.col(text).alias(MODEL_TEXT)))).select("kept_words")
     n = tokens.count()
-    # repeats inside an article are added up before anything is shuffled
-    held = tokens.select(F.explode(F.array_distinct("kept_words")).alias("term"), F.col("kept_words").alias("all"))
-    used = F.size(F.filter("all", lambda w: w == F.col("term")))
-    terms = held.groupBy("term").agg(F.count(F.lit(1)).alias("articles"), F.sum(used).alias("uses"))
+    # the words of a row are together, so their uses are added up before anything is shuffled
+    held = tokens.select(F.monotonically_increasing_id().alias("row"), F.explode("kept_words").alias("term"))
+    held = held.groupBy("row", "term").agg(F.count(F.lit(1)).alias("uses"))
+    terms = held.groupBy("term").agg(F.count(F.lit(1)).alias("articles"), F.sum("uses").alias("uses"))
     idf = F.log((F.lit(n) + 1.0) / (F.col("articles") + 1.0))
     return terms.orderBy(F.desc("uses"), "term").limit(features).select("term", "articles", "uses", idf.alias("idf"))
 

@@ -191,7 +191,8 @@ def fit_piles(
         F.col(label).cast("long").alias("y"), F.array(*[w.cast("long") for w in piles.values()]).alias("pile"),
         words_of(F.col(text), stop_words).alias("words"),
     )
-    blocks = cut_lineage(_pack(rows, place))
+    # a pass starts one task for a partition: few rows need few
+    blocks = cut_lineage(_pack(rows, place).coalesce(max(1, sum(n or 0 for n in sizes) // (2 * BLOCK))))
     penalty = np.append(np.ones(len(terms)), 0.0)
     curvature = 0.25 * _pass(blocks, rarity, None) / float(1 << 2 * VALUE) + penalty
     now = ahead = np.zeros((len(piles), len(terms) + 1), np.int64)

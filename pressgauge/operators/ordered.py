@@ -41,8 +41,8 @@ def _slices(df: DataFrame, order: str, rows_per_slice: int) -> tuple[Column, int
     if rows <= rows_per_slice:
         return F.lit(0).cast("bigint"), 0
     key = _key(df, order)
-    if high - low >= 1 << 63:
-        keys, key, low, high = keys.select(F.shiftright("key", 1).alias("key")), F.shiftright(key, 1), low >> 1, high >> 1
+    if high - low >= 1 << 62:  # room for differences, and for one more
+        keys, key, low, high = keys.select(F.shiftright("key", 2).alias("key")), F.shiftright(key, 2), low >> 2, high >> 2
     bits = (high - low).bit_length()
     left = bits
     while left > 0:

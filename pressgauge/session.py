@@ -49,5 +49,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+READ_PARTITIONS = "pressgauge.read.partitions"
+
+
+def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A table, dealt anew to `partitions` tasks if a number is given or the session names one (READ_PARTITIONS).
+
+    This is advice on layout and never changes answers: a file of fewer row groups than the cluster has cores keeps
+    the rest of them idle. Tables of many row groups are better read as they are, without a shuffle.
+    """
+    partitions = partitions or int(spark.conf.get(READ_PARTITIONS, "0"))
+    read = spark.read.parquet(path)
+    return read.repartition(partitions) if partitions else read
