@@ -198,7 +198,8 @@ def vocabulary(
     tokens = stop.transform(words.transform(df.select(F.col(text).alias(MODEL_TEXT)))).select("kept_words")
     n = tokens.count()
     # the words of a row are together, so their uses are added up before anything is shuffled
-    held = tokens.select(F.monotonically_increasing_id().alias("row"), F.explode("kept_words").alias("term"))
+    numbered = tokens.withColumn("row", F.monotonically_increasing_id())
+    held = numbered.select("row", F.explode("kept_words").alias("term"))
     held = held.groupBy("row", "term").agg(F.count(F.lit(1)).alias("uses"))
     terms = held.groupBy("term").agg(F.count(F.lit(1)).alias("articles"), F.sum("uses").alias("uses"))
     idf = F.log((F.lit(n) + 1.0) / (F.col("articles") + 1.0))
