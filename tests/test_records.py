@@ -142,7 +142,7 @@ def test_line_ends_bytes_files_and_nothing(spark, tmp_path, ranges):
     assert read(spark, bad) == ['1,��"', '2,"�\n�"']
     many = tmp_path / "many"
     many.mkdir()
-    (many / "b.csv").write_text('3,"never\nclosed\n4,x\n')
+    (many / "b 1%20+é.csv").write_text('3,"never\nclosed\n4,x\n')
     (many / "a.csv").write_text("1,x\n2,y")
     (many / "c.csv").write_text("")
     for size in (3, 1_000):
