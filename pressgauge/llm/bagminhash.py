@@ -13,10 +13,11 @@ latest of its text's registers; long texts stop after an arrival or two.
 Signatures are cut into bands; texts that share a band are candidates, verified by the exact overlap
 of their multisets. Equal texts are one node from the start. A bucket's texts are compared with one of
 them, the bucket's pivot, so that a bucket of n texts costs n comparisons, not n^2; pairs that are in one
-component already need none. The texts of buckets that still hold several components are then joined by what
-any pair at the similarity must share, one of the rarest shingles of both its texts, and every pair of
-different components that meets there is verified. So no pair that shares a band is left out, and what is
-common to many texts brings few together; a large group just below the similarity still costs many comparisons. Components are those of all verified pairs.
+component already need none. The texts of buckets that still hold several components are then brought together by
+what any pair at the similarity must share, one of the rarest shingles of both its texts: first, in rounds, each text
+with one hub, the text of the most common shingles, which joins the copies of one original; then every pair of
+different components that is left, unless the places of the shared shingle or the bitmaps of all shingles exclude it.
+So no pair that shares a band is left out. Components are those of all verified pairs.
 
 A text of one to four words has one shingle, all its words. Texts without words are linked to their
 exact copies only. Null text is the empty text. Repeated rows get the same class. A class is named
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.llm import hashing
@@ -38,6 +39,9 @@ from pressgauge.llm.common import cut_lineage, doc_text, map_arrow, pieces, stor
 
 PIECE = 1_000_000  # bytes of text that are hashed at once
 CELL_BITS, BLOCK_BITS = 22, 12  # of the table that tells common shingles; it only decides what a run costs
+BITS = 1_024  # of a text's parity bitmap; likewise
+BITMAP = [f"b{k}" for k in range(BITS // 64)]
+HUB_ROUNDS = 2  # before the remaining pairs are joined; likewise
 
 
 @dataclass(frozen=True)
@@ -189,15 +193,17 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def candidates(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """a, b: every pair of members (member, c) of different c that can reach the similarity, and few others.
+def prefixes(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """What decides which members can reach the similarity, one row for each: size (its shingles), short (length of the
+    prefix by which the shorter of a pair is found), common (how frequent its shingles are, on average), a parity bitmap
+    of its shingles (BITMAP columns) and tokens, its prefix.
 
     In one order of all shingles (each counted as often as it occurs), a pair of overlap o shares one of the first
     size - o + 1 of both its texts. Shingles that many members have come last in that order, so what is common to
-    many brings nobody together.
+    many brings few together.
     """
     session, t = members.sparkSession, settings.similarity
-    rows = members.join(texts.withColumnRenamed("content", "member"), "member").select("member", "c", "text")
+    rows = members.join(texts.withColumnRenamed("content", "member"), "member").select("member", "text")
 
     def count(batch: pa.RecordBatch) -> dict:
         _, shingle, _ = hashing.shingles(*utf8_buffer(batch["text"]), settings.words)
@@ -224,46 +230,99 @@ def candidates(members: DataFrame, texts: DataFrame, settings: Settings) -> Data
         levels[row["block"]] = np.frombuffer(row["levels"], np.uint8)
     shared = session.sparkContext.broadcast(levels.ravel())
 
-    def prefixes(batch: pa.RecordBatch) -> dict:
+    def prefix(batch: pa.RecordBatch) -> dict:
         text, shingle, times = hashing.shingles(*utf8_buffer(batch["text"]), settings.words)
         level = shared.value[(shingle >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
         order = np.lexsort((shingle, level, text))
-        text, shingle, times = text[order], shingle[order], times[order]
-        size = np.bincount(text, times, batch.num_rows).astype(np.int64)
+        text, shingle, times, level = text[order], shingle[order], times[order], level[order]
+        n = batch.num_rows
+        size = np.bincount(text, times, n).astype(np.int64)
         # the shorter of a pair overlaps by 2 t / (1 + t) of its size at least, the longer by t
         short = size - np.ceil(size * (2 * t / (1 + t)) - 1e-6).astype(np.int64) + 1
         long = size - np.ceil(size * t - 1e-6).astype(np.int64) + 1
-        first = np.cumsum(times) - times
-        first -= (np.cumsum(size) - size)[text]
-        # of a shingle only as many occurrences as the longer prefix reaches
-        kept = np.flatnonzero(first < long[text])
-        text, shingle, times, first = text[kept], shingle[kept], times[kept], first[kept]
-        times = np.minimum(times, long[text] - first)
         which = np.repeat(np.arange(len(text)), times)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
         token = hashing.mix(shingle[which] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        place = np.arange(len(which)) - (np.cumsum(size) - size)[text[which]]
+        # a bit tells whether an odd number of a text's shingles fall on it
+        at, number = np.unique(text[which] * BITS + (token % np.uint64(BITS)).astype(np.int64), return_counts=True)
+        at = at[number % 2 == 1]
+        words = np.zeros(n * (BITS // 64), np.uint64)
+        np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        words = words.view(np.int64).reshape(n, -1)
+        kept = place < long[text[which]]
+        ends = np.append(0, np.cumsum(np.bincount(text[which][kept], minlength=n))).astype(np.int32)
         return {
-            "member": batch["member"].take(pa.array(text[which])),
-            "c": batch["c"].take(pa.array(text[which])),
-            "size": pa.array(size[text[which]]),
-            "token": pa.array(token.view(np.int64)),
-            "short": pa.array(first[which] + nth < short[text[which]]),
+            "member": batch["member"],
+            "size": pa.array(size),
+            "short": pa.array(short),
+            "common": pa.array(np.bincount(text, times * level.astype(float), n) / np.maximum(size, 1)),
+            **{name: pa.array(words[:, k]) for k, name in enumerate(BITMAP)},
+            "tokens": pa.ListArray.from_arrays(pa.array(ends), pa.array(token[kept].view(np.int64))),
         }
 
     def small(batch: pa.RecordBatch) -> dict:
-        found = [prefixes(p) for p in pieces(batch, "text", PIECE)]
+        found = [prefix(p) for p in pieces(batch, "text", PIECE)]
         return {c: pa.concat_arrays([f[c] for f in found]) for c in found[0]}
 
-    tokens = cut_lineage(map_arrow(rows, "member string, c string, size bigint, token bigint, short boolean", small))
-    # tokens of one component alone lead nowhere
-    several = tokens.groupBy("token").agg(F.min("c").alias("__low"), F.max("c").alias("__high"), F.max("short").alias("__short"))
-    tokens = cut_lineage(tokens.join(several.where("__short and __low <> __high").select("token"), "token"))
-    left = tokens.where("short").select("token", F.col("member").alias("x"), F.col("c").alias("__x"), F.col("size").alias("m"))
-    right = tokens.select("token", F.col("member").alias("y"), F.col("c").alias("__y"), F.col("size").alias("n"))
+    bitmap = ", ".join(f"{name} bigint" for name in BITMAP)
+    return stored(map_arrow(rows, f"member string, size bigint, short bigint, common double, {bitmap}, tokens array<bigint>", small))
+
+
+def _traits(prefixed: DataFrame, side: str) -> DataFrame:
+    """Member, size and bitmap under the names of one side of a pair."""
+    named = [F.col(c).alias(f"{side}_{c}") for c in ("size", *BITMAP)]
+    return prefixed.select(F.col("member").alias(side), *named)
+
+
+def _reachable(settings: Settings) -> Column:
+    """Whether the bitmaps of x and y leave the similarity open. Bits that differ are shingles that one of them lacks, so
+    there are at least as many of those; never false for a pair that reaches it."""
+    apart = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in BITMAP), F.lit(0))
+    both = F.col("x_size") + F.col("y_size")
+    return both - apart >= both * (2 * settings.similarity / (1 + settings.similarity)) - 1e-6
+
+
+def _several(labeled: DataFrame, *more: Column) -> DataFrame:
+    """Tokens by which members of different components (c) can be found."""
+    ends = [F.min("c").alias("__low"), F.max("c").alias("__high"), F.max("short").alias("__short")]
+    found = labeled.groupBy("token").agg(*ends, *more).where("__short and __low <> __high")
+    return found.drop("__low", "__high", "__short")
+
+
+def hub_pairs(labeled: DataFrame, prefixed: DataFrame, settings: Settings) -> DataFrame:
+    """a, b: each member with one hub. A token's hub is the member whose shingles are the most common: the text that
+    others were made from, if there is one. Of the hubs of other components it takes the one met most often.
+
+    labeled: member, token, short, common, c. A token of n members gives n rows.
+    """
+    hub = F.max_by(F.struct(F.col("member").alias("y"), F.col("c").alias("__y")), F.struct("common", "member"))
+    met = labeled.join(_several(labeled, hub.alias("hub")), "token").where("c <> hub.__y")
+    votes = met.groupBy(F.col("member").alias("x"), "hub.y").count()
+    votes = votes.join(_traits(prefixed, "x"), "x").join(_traits(prefixed, "y"), "y").where(_reachable(settings))
+    one = votes.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
+    return one.select(*_pair("x", "y"))
+
+
+def candidates(labeled: DataFrame, prefixed: DataFrame, settings: Settings) -> DataFrame:
+    """a, b: every pair of members of different components that can reach the similarity, and few others.
+
+    Of what a pair shares, the token that comes first in the order has all the rest behind it in both texts: where
+    less is left behind a token than the similarity takes, or the bitmaps exclude it, the pair never becomes a row.
+    labeled: member, token, place, short, c.
+    """
+    t = settings.similarity
+    labeled = labeled.join(_several(labeled), "token")
+    left = labeled.where("short").select("token", F.col("member").alias("x"), F.col("c").alias("__x"), F.col("place").alias("p"))
+    right = labeled.select("token", F.col("member").alias("y"), F.col("c").alias("__y"), F.col("place").alias("q"))
+    left, right = left.join(_traits(prefixed, "x"), "x"), right.join(_traits(prefixed, "y"), "y")
+    m, n = F.col("x_size"), F.col("y_size")
     met = left.join(right, "token").where(
         (F.col("__x") != F.col("__y"))
-        & (F.col("m") >= F.col("n") * F.lit(t) - 1e-6)
-        & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") < F.col("y"))))
+        & (m >= n * F.lit(t) - 1e-6)
+        & ((m < n) | ((m == n) & (F.col("x") < F.col("y"))))
+        & (F.least(m - F.col("p"), n - F.col("q")) >= (m + n) * (t / (1 + t)) - 1e-6)
+        & _reachable(settings)
     )
     return met.select(*_pair("x", "y")).distinct()
 
@@ -313,8 +372,17 @@ def link(sketches: DataFrame, docs: DataFrame, settings: Settings = Settings())
     # what buckets of several components still leave open
     labeled = component_of(members.where("n > 2").select("key", "member"), "member", "c")
     mixed = labeled.groupBy("key").agg(F.min("c").alias("__low"), F.max("c").alias("__high")).where("__low <> __high")
-    rest = cut_lineage(labeled.join(mixed.select("key"), "key").select("member", "c").distinct())
-    open_ = cut_lineage(candidates(rest, texts, settings))
+    rest = cut_lineage(labeled.join(mixed.select("key"), "key").select("member").distinct())
+    prefixed = prefixes(rest, texts, settings)
+    tokens = prefixed.select("member", "common", F.col("short").alias("__short"), F.posexplode("tokens").alias("place", "token"))
+    tokens = tokens.withColumn("short", F.col("place") < F.col("__short")).drop("__short")
+    # tokens of one component alone lead nowhere
+    labeled = component_of(tokens, "member", "c")
+    tokens = cut_lineage(tokens.join(_several(labeled), "token"))
+    for _ in range(HUB_ROUNDS):
+        if not compare(hub_pairs(component_of(tokens, "member", "c"), prefixed, settings)):
+            break
+    open_ = cut_lineage(candidates(component_of(tokens, "member", "c"), prefixed, settings))
     # each member with one partner first, as above
     either = open_.select(F.col("a").alias("member"), "a", "b").unionAll(open_.select(F.col("b").alias("member"), "a", "b"))
     one = either.groupBy("member").agg(F.min(F.struct("a", "b")).alias("pair"))
