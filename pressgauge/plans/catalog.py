@@ -10,7 +10,8 @@ from pressgauge.functions import fingerprints, intake, matching
 from pressgauge.operators import calibration, corpus, learning, linear, metrics, report, sampling, selection, survey, verdict, web
 from pressgauge.plans import standins as data
 from pressgauge.session import checkpoint_folder, cut_lineage
-from pressgauge.sources import articles, registry, store
+from pressgauge.sources import articles, loads, registry, store
+from pressgauge.streaming import allowance
 
 QUERIES = {}
 
@@ -189,6 +190,26 @@ def corpus_append(spark, folder):
     return store.read_corpus(spark, path).select("id", "headline_key", "label_basis")
 
 
+@query
+def corpus_two_writers(spark, folder):
+    """Two loads that share a third of their rows; the second is done while the first is at work, then tried again."""
+    path = _scratch(spark, "loads")
+    held, incoming = data.corpus(spark, folder), data.incoming(spark, folder)
+    loads.load(spark, path, "held", lambda _: held.withColumns({"file_no": F.lit(0), "pos": F.col("id")}).drop("id"))
+    parts = {"first": incoming.where("pos % 3 < 2"), "second": incoming.where("pos % 3 > 0")}
+
+    def second():
+        loads.load(spark, path, "second", lambda corpus_then: corpus.top_up(corpus_then, parts["second"])[0])
+
+    def first(corpus_then):
+        second()
+        return corpus.top_up(corpus_then, parts["first"])[0]
+
+    loads.load(spark, path, "first", first)
+    second()
+    return loads.read_loaded(spark, path).select("id", "headline_key", "label_basis")
+
+
 @query
 def merge_new(spark, folder):
     teach, exam = data.piles(spark, folder)
@@ -486,6 +507,25 @@ def web_queue(spark, folder):
     return queue.select("id", "reason", "turn", "within_allowance")
 
 
+@query
+def web_queue_stream(spark, folder):
+    """The queue of the same log fed in three parts, each by a stream that starts anew."""
+    path = _scratch(spark, "queue")
+    log = cut_lineage(data.request_log(spark, folder))
+    seconds = F.col("analyzed_at").cast("timestamp").cast("double")
+    first, last = log.agg(F.min(seconds), F.max(seconds)).first()
+    part = F.floor((seconds - F.lit(first)) * 3 / F.greatest(F.lit(last) - F.lit(first), F.lit(1.0)))
+    part = F.coalesce(F.least(part, F.lit(2)), F.lit(0))
+    for n in range(3):
+        log.where(part == n).write.mode("append").parquet(f"{path}/log")
+        arriving = spark.readStream.schema(log.schema).parquet(f"{path}/log")
+        stream = allowance.queue_stream(
+            arriving, f"{path}/queue", f"{path}/counters", f"{path}/progress", *data.BAND, per_day=50, keep_days=10_000
+        )
+        stream.awaitTermination()
+    return spark.read.parquet(f"{path}/queue").select("id", "reason", "turn", "within_allowance")
+
+
 @query
 def web_replies(spark, folder):
     read = web.normalize_web_replies(data.web_replies(spark, folder)).select("conv_id", "turn", "web_check.*")

@@ -127,6 +127,18 @@ decided AS (
       ELSE 'already_had' END AS outcome
   FROM ordered)"""
 
+
+
+def _inserted(held: str, part: str) -> str:
+    """What a load of `part` of the incoming rows adds to the table `held`, with ids."""
+    return f"""SELECT row_number() OVER (ORDER BY file_no, pos) + (SELECT max(id) FROM {held}) AS id,
+          substr(key, 1, 1000) AS headline_key, basis AS label_basis
+        FROM (SELECT *, {rank('basis')} AS r, min({rank('basis')}) OVER (PARTITION BY key ORDER BY file_no, pos
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM incoming WHERE {part}) i
+          LEFT JOIN (SELECT headline_key AS key, min({rank('label_basis')}) AS best FROM {held} GROUP BY 1) h USING (key)
+        WHERE key <> '' AND r < least(coalesce(best, 1000), coalesce(before, 1000))"""
+
+
 KEYS = f"""{CORPUS},
 normed AS (SELECT *, {norm('headline')} AS nh, {norm('body')} AS nb, {norm("headline || chr(10) || body")} AS nt FROM paste),
 keyed AS (SELECT *, nh AS k0, {opening('nb')} AS k1, {opening('nt')} AS k2 FROM normed),
@@ -412,6 +424,12 @@ SQL = {
           SELECT row_number() OVER (ORDER BY file_no, pos) + (SELECT max(id) FROM corpus) AS id, substr(key, 1, 1000) AS headline_key, basis AS label_basis
           FROM decided WHERE outcome IN ('added', 'better_evidence'))
         SELECT id, headline_key, label_basis FROM corpus UNION ALL SELECT * FROM fresh""",
+    "corpus_two_writers": f"""WITH {INCOMING},
+        start AS (SELECT row_number() OVER (ORDER BY id) AS id, headline_key, label_basis FROM corpus),
+        second AS ({_inserted('start', 'pos % 3 > 0')}),
+        after_second AS (SELECT * FROM start UNION ALL SELECT * FROM second),
+        first AS ({_inserted('after_second', 'pos % 3 < 2')})
+        SELECT * FROM after_second UNION ALL SELECT * FROM first""",
     "merge_new": f"""WITH {PASTE}, k AS (SELECT *, {norm('headline')} AS key, length(source) = 4 AS old FROM paste)
         SELECT id, headline AS title, source FROM k WHERE old OR key NOT IN (SELECT key FROM k WHERE old)""",
     "labelled_csv_scan": f"""WITH {PASTE} SELECT {norm('headline')} AS key, upper(lang) AS label, 'documents' AS source, 'source' AS basis, md5(body) AS body_digest
@@ -679,3 +697,6 @@ SQL |= {
           'source' AS basis, md5(body) AS body_digest FROM parts WHERE part > 0""",
     "csv_positions": f"WITH {PASTE} SELECT row_number() OVER (ORDER BY id) AS pos, id, md5(body) AS body_digest FROM paste",
 }
+
+# turns do not depend on the batches in which verdicts arrive
+SQL["web_queue_stream"] = SQL["web_queue"]

@@ -25,9 +25,9 @@ def _files(spark: SparkSession, path: str):
     return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _manifests(spark: SparkSession, folder: str) -> list[int]:
-    """The numbers of all versions, in order."""
-    path, files = _path(spark, f"{folder}/manifests"), _files(spark, folder)
+def numbers(spark: SparkSession, folder: str, within: str = "manifests") -> list[int]:
+    """The numbers of all versions, in order: the files or folders `within` that are called by a number."""
+    path, files = _path(spark, f"{folder}/{within}" if within else folder), _files(spark, folder)
     if not files.exists(path):
         return []
     names = [status.getPath().getName() for status in files.listStatus(path)]
@@ -49,26 +49,37 @@ def _rename(spark: SparkSession, source: str, target: str) -> bool:
     return True
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    _files(spark, path).delete(_path(spark, path), True)
+
+
+def claim(spark: SparkSession, folder: str, manifest: dict, number: int) -> bool:
+    """Whether `manifest` became the one of that number; False if another writer has it."""
+    files, draft = _files(spark, folder), f"{folder}/drafts/{uuid.uuid4().hex}"
+    out = files.create(_path(spark, draft), False)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    files.mkdirs(_path(spark, f"{folder}/manifests"))
+    if _rename(spark, draft, f"{folder}/manifests/{number:0{DIGITS}d}"):
+        return True
+    remove(spark, draft)
+    return False
+
+
 def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame], record: dict) -> int:
     """Write tables and record as the next version and return its number."""
     name = uuid.uuid4().hex
     for table, rows in tables.items():
         rows.write.parquet(f"{folder}/versions/{name}/{table}")
-    files = _files(spark, folder)
-    draft = f"{folder}/versions/{name}/manifest.json"
-    out = files.create(_path(spark, draft), False)
-    out.write(bytearray(json.dumps({"version": name, "tables": sorted(tables), "record": record}).encode()))
-    out.close()
-    files.mkdirs(_path(spark, f"{folder}/manifests"))
     while True:
-        number = (_manifests(spark, folder) or [0])[-1] + 1
-        if _rename(spark, draft, f"{folder}/manifests/{number:0{DIGITS}d}"):
+        number = (numbers(spark, folder) or [0])[-1] + 1
+        if claim(spark, folder, {"version": name, "tables": sorted(tables), "record": record}, number):
             return number
 
 
 def read_version(spark: SparkSession, folder: str, number: int | None = None) -> tuple[dict[str, DataFrame], dict] | None:
     """Tables and record of a version, the current one if no number is given; None if there is none."""
-    known = _manifests(spark, folder)
+    known = numbers(spark, folder)
     if not known or (number is not None and number not in known):
         return None
     text = spark.read.text(f"{folder}/manifests/{number or known[-1]:0{DIGITS}d}", wholetext=True).first()[0]
@@ -79,7 +90,7 @@ def read_version(spark: SparkSession, folder: str, number: int | None = None) ->
 
 def history(spark: SparkSession, folder: str, figure: str, decide) -> DataFrame:
     """version, its figure, and what to make of it next to the version before: decide(old, new) as a column."""
-    known = _manifests(spark, folder)
+    known = numbers(spark, folder)
     rows = [(n, float(read_version(spark, folder, n)[1][figure])) for n in known]
     told = [(n, x, rows[k - 1][1] if k else None) for k, (n, x) in enumerate(rows)]
     frame = spark.createDataFrame(told, "version long, figure double, before double")
