@@ -95,6 +95,26 @@ def test_pairs_within_a_common_passage(spark, prose):
     assert same_partition([got[k] for k, _ in rows], want)
 
 
+def test_candidates_hold_every_pair(spark, prose):
+    """Copies of one original, each its own component: no pair at the similarity is excluded, and of the others few stay;
+    each copy's hub is a text that it may equal in kind."""
+    rng, settings = random.Random(9), B.Settings()
+    texts = [prose(900, 150)] + [edited(prose(900, 150), rng.choice([0.01, 0.02, 0.04]), rng) for _ in range(60)]
+    texts += [" ".join(["again"] * n) for n in (12, 15, 17)] + ["", "one two"]
+    rows = [(f"{k:03d}", t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "content string, text string")
+    prefixed = B.prefixes(df.select(B.F.col("content").alias("member")), df, settings)
+    tokens = prefixed.select("member", "common", B.F.col("short").alias("s"), B.F.posexplode("tokens").alias("place", "token"))
+    labeled = tokens.withColumn("short", B.F.col("place") < B.F.col("s")).withColumn("c", B.F.col("member"))
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j)]
+    near = {(rows[i][0], rows[j][0]) for i, j in pairs if similarity(sets[i], sets[j]) >= 0.8}
+    got = {(r.a, r.b) for r in B.candidates(labeled, prefixed, settings).collect()}
+    assert near <= got and len(got) < 1.2 * len(near)
+    hubs = [(r.a, r.b) for r in B.hub_pairs(labeled, prefixed, settings).collect()]
+    assert 0 < len(hubs) <= len(rows)
+
+
 def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(40)] + [("x", "y")], "a string, b string")
     found = {r.node: r.component for r in B.components(links).collect()}
