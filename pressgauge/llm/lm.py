@@ -1,8 +1,7 @@
 """Stupid-backoff language-model scores from n-gram counts of the whole corpus.
 
-The model is of order two. Words are runs of characters other than the six blanks. The vocabulary is
-every word more frequent than the word of rank `vocabulary` + 1, counted over all documents; other words
-are one symbol, and a text begins with a symbol of its own. With counts over all documents, less the
+The model is of order two. Words are runs of characters other than the six blanks; every word of the corpus is a word
+of the model, and a text begins with a symbol of its own. With counts over all documents, less the
 very occurrence that is scored (leaving one out, or no n-gram would ever be unseen):
 
     S(w | v) = (c(v w) - 1) / (c(v) - 1)                   if c(v w) > 1
@@ -16,8 +15,14 @@ not once for an occurrence. The count table is cut into shards by hash; so are t
 exploded by document and counted, and each shard joins its part of both. A shard whose n-grams are
 many (a frequent pair) is cut again by slice of documents, with its counts copied; shards hold shard_words
 words on average, so those cut are at most one in share_entries / shard_words and their list is short. A shard
-answers with packed sums for a slice's documents, which are added up slice by slice. What is broadcast is the vocabulary with its counts, at most
-65,000 words.
+answers with packed sums for a slice's documents, which are added up slice by slice.
+
+Common words (the `vocabulary` most frequent) have short symbols, and their counts are broadcast, at most a million
+of them. This saves bytes and changes no answer. The other words are known by their 64-bit hashes, of which two would
+meet by chance in a corpus of billions of different words. A pair that ends with such a word goes to a shard by that
+word, one that begins with it to a shard by that word, one of two such words to both: there all pairs of the word
+meet, so that its count is their sum. No such word is frequent, hence no shard is hot by it. Where both words are
+uncommon the shard of the second answers with all but c(v), that of the first with c(v).
 
 Null text is the empty text: 0 words, score 0, mean null. Repeated rows count and are scored like others.
 """
@@ -38,15 +43,20 @@ from pressgauge.llm import hashing
 from pressgauge.llm.common import cut_lineage, doc_text, map_arrow, pieces, utf8_buffer
 
 PIECE = 4_000_000  # bytes of text whose n-grams are counted together
-OTHER, BEGIN = 0, 1  # symbols; the vocabulary's words follow
+OTHER, BEGIN = 0, 1  # symbols; the common words follow
+SYMBOL_BITS = 20
+END = np.uint64(2)  # stands for the word after a text's last
+COMMON, ENDS, BEGINS = 0, 1, 2  # kinds of shards: pairs of common words, pairs by their second word, by their first
+WIDTH = (5, 8, 8)  # bytes of a key of each kind
 
 
 @dataclass(frozen=True)
 class Settings:
-    vocabulary: int = 65_000  # at most; symbols have 16 bits
+    vocabulary: int = 1_000_000  # common words, at most; symbols have 20 bits. Answers don't depend on it
     backoff: float = 0.4
     shard_words: int = 4_000_000  # of the corpus, for each shard of the count table
     share_entries: int = 8_000_000  # (document, n-gram) entries from which a shard is cut again
+    rare_shards: int = 4  # shards of common pairs for each shard of either other kind
 
 
 @dataclass(frozen=True)
@@ -56,24 +66,77 @@ class Vocabulary:
     words: int  # of the corpus
 
 
-def _ids(batch: pa.RecordBatch, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of a slice's words, and which text each is of."""
+@dataclass(frozen=True)
+class Shards:
+    """Numbers of shards, and how they are laid out: common pairs, then by second word, then by first."""
+
+    common: int
+    rare: int
+
+    @property
+    def all(self) -> int:
+        return self.common + 2 * self.rare
+
+    def kind(self, shard: int) -> int:
+        return COMMON if shard < self.common else 1 + (shard - self.common) // self.rare
+
+    def of(self, kind: int, words: np.ndarray) -> np.ndarray:
+        first, number = ((0, self.common), (self.common, self.rare), (self.common + self.rare, self.rare))[kind]
+        return first + (hashing.mix(words) % np.uint64(number)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Words:
+    """The words of a slice and what stands before them."""
+
+    symbol: np.ndarray
+    hashed: np.ndarray
+    before: np.ndarray
+    hashed_before: np.ndarray
+    text: np.ndarray  # which text each is of
+    last: np.ndarray  # whether it is its text's last
+
+
+def _words(batch: pa.RecordBatch, hashes: np.ndarray) -> Words:
     found, first = hashing.words(*utf8_buffer(batch["text"]))
     place = np.searchsorted(hashes, found)
     place[place == len(hashes)] = 0
     known = hashes[place] == found if len(hashes) else np.zeros(len(found), bool)
-    return np.where(known, place + 2, OTHER), np.repeat(np.arange(batch.num_rows), np.diff(first))
+    symbol = np.where(known, place + 2, OTHER)
+    opens, last = np.zeros(len(found), bool), np.zeros(len(found), bool)
+    opens[first[:-1][np.diff(first) > 0]] = True
+    last[first[1:][np.diff(first) > 0] - 1] = True
+    before = np.where(opens, BEGIN, np.roll(symbol, 1))
+    hashed_before = np.where(opens, np.uint64(BEGIN), np.roll(found, 1))
+    return Words(symbol, found, before, hashed_before, np.repeat(np.arange(batch.num_rows), np.diff(first)), last)
+
 
+def _hash_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return hashing.mix(hashing.mix(first) + second)
 
-def _pairs(symbols: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """The pair that ends at each word, as one number."""
-    before = np.append(BEGIN, symbols[:-1])
-    before[np.append(True, text[1:] != text[:-1])[: len(before)]] = BEGIN
-    return (before[: len(symbols)] << 16 | symbols).astype(np.int64)
 
+def _pairs(words: Words, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a kind: which words end them, their keys, the word they go by, and the symbol of the other."""
+    if kind == COMMON:
+        some = np.flatnonzero((words.symbol != OTHER) & (words.before != OTHER))
+        keys = (words.before[some] << SYMBOL_BITS | words.symbol[some]).astype(np.uint64)
+        return some, keys, keys, words.before[some]
+    some = np.flatnonzero((words.symbol if kind == ENDS else words.before) == OTHER)
+    keys = _hash_pairs(words.hashed_before[some], words.hashed[some])
+    if kind == ENDS:
+        return some, keys, words.hashed[some], words.before[some]
+    return some, keys, words.hashed_before[some], words.symbol[some]
 
-def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (hashing.mix(keys.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+def pack(numbers: np.ndarray, width: int) -> bytes:
+    """The low bytes of unsigned numbers."""
+    return np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(packed: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(packed) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
+    return wide.view("<u8").ravel()
 
 
 def vocabulary(docs: DataFrame, settings: Settings) -> Vocabulary:
@@ -108,8 +171,8 @@ def vocabulary(docs: DataFrame, settings: Settings) -> Vocabulary:
     return Vocabulary(hashes[order], np.concatenate([[total - times.sum(), texts], times]).astype(np.int64), int(total))
 
 
-PARTS = "shard int, keys binary, times binary"
-TABLE = PARTS + ", n bigint"
+PARTS = "shard int, keys binary, times binary, words binary, others binary"
+TABLE = "shard int, keys binary, times binary, shares binary, n bigint"
 LISTED = "slice bigint, doc_ids array<bigint>, sizes array<int>"
 ENTRIES = f"shard int, part int, {LISTED}, rows binary, keys binary, times binary"
 
@@ -119,64 +182,102 @@ def _cut(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def pair_counts(docs: DataFrame, hashes, shards: int) -> DataFrame:
-    """shard, keys (ascending), times and their sum n, of every shard of the count table, one row each."""
+def _count_slice(words: list[Words], kind: int) -> tuple[np.ndarray, ...]:
+    """Distinct pairs of a kind: keys, times, the word they go by, and the other's symbol."""
+    found = [_pairs(w, kind)[1:] for w in words]
+    if kind == BEGINS:
+        # a text's last word begins no pair, but counts
+        for w in words:
+            ends = w.hashed[w.last & (w.symbol == OTHER)]
+            found.append((_hash_pairs(ends, np.full(len(ends), END)), ends, np.full(len(ends), OTHER)))
+    keys, word, other = (np.concatenate(x) for x in zip(*found, strict=True))
+    keys, at, times = np.unique(keys, return_index=True, return_counts=True)
+    return keys, times, word[at], other[at]
+
+
+def pair_counts(docs: DataFrame, hashes, counts, total: int, shards: Shards, settings: Settings) -> DataFrame:
+    """shard, keys (ascending), times and their sum n, of every shard of the count table, one row each.
+
+    shares: for pairs with an uncommon word, what the shard adds to ln S. `total` is the number of words.
+    """
+    backoff, n_words = settings.backoff, max(total - 1, 1)
 
     def work(batch: pa.RecordBatch) -> dict:
-        found = [_pairs(*_ids(p, hashes.value)) for p in pieces(batch, "text", PIECE)]
-        keys, times = np.unique(np.concatenate(found), return_counts=True)
-        order, edges = _cut(_shard(keys, shards), shards)
-        some = np.flatnonzero(np.diff(edges))
-        keys, times = keys[order].astype(np.uint32), times[order].astype(np.int64)
-        return {
-            "shard": pa.array(some.astype(np.int32)),
-            "keys": pa.array([keys[edges[s] : edges[s + 1]].tobytes() for s in some], pa.binary()),
-            "times": pa.array([times[edges[s] : edges[s + 1]].tobytes() for s in some], pa.binary()),
-        }
+        words = [_words(p, hashes.value) for p in pieces(batch, "text", PIECE)]
+        out = []
+        for kind in (COMMON, ENDS, BEGINS):
+            keys, times, word, other = _count_slice(words, kind)
+            order, edges = _cut(shards.of(kind, word), shards.all)
+            keys, times, word, other = keys[order], times[order].astype(np.int64), word[order], other[order].astype(np.uint32)
+            for s in np.flatnonzero(np.diff(edges)).tolist():
+                part = slice(edges[s], edges[s + 1])
+                more = (None, None) if kind == COMMON else (word[part].tobytes(), other[part].tobytes())
+                out.append((s, pack(keys[part], WIDTH[kind]), times[part].tobytes(), *more))
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.int32(), *[pa.binary()] * 4)
+        return {c: pa.array(x, t) for c, x, t in zip(("shard", "keys", "times", "words", "others"), columns, kinds, strict=True)}
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(k, np.uint32) for k in rows["keys"]])
+        shard = int(rows["shard"].iloc[0])
+        kind, shares = shards.kind(shard), None
+        keys = np.concatenate([unpack(k, WIDTH[kind]) for k in rows["keys"]])
         times = np.concatenate([np.frombuffer(t, np.int64) for t in rows["times"]])
-        keys, which = np.unique(keys, return_inverse=True)
+        keys, at, which = np.unique(keys, return_index=True, return_inverse=True)
         sums = np.bincount(which, times).astype(np.int64)
-        return pd.DataFrame({"shard": rows["shard"].iloc[:1], "keys": [keys.tobytes()], "times": [sums.tobytes()], "n": [sums.sum()]})
+        if kind != COMMON:
+            word = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["words"]])[at]
+            other = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["others"]])[at]
+            which = np.unique(word, return_inverse=True)[1]
+            own = np.maximum(np.bincount(which, sums)[which] - 1, 1)
+            others = np.where(other == OTHER, 1, np.maximum(counts.value[other] - 1, 1))
+            seen = sums > 1
+            if kind == ENDS:
+                share = np.where(seen, np.maximum(sums - 1, 1) / others, backoff * own / n_words)
+            else:
+                unseen = np.where(other == OTHER, 1.0, backoff * others / n_words)
+                share = np.where(seen, np.where(other == OTHER, 1, np.maximum(sums - 1, 1)) / own, unseen)
+            # a word backs off once, where both are uncommon in the shard of the second
+            sums = np.where((kind == BEGINS) & (other == OTHER), np.maximum(sums, 2), sums)
+            shares = np.log(share).tobytes()
+        packed = (pack(keys, WIDTH[kind]), sums.tobytes(), shares)
+        return pd.DataFrame([(shard, *packed, int(times.sum()))], columns=["shard", "keys", "times", "shares", "n"])
 
     parts = map_arrow(docs.select("text"), PARTS, work)
-    return parts.repartition(shards, "shard").groupBy("shard").applyInPandas(merge, TABLE)
+    return parts.repartition(shards.all, "shard").groupBy("shard").applyInPandas(merge, TABLE)
 
 
-def entries(docs: DataFrame, hashes, shards: int, parts: dict[int, int]) -> DataFrame:
-    """Documents' n-grams with their numbers, a row for each slice and shard. That of shard 0 lists the documents.
+def entries(docs: DataFrame, hashes, shards: Shards, parts: dict[int, int]) -> DataFrame:
+    """Documents' n-grams with their numbers, a row for each slice and shard, and one in shard 0 that lists the documents.
 
     parts: into how many parts the shards are cut that are cut at all.
     """
 
     def work(batch: pa.RecordBatch, state: dict) -> dict:
         state["slice"] += 1
-        symbols, text = _ids(batch, hashes.value)
-        # (document, pair) with its number; pairs of one shard side by side
-        pair = _pairs(symbols, text)
-        order = np.lexsort((pair, text))
-        pair, text = pair[order], text[order]
-        new = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (text[1:] != text[:-1]))[: len(pair)])
-        times = np.diff(np.append(new, len(pair)))
-        pair, text = pair[new], text[new]
-        order, edges = _cut(_shard(pair, shards), shards)
-        pair, text, times = pair[order].astype(np.uint32), text[order].astype(np.uint32), times[order].astype(np.uint32)
-        sizes = np.bincount(text, times, batch.num_rows).astype(int).tolist()
-        some = np.flatnonzero((np.diff(edges) > 0) | (np.arange(shards) == 0))
-        found = {k: [] for k in ("rows", "keys", "times")}
-        for s in some:
-            part = slice(edges[s], edges[s + 1])
-            for name, values in (("rows", text), ("keys", pair), ("times", times)):
-                found[name].append(values[part].tobytes())
+        words = _words(batch, hashes.value)
+        sizes = np.bincount(words.text, minlength=batch.num_rows).astype(int).tolist()
+        out = [(0, batch["doc_id"].to_pylist(), sizes, b"", b"", b"")]
+        for kind in (COMMON, ENDS, BEGINS):
+            some, keys, word, _ = _pairs(words, kind)
+            text, shard = words.text[some], shards.of(kind, word)
+            # (document, pair) with its number; pairs of one shard side by side
+            order = np.lexsort((keys, text, shard))
+            keys, text, shard = keys[order], text[order], shard[order]
+            new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (text[1:] != text[:-1]))[: len(keys)])
+            times = np.diff(np.append(new, len(keys))).astype(np.uint32)
+            keys, text, shard = keys[new], text[new].astype(np.uint32), shard[new]
+            edges = np.searchsorted(shard, np.arange(shards.all + 1))
+            for s in np.flatnonzero(np.diff(edges)).tolist():
+                part = slice(edges[s], edges[s + 1])
+                out.append((s, None, None, text[part].tobytes(), pack(keys[part], WIDTH[kind]), times[part].tobytes()))
+        shard, ids, sizes, *packed = zip(*out, strict=True)
         return {
-            "shard": pa.array(some.astype(np.int32)),
-            "part": pa.array([state["slice"] % parts.get(s, 1) for s in some.tolist()], pa.int32()),
-            "slice": pa.array(np.full(len(some), state["slice"])),
-            "doc_ids": pa.array([batch["doc_id"].to_pylist() if s == 0 else None for s in some], pa.list_(pa.int64())),
-            "sizes": pa.array([sizes if s == 0 else None for s in some], pa.list_(pa.int32())),
-            **{k: pa.array(found[k], pa.binary()) for k in ("rows", "keys", "times")},
+            "shard": pa.array(shard, pa.int32()),
+            "part": pa.array([state["slice"] % parts.get(s, 1) for s in shard], pa.int32()),
+            "slice": pa.array(np.full(len(shard), state["slice"])),
+            "doc_ids": pa.array(ids, pa.list_(pa.int64())),
+            "sizes": pa.array(sizes, pa.list_(pa.int32())),
+            **{k: pa.array(x, pa.binary()) for k, x in zip(("rows", "keys", "times"), packed, strict=True)},
         }
 
     def setup() -> dict:
@@ -212,8 +313,9 @@ def scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     model = vocabulary(docs, settings)
     context = docs.sparkSession.sparkContext
     hashes, counts = context.broadcast(model.hashes), context.broadcast(model.counts)
-    shards = max(1, math.ceil(model.words / settings.shard_words))
-    table = cut_lineage(pair_counts(docs, hashes, shards))
+    common = max(1, math.ceil(model.words / settings.shard_words))
+    shards = Shards(common, math.ceil(common / settings.rare_shards))
+    table = cut_lineage(pair_counts(docs, hashes, counts, model.words, shards, settings))
     n_parts = F.ceil(F.col("n") / settings.share_entries).cast("int")
     cut = table.select("shard", n_parts.alias("parts")).where("parts > 1")
     parts = {row["shard"]: row["parts"] for row in cut.toLocalIterator()}
@@ -222,25 +324,35 @@ def scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def join(listed: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         out = []
-        keys = np.frombuffer(table["keys"].iloc[0], np.uint32) if len(table) else np.zeros(0, np.uint32)
-        totals = np.frombuffer(table["times"].iloc[0], np.int64) if len(table) else np.zeros(0, np.int64)
+        kind = shards.kind(int((listed if len(listed) else table)["shard"].iloc[0]))
+        keys, totals, shares = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+        if len(table):
+            keys, totals = unpack(table["keys"].iloc[0], WIDTH[kind]), np.frombuffer(table["times"].iloc[0], np.int64)
+            shares = np.frombuffer(table["shares"].iloc[0], np.float64) if kind != COMMON else None
         single = counts.value
         for number, ids, sizes, rows, mine, times in zip(
             *(listed[c] for c in ("slice", "doc_ids", "sizes", "rows", "keys", "times")), strict=True
         ):
-            rows, mine, times = (np.frombuffer(x, np.uint32).astype(np.int64) for x in (rows, mine, times))
-            total = totals[np.searchsorted(keys, mine.astype(np.uint32))] if len(mine) else mine
-            before, word = mine >> 16, mine & 0xFFFF
+            rows, times = (np.frombuffer(x, np.uint32).astype(np.int64) for x in (rows, times))
+            mine = unpack(mine, WIDTH[kind])
+            at = np.searchsorted(keys, mine)
+            total = totals[at] if len(mine) else times
             seen = total > 1
-            share = np.where(
-                seen,
-                (total - 1) / np.maximum(single[before] - 1, 1),
-                backoff * np.maximum(single[word] - 1, 1) / n_words,
-            )
+            if kind != COMMON:
+                share = shares[at]
+            else:
+                before, word = mine >> np.uint64(SYMBOL_BITS), mine & np.uint64((1 << SYMBOL_BITS) - 1)
+                share = np.log(
+                    np.where(
+                        seen,
+                        np.maximum(total - 1, 1) / np.maximum(single[before] - 1, 1),
+                        backoff * np.maximum(single[word] - 1, 1) / n_words,
+                    )
+                )
             # packed: a row for a slice, not one for each of its documents
             some, which = np.unique(rows, return_inverse=True)
             backed = np.bincount(which, times * ~seen, len(some)).astype(np.uint32)
-            score = np.bincount(which, times * np.log(share), len(some))
+            score = np.bincount(which, times * share, len(some))
             out.append((number, ids, sizes, some.astype(np.uint32).tobytes(), backed.tobytes(), score.tobytes()))
         return pd.DataFrame(out, columns=["slice", "doc_ids", "sizes", "rows", "backoff", "score"])
 
@@ -267,21 +379,13 @@ WITH texts AS (
 occurrences AS (
     SELECT r, i, ws[i] AS word FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM texts)
 ),
-words AS (SELECT word, count(*) AS n FROM occurrences GROUP BY word),
-cutoff AS (
-    SELECT coalesce((SELECT n FROM words ORDER BY n DESC LIMIT 1 OFFSET {settings.vocabulary}), 0) AS least
-),
-coded AS (
-    SELECT r, i, CASE WHEN n > least THEN occurrences.word ELSE ' other' END AS word
-    FROM occurrences JOIN words ON occurrences.word = words.word CROSS JOIN cutoff
-),
-pairs AS (SELECT r, word, coalesce(lag(word) OVER (PARTITION BY r ORDER BY i), ' begin') AS before FROM coded),
+pairs AS (SELECT r, word, coalesce(lag(word) OVER (PARTITION BY r ORDER BY i), ' begin') AS before FROM occurrences),
 c2 AS (SELECT before, word, count(*) AS n FROM pairs GROUP BY before, word),
 c1 AS (
-    SELECT word, count(*) AS n FROM coded GROUP BY word
+    SELECT word, count(*) AS n FROM occurrences GROUP BY word
     UNION ALL SELECT ' begin', count(*) FROM texts WHERE len(ws) > 0
 ),
-size AS (SELECT greatest(count(*) - 1, 1) AS n FROM coded),
+size AS (SELECT greatest(count(*) - 1, 1) AS n FROM occurrences),
 scored AS (
     SELECT pairs.r, CAST(c2.n = 1 AS BIGINT) AS backed,
            ln(CASE WHEN c2.n > 1 THEN (c2.n - 1) / CAST(greatest(b.n - 1, 1) AS DOUBLE)
