@@ -9,8 +9,10 @@ the sample has not shown. One linear scan finds the contiguous region of the lar
 what stands in such elements, is the page's.
 
 Character references are decoded, runs of white space inside a block become one space, blocks are trimmed
-and joined in order by one line feed, empty ones left out. Inside the content, and for blocks that are text
-themselves, a class or id marks an element only if all of the name does, and ids of such blocks never do. Everything else of the region is kept, whole. A
+and joined in order by one line feed, empty ones left out. Names are an element's id, then its classes. The first whose words
+all mark noise ("comments", "post-comments", "sidebarContent": words of content beside them don't count), or all speak
+for content, decides. Failing that, outside the content one word of noise in a name is enough if no name speaks for
+content. Ids of blocks that are text themselves never count. Everything else of the region is kept, whole. A
 line break element is white space. A null, empty or textless page, or one in which nothing scores above
 zero, has the text "". Unclosed elements, stray end tags and pages that break off are read as far as they
 go. Repeated rows are answered alike.
@@ -58,12 +60,15 @@ NOISE_WORDS = frozenset(
 PLAIN_WORDS = frozenset("section box block list area bar button buttons icon icons link links item items form inner outer panel".split())
 # blocks that are text themselves: their ids are made from it, or numbered
 TEXT_BLOCKS = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
+# words of names that tell what an element has, not what it is
+STATE_WORDS = frozenset("has no with without is".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text page wrapper container".split())
 
 _QUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[^a-z]+")
+_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _noise(tag: str, attributes: str, in_content: bool) -> bool:
@@ -71,26 +76,29 @@ def _noise(tag: str, attributes: str, in_content: bool) -> bool:
         return True
     if not attributes or tag in ("body", "html", "article", "main"):
         return False
-    words: set[str] = set()
-    names: list[str] = []
+    ids: list[str] = []
+    classes: list[str] = []
     for name, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
-        if name.lower() == "hidden" or (name.lower() == "role" and value.strip() in NOISE_ROLES):
+        value = "".join(values)
+        if name.lower() == "hidden" or (name.lower() == "role" and value.strip().lower() in NOISE_ROLES):
             return True
-        if name.lower() in ("class", "id"):
-            words.update(_SPLIT.split(value))
-            # an id is one name, a class has several
-            if name.lower() == "class":
-                names += value.split()
-            elif tag not in TEXT_BLOCKS:
-                names.append(value)
-    if words & CONTENT_WORDS:
-        return False
+        # an id is one name, a class has several
+        if name.lower() == "class":
+            classes += value.split()
+        elif name.lower() == "id" and tag not in TEXT_BLOCKS:
+            ids.append(value)
+    names = [{w for w in _SPLIT.split(_CASE.sub("-", x).lower()) if w} for x in ids + classes]
+    for words in names:
+        rest = words - PLAIN_WORDS - CONTENT_WORDS
+        if rest:
+            if rest <= NOISE_WORDS:
+                return True
+        elif words & CONTENT_WORDS:
+            return False
     if in_content or (tag in TEXT_BLOCKS and tag != "li"):
-        # among content a name must be all noise: "comments", but not "search-engines"
-        parts = [set(_SPLIT.split(x)) - PLAIN_WORDS - {""} for x in names]
-        return any(x and x <= NOISE_WORDS for x in parts)
-    return bool(words & NOISE_WORDS)
+        return False
+    names = [words for words in names if not words & STATE_WORDS]
+    return not any(words & CONTENT_WORDS for words in names) and any(words & NOISE_WORDS for words in names)
 
 
 Token = tuple[str, str | None, int]  # feature, text (None: a tag), block

@@ -40,6 +40,23 @@ NAMED = [
     ("<article><p>a</p><section class='comments-section'><p>no</p></section><div class='ad wide'>no</div><p class=advert>no</p><p>b</p></article>", "a\nb"),
 ]
 
+MIXED = ["section class='post-comments'", "div class='comment-body'", "div class=sidebar-content", "div class=widget-body", "div class='cookie-notice-text'", "div class=newsletter-content", "div id=sidebarContent", "div class='wide main-nav'", "div id=comments class=entry"]
+KEPT = ["div class='content comments-open'", "div class='article-body has-sidebar'", "section class='post'", "div class='post share-count-12'", "section id=with-comments", "div class='research-notes'"]
+
+
+@pytest.mark.parametrize("name", MIXED)
+def test_names_of_noise_that_hold_words_of_content(weights, name):
+    part = f"<{name}><p>{'not the story ' * 9}</p></{name.split()[0]}>"
+    for page in (f"<article><p>a b</p>{part}<p>c</p></article>", f"<div id=content><p>a b</p>{part}<p>c</p></div>", f"<article><p>a b</p><p>c</p></article>{part}"):
+        assert html.extract_text(SHOP + page + FOOT, weights) == "a b\nc"
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_names_of_content_that_hold_words_of_noise(weights, name):
+    part = f"<{name}><p>the story</p></{name.split()[0]}>"
+    assert html.extract_text(f"{SHOP}<article><p>a b</p>{part}</article>{FOOT}", weights) == "a b\nthe story"
+    assert html.extract_text(f"{SHOP}{part}{FOOT}", weights) == "the story"
+
 
 @pytest.mark.parametrize("body, want", NAMED)
 def test_names_made_from_text(weights, body, want):
