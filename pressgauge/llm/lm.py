@@ -61,7 +61,8 @@ class Settings:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    hashes: np.ndarray  # of its words, ascending; word i is symbol i + 2
+    hashes: np.ndarray  # of its words, ascending
+    symbols: np.ndarray  # of these words, from 2 on, the most frequent first
     counts: np.ndarray  # by symbol
     words: int  # of the corpus
 
@@ -97,12 +98,14 @@ class Words:
     last: np.ndarray  # whether it is its text's last
 
 
-def _words(batch: pa.RecordBatch, hashes: np.ndarray) -> Words:
+def _words(batch: pa.RecordBatch, common: tuple[np.ndarray, np.ndarray]) -> Words:
+    """`common`: hashes and symbols of the common words."""
+    hashes, symbols = common
     found, first = hashing.words(*utf8_buffer(batch["text"]))
     place = np.searchsorted(hashes, found)
     place[place == len(hashes)] = 0
     known = hashes[place] == found if len(hashes) else np.zeros(len(found), bool)
-    symbol = np.where(known, place + 2, OTHER)
+    symbol = np.where(known, symbols[place].astype(np.int64), OTHER) if len(hashes) else np.full(len(found), OTHER)
     opens, last = np.zeros(len(found), bool), np.zeros(len(found), bool)
     opens[first[:-1][np.diff(first) > 0]] = True
     last[first[1:][np.diff(first) > 0] - 1] = True
@@ -129,16 +132,24 @@ def _pairs(words: Words, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def pack(numbers: np.ndarray, width: int) -> bytes:
-    """The low bytes of unsigned numbers."""
-    return np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """The low bytes of whole numbers, all first bytes, then all second ones, and so on, compressed."""
+    planes = np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return len(numbers).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(planes), codec="zstd", asbytes=True)
 
 
 def unpack(packed: bytes, width: int) -> np.ndarray:
-    wide = np.zeros((len(packed) // width, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
+    n = int.from_bytes(packed[:4], "little")
+    wide = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = pa.decompress(packed[4:], n * width, codec="zstd")
+        wide[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
     return wide.view("<u8").ravel()
 
 
+def _numbers(packed: pd.Series, width: int) -> np.ndarray:
+    return np.concatenate([unpack(x, width) for x in packed])
+
+
 def vocabulary(docs: DataFrame, settings: Settings) -> Vocabulary:
     def work(batch: pa.RecordBatch) -> dict:
         found = [hashing.words(*utf8_buffer(p["text"])) for p in pieces(batch, "text", PIECE)]
@@ -164,11 +175,15 @@ def vocabulary(docs: DataFrame, settings: Settings) -> Vocabulary:
         if room < 0:
             least = row["times"]
             break
-    most = words.where(F.col("times") > least).select("word", "times").toPandas()
-    hashes = most["word"].to_numpy(np.int64).view(np.uint64)
+    most = words.where(F.col("times") > least).select("word", "times").toArrow()
+    hashes = most["word"].to_numpy().view(np.uint64)
+    times = most["times"].to_numpy()
+    ranked = np.lexsort((hashes, -times))
+    symbols = np.empty(len(hashes), np.uint32)
+    symbols[ranked] = np.arange(2, len(hashes) + 2)
     order = np.argsort(hashes)
-    times = most["times"].to_numpy(np.int64)[order]
-    return Vocabulary(hashes[order], np.concatenate([[total - times.sum(), texts], times]).astype(np.int64), int(total))
+    counts = np.concatenate([[total - times.sum(), texts], times[ranked]]).astype(np.int64)
+    return Vocabulary(hashes[order], symbols[order], counts, int(total))
 
 
 PARTS = "shard int, keys binary, times binary, words binary, others binary"
@@ -195,7 +210,7 @@ def _count_slice(words: list[Words], kind: int) -> tuple[np.ndarray, ...]:
     return keys, times, word[at], other[at]
 
 
-def pair_counts(docs: DataFrame, hashes, counts, total: int, shards: Shards, settings: Settings) -> DataFrame:
+def pair_counts(docs: DataFrame, common, counts, total: int, shards: Shards, settings: Settings) -> DataFrame:
     """shard, keys (ascending), times and their sum n, of every shard of the count table, one row each.
 
     shares: for pairs with an uncommon word, what the shard adds to ln S. `total` is the number of words.
@@ -203,16 +218,16 @@ def pair_counts(docs: DataFrame, hashes, counts, total: int, shards: Shards, set
     backoff, n_words = settings.backoff, max(total - 1, 1)
 
     def work(batch: pa.RecordBatch) -> dict:
-        words = [_words(p, hashes.value) for p in pieces(batch, "text", PIECE)]
+        words = [_words(p, common.value) for p in pieces(batch, "text", PIECE)]
         out = []
         for kind in (COMMON, ENDS, BEGINS):
             keys, times, word, other = _count_slice(words, kind)
             order, edges = _cut(shards.of(kind, word), shards.all)
-            keys, times, word, other = keys[order], times[order].astype(np.int64), word[order], other[order].astype(np.uint32)
+            keys, times, word, other = keys[order], times[order], word[order], other[order]
             for s in np.flatnonzero(np.diff(edges)).tolist():
                 part = slice(edges[s], edges[s + 1])
-                more = (None, None) if kind == COMMON else (word[part].tobytes(), other[part].tobytes())
-                out.append((s, pack(keys[part], WIDTH[kind]), times[part].tobytes(), *more))
+                more = (None, None) if kind == COMMON else (pack(word[part], 8), pack(other[part], 4))
+                out.append((s, pack(keys[part], WIDTH[kind]), pack(times[part], 8), *more))
         columns = list(zip(*out, strict=True)) or [()] * 5
         kinds = (pa.int32(), *[pa.binary()] * 4)
         return {c: pa.array(x, t) for c, x, t in zip(("shard", "keys", "times", "words", "others"), columns, kinds, strict=True)}
@@ -220,13 +235,11 @@ def pair_counts(docs: DataFrame, hashes, counts, total: int, shards: Shards, set
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
         kind, shares = shards.kind(shard), None
-        keys = np.concatenate([unpack(k, WIDTH[kind]) for k in rows["keys"]])
-        times = np.concatenate([np.frombuffer(t, np.int64) for t in rows["times"]])
+        keys, times = _numbers(rows["keys"], WIDTH[kind]), _numbers(rows["times"], 8)
         keys, at, which = np.unique(keys, return_index=True, return_inverse=True)
         sums = np.bincount(which, times).astype(np.int64)
         if kind != COMMON:
-            word = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["words"]])[at]
-            other = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["others"]])[at]
+            word, other = _numbers(rows["words"], 8)[at], _numbers(rows["others"], 4)[at]
             which = np.unique(word, return_inverse=True)[1]
             own = np.maximum(np.bincount(which, sums)[which] - 1, 1)
             others = np.where(other == OTHER, 1, np.maximum(counts.value[other] - 1, 1))
@@ -238,15 +251,15 @@ def pair_counts(docs: DataFrame, hashes, counts, total: int, shards: Shards, set
                 share = np.where(seen, np.where(other == OTHER, 1, np.maximum(sums - 1, 1)) / own, unseen)
             # a word backs off once, where both are uncommon in the shard of the second
             sums = np.where((kind == BEGINS) & (other == OTHER), np.maximum(sums, 2), sums)
-            shares = np.log(share).tobytes()
-        packed = (pack(keys, WIDTH[kind]), sums.tobytes(), shares)
+            shares = pack(np.log(share).view(np.uint64), 8)
+        packed = (pack(keys, WIDTH[kind]), pack(sums, 8), shares)
         return pd.DataFrame([(shard, *packed, int(times.sum()))], columns=["shard", "keys", "times", "shares", "n"])
 
     parts = map_arrow(docs.select("text"), PARTS, work)
     return parts.repartition(shards.all, "shard").groupBy("shard").applyInPandas(merge, TABLE)
 
 
-def entries(docs: DataFrame, hashes, shards: Shards, parts: dict[int, int]) -> DataFrame:
+def entries(docs: DataFrame, common, shards: Shards, parts: dict[int, int]) -> DataFrame:
     """Documents' n-grams with their numbers, a row for each slice and shard, and one in shard 0 that lists the documents.
 
     parts: into how many parts the shards are cut that are cut at all.
@@ -254,9 +267,9 @@ def entries(docs: DataFrame, hashes, shards: Shards, parts: dict[int, int]) -> D
 
     def work(batch: pa.RecordBatch, state: dict) -> dict:
         state["slice"] += 1
-        words = _words(batch, hashes.value)
+        words = _words(batch, common.value)
         sizes = np.bincount(words.text, minlength=batch.num_rows).astype(int).tolist()
-        out = [(0, batch["doc_id"].to_pylist(), sizes, b"", b"", b"")]
+        out = [(0, batch["doc_id"].to_pylist(), sizes, *[pack(np.zeros(0, np.uint64), 8)] * 3)]
         for kind in (COMMON, ENDS, BEGINS):
             some, keys, word, _ = _pairs(words, kind)
             text, shard = words.text[some], shards.of(kind, word)
@@ -264,12 +277,12 @@ def entries(docs: DataFrame, hashes, shards: Shards, parts: dict[int, int]) -> D
             order = np.lexsort((keys, text, shard))
             keys, text, shard = keys[order], text[order], shard[order]
             new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (text[1:] != text[:-1]))[: len(keys)])
-            times = np.diff(np.append(new, len(keys))).astype(np.uint32)
-            keys, text, shard = keys[new], text[new].astype(np.uint32), shard[new]
+            times = np.diff(np.append(new, len(keys)))
+            keys, text, shard = keys[new], text[new], shard[new]
             edges = np.searchsorted(shard, np.arange(shards.all + 1))
             for s in np.flatnonzero(np.diff(edges)).tolist():
                 part = slice(edges[s], edges[s + 1])
-                out.append((s, None, None, text[part].tobytes(), pack(keys[part], WIDTH[kind]), times[part].tobytes()))
+                out.append((s, None, None, pack(text[part], 4), pack(keys[part], WIDTH[kind]), pack(times[part], 4)))
         shard, ids, sizes, *packed = zip(*out, strict=True)
         return {
             "shard": pa.array(shard, pa.int32()),
@@ -294,9 +307,8 @@ def add_up(parts: pd.DataFrame) -> pd.DataFrame:
     """The documents of one slice with the sums of what all shards found for them."""
     listed = parts[parts["doc_ids"].notna()].iloc[0]
     n = len(listed["doc_ids"])
-    rows = np.concatenate([np.frombuffer(x, np.uint32) for x in parts["rows"]])
-    backoff = np.concatenate([np.frombuffer(x, np.uint32) for x in parts["backoff"]])
-    score = np.concatenate([np.frombuffer(x, np.float64) for x in parts["score"]])
+    rows, backoff = _numbers(parts["rows"], 4).astype(np.int64), _numbers(parts["backoff"], 4)
+    score = _numbers(parts["score"], 8).view(np.float64)
     return pd.DataFrame(
         {
             "doc_id": pd.array([None if x is None or x != x else int(x) for x in listed["doc_ids"]], dtype="Int64"),
@@ -312,10 +324,10 @@ def scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     docs = doc_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     model = vocabulary(docs, settings)
     context = docs.sparkSession.sparkContext
-    hashes, counts = context.broadcast(model.hashes), context.broadcast(model.counts)
-    common = max(1, math.ceil(model.words / settings.shard_words))
-    shards = Shards(common, math.ceil(common / settings.rare_shards))
-    table = cut_lineage(pair_counts(docs, hashes, counts, model.words, shards, settings))
+    common, counts = context.broadcast((model.hashes, model.symbols)), context.broadcast(model.counts)
+    n = max(1, math.ceil(model.words / settings.shard_words))
+    shards = Shards(n, math.ceil(n / settings.rare_shards))
+    table = cut_lineage(pair_counts(docs, common, counts, model.words, shards, settings))
     n_parts = F.ceil(F.col("n") / settings.share_entries).cast("int")
     cut = table.select("shard", n_parts.alias("parts")).where("parts > 1")
     parts = {row["shard"]: row["parts"] for row in cut.toLocalIterator()}
@@ -327,13 +339,13 @@ def scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         kind = shards.kind(int((listed if len(listed) else table)["shard"].iloc[0]))
         keys, totals, shares = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
         if len(table):
-            keys, totals = unpack(table["keys"].iloc[0], WIDTH[kind]), np.frombuffer(table["times"].iloc[0], np.int64)
-            shares = np.frombuffer(table["shares"].iloc[0], np.float64) if kind != COMMON else None
+            keys, totals = unpack(table["keys"].iloc[0], WIDTH[kind]), unpack(table["times"].iloc[0], 8).astype(np.int64)
+            shares = unpack(table["shares"].iloc[0], 8).view(np.float64) if kind != COMMON else None
         single = counts.value
         for number, ids, sizes, rows, mine, times in zip(
             *(listed[c] for c in ("slice", "doc_ids", "sizes", "rows", "keys", "times")), strict=True
         ):
-            rows, times = (np.frombuffer(x, np.uint32).astype(np.int64) for x in (rows, times))
+            rows, times = (unpack(x, 4).astype(np.int64) for x in (rows, times))
             mine = unpack(mine, WIDTH[kind])
             at = np.searchsorted(keys, mine)
             total = totals[at] if len(mine) else times
@@ -351,12 +363,13 @@ def scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 )
             # packed: a row for a slice, not one for each of its documents
             some, which = np.unique(rows, return_inverse=True)
-            backed = np.bincount(which, times * ~seen, len(some)).astype(np.uint32)
+            backed = np.bincount(which, times * ~seen, len(some))
             score = np.bincount(which, times * share, len(some))
-            out.append((number, ids, sizes, some.astype(np.uint32).tobytes(), backed.tobytes(), score.tobytes()))
+            packed = pack(some, 4), pack(backed.astype(np.int64), 4), pack(score.view(np.uint64), 8)
+            out.append((number, ids, sizes, *packed))
         return pd.DataFrame(out, columns=["slice", "doc_ids", "sizes", "rows", "backoff", "score"])
 
-    listed = entries(docs, hashes, shards, parts)
+    listed = entries(docs, common, shards, parts)
     keys = ["shard", "part"]
     joined = listed.groupBy(*keys).cogroup(table.groupBy(*keys)).applyInPandas(join, PARTIAL)
     return joined.groupBy("slice").applyInPandas(add_up, SUMS).select(
