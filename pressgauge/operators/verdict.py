@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,20 @@ def pick_best(corpus: DataFrame, key: str) -> DataFrame:
     return keep_keyed(corpus, key).groupBy(F.col(key).alias("key")).agg(best.alias("match"))
 
 
+KINDS = ("headline_key", "body_key")
+
+
+def match_rank(match: Column) -> Column:
+    """What orders matches of one key: the better evidence, then the older id, comes first."""
+    return F.struct(basis_rank(match["label_basis"]), match["id"])
+
+
+def corpus_index(corpus: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """(kind, key, match) of every key of the corpus."""
+    parts = [pick_best(corpus, kind).select(F.lit(kind).alias("kind"), "key", "match") for kind in kinds]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def best_match(requests: DataFrame, corpus: DataFrame, headline: str = "headline") -> DataFrame:
     """Inner lookup by headline: the matched requests with their evidence."""
     keyed = keep_keyed(requests.withColumn("key", normalize_headline(F.col(headline))), "key")
@@ -65,8 +80,8 @@ def keyed_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def _match_candidates(keyed: DataFrame, corpus: DataFrame, doors: list[tuple[str, str]]) -> DataFrame:
-    """(id, match, door): first door whose key is in the corpus.
+def _match_candidates(keyed: DataFrame, index: DataFrame, doors: list[tuple[str, str]]) -> DataFrame:
+    """(id, match, door): first door whose key is in the index of the corpus.
 
     Only ids and non-blank keys travel to the corpus, never the text, and blank
     keys, which would all land in one task, are gone before the join.
@@ -78,10 +93,6 @@ def _match_candidates(keyed: DataFrame, corpus: DataFrame, doors: list[tuple[str
         ]
     )
     tried = keyed.select("id", F.explode(F.array_compact(tries)).alias("try")).select("id", "try.*")
-    index = None
-    for kind in sorted({kind for _, kind in doors}):
-        picked = pick_best(corpus, kind).withColumn("kind", F.lit(kind))
-        index = picked if index is None else index.unionByName(picked)
     found = tried.join(index, ["kind", "key"])
     return found.groupBy("id").agg(F.min_by(F.struct("match", "door"), "door").alias("found")).select("id", "found.*")
 
@@ -92,14 +103,15 @@ BODY_DOORS = [("body_key", "body_key"), ("paste_key", "body_key")]
 
 def best_match_by_body(requests: DataFrame, corpus: DataFrame) -> DataFrame:
     """(id, match, door) by the opening of the body, then of the whole paste."""
-    return _match_candidates(keyed_requests(requests), corpus, BODY_DOORS)
+    return _match_candidates(keyed_requests(requests), corpus_index(corpus, ("body_key",)), BODY_DOORS)
 
 
-def lookup(requests: DataFrame, corpus: DataFrame) -> DataFrame:
+def lookup(requests: DataFrame, corpus: DataFrame | None, index: DataFrame | None = None) -> DataFrame:
     """Requests (id, headline, body, ...) with `match` and `matched_on`, null when
-    unknown: headline first, then the two openings; every comparison is exact."""
+    unknown: headline first, then the two openings; every comparison is exact.
+    `index` (kind, key, match) stands for the corpus if given."""
     doors = HEADLINE_DOOR + BODY_DOORS
-    found = _match_candidates(keyed_requests(requests.select("id", "headline", "body")), corpus, doors)
+    found = _match_candidates(keyed_requests(requests.select("id", "headline", "body")), corpus_index(corpus) if index is None else index, doors)
     matched_on = F.when(F.col("door") == 0, "headline").when(F.col("door") > 0, "body")
     return requests.join(found, "id", "left").withColumn("matched_on", matched_on).drop("door")
 
@@ -115,13 +127,14 @@ def _percent(value: float) -> Column:
 
 def analyze(
     requests: DataFrame,
-    corpus: DataFrame,
+    corpus: DataFrame | None,
     scorer: Scorer | None = None,
     record: CutoffRecord | None = None,
     model_record: dict | None = None,
     cleaned: bool = True,
     replies: DataFrame | None = None,
     band: tuple[float, float] | None = None,
+    index: tuple[DataFrame, int] | None = None,
 ) -> DataFrame:
     """The cascade, one output row per request (id, headline, body, ...).
 
@@ -129,9 +142,10 @@ def analyze(
     verdict quotes measured precision, without one the model's own probability;
     then nothing available. Adds score, label, confidence, method, explanation,
     matched_on, match and fake_score. With `replies` (id, web_check) a last step adds
-    what the web says where the score is in `band` or `search_web` asks for it.
+    what the web says where the score is in `band` or `search_web` asks for it. An `index`
+    (rows and the number of corpus rows behind them, see sources/index.py) stands for the corpus.
     """
-    looked = lookup(requests, corpus)
+    looked = lookup(requests, corpus, index[0] if index else None)
     text = full_text(F.col("headline"), F.col("body"))
     joined = F.concat_ws(" ", "headline", "body")
     known = F.col("match").isNotNull()
@@ -163,7 +177,7 @@ def analyze(
             wording.WORD_COUNTER, confidence.cast("string"), word, F.lit(performance_sentence(model_record))
         )
 
-    total = corpus.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = F.lit(index[1]).cast("long") if index else corpus.agg(F.count(F.lit(1)).alias("n")).scalar()
     match = F.col("match")
     note = F.when(F.col("matched_on") == "body", wording.DATABASE_BODY_NOTE).otherwise("")
     from_corpus = F.format_string(

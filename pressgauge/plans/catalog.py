@@ -10,7 +10,7 @@ from pressgauge.functions import fingerprints, intake, matching
 from pressgauge.operators import calibration, corpus, learning, linear, metrics, report, sampling, selection, survey, verdict, web
 from pressgauge.plans import standins as data
 from pressgauge.session import checkpoint_folder, cut_lineage
-from pressgauge.sources import articles, loads, registry, store
+from pressgauge.sources import articles, index, loads, registry, store
 from pressgauge.streaming import allowance
 
 QUERIES = {}
@@ -255,6 +255,16 @@ def cascade(spark, folder):
     )
 
 
+@query
+def cascade_indexed(spark, folder):
+    """The cascade against a stored index that three top-ups built."""
+    place, held = _scratch(spark, "index"), data.corpus(spark, folder)
+    for n in (2, 0, 1):
+        stored = index.add_to_index(held.where(F.col("id") % 3 == n), place, f"load-{n}", buckets=16)
+    told = verdict.analyze(data.pastes(spark, folder), None, data.digest_scorer, data.RECORD, index=stored[:2])
+    return told.select("id", "score", "label", "confidence", "method", "explanation", "matched_on", F.col("match.id").alias("match_id"))
+
+
 @query
 def cascade_by_method(spark, folder):
     """Flagship: how the cascade answers every document."""

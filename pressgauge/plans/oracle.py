@@ -438,6 +438,7 @@ SQL = {
     "body_lookup": f"""WITH {KEYS} SELECT k.id, coalesce(a.id, b.id) AS match_id, CASE WHEN a.id IS NULL THEN 1 ELSE 0 END AS door FROM keyed k
         LEFT JOIN by_body a ON a.body_key = k.k1 LEFT JOIN by_body b ON b.body_key = k.k2 WHERE coalesce(a.id, b.id) IS NOT NULL""",
     "cascade": f"WITH {CASCADE} SELECT id, score, label, confidence, method, explanation, matched_on, match_id FROM cascade",
+    "cascade_indexed": f"WITH {CASCADE} SELECT id, score, label, confidence, method, explanation, matched_on, match_id FROM cascade",
     "cascade_by_method": f"WITH {CASCADE} SELECT method, label, count(*) AS articles FROM cascade GROUP BY ALL",
     "cascade_without_record": f"""WITH {CASCADE}, own AS (SELECT *, round(greatest(p, 1 - p) * 100, 2) AS conf FROM cascade)
         SELECT id, CASE WHEN p IS NULL THEN score WHEN p > 0.5 THEN trunc(conf)::INT ELSE trunc(100 - conf)::INT END AS score,
