@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pressgauge.operators import verdict
 from pressgauge.operators.corpus import CORPUS_SCHEMA
 from pressgauge.sources import index, registry
+from pressgauge.streaming.intake import analyze_stream, read_requests
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +100,20 @@ def test_neither_lookup_nor_top_up_shuffles_the_index(spark, corpus, tmp_path):
     assert got == want and got[1][0] == "headline" and got[2] == ("body", 4) and got[3] == (None, None)
     files = stored.rows.inputFiles()
     assert 0 < len(files) <= 3
+
+
+def test_stream_answers_from_the_current_version(spark, corpus, tmp_path):
+    folder, requests = str(tmp_path / "index"), tmp_path / "requests"
+    requests.mkdir()
+
+    def run(n):
+        (requests / f"{n}.json").write_text('{"id": %d, "text": "Head 3\\nbody", "submitted_at": "2024-01-01T00:00:00Z"}\n' % n)
+        read = read_requests(spark, str(requests))
+        # no corpus lies at that path: only the index can answer
+        places = [str(tmp_path / x) for x in ("corpus", "history", "ckpt")]
+        analyze_stream(read, *places, index_folder=folder).awaitTermination(120)
+        return {r.id: r.method for r in spark.read.parquet(str(tmp_path / "history")).collect()}
+
+    assert run(1) == {1: "too_short"}
+    index.add_to_index(corpus, folder, "all", buckets=3)
+    assert run(2) == {1: "too_short", 2: "database"}
