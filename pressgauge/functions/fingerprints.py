@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pressgauge.functions.chars import BOUNDARY, NOT_SPACE, SPACE, let
+from pressgauge.functions.chars import NOT_SPACE, SPACE, WORD, let
 
 # Fixed values: (rule, pattern, ignore case), in the order they are applied.
 RULES = [
@@ -54,14 +54,32 @@ def rule_names() -> list[str]:
     return [name for name, _, _ in RULES]
 
 
-def _java(pattern: str, ignore_case: bool) -> str:
-    """Give \\b, \\s and \\S their Unicode meaning."""
-    spelled = {r"\b": BOUNDARY, r"\s": SPACE, r"\S": NOT_SPACE}
+# What a match of a rule can begin with, as regular-expression class contents: asked first, it settles nearly every
+# position of a text.
+FIRST = {
+    "agency dateline": "A-Z",
+    "agency name": "ra",
+    "wire sign-off": "arwe",
+    "image credit": "fpis",
+    "photo agency": "gsiap",
+    "web address": "hw",
+    "social embed": "pt",
+    "site furniture": "flsr",
+    "media tag": r"\[(wvp",
+}
+
+
+def _java(rule: str, pattern: str, ignore_case: bool) -> str:
+    """Give \\b, \\s and \\S their Unicode meaning. A \\b stands before a letter, or behind one and its group."""
+    pattern = re.sub(r"(?<=\))\\b", lambda _: f"(?!{WORD})", pattern)
+    spelled = {r"\b": f"(?<!{WORD})", r"\s": SPACE, r"\S": NOT_SPACE}
     pattern = re.sub(r"\\[bsS]", lambda short: spelled[short.group()], pattern)
-    return ("(?iu)" if ignore_case else "") + pattern
+    return ("(?iu)" if ignore_case else "") + f"(?=[{FIRST[rule]}])(?:{pattern})"
 
 
-JAVA_PATTERNS = [_java(pattern, ignore_case) for _, pattern, ignore_case in RULES]
+JAVA_PATTERNS = [_java(*rule) for rule in RULES]
+# White space other than one blank, which stays as it is. Plain characters fail the first test of either part.
+UNTIDY = f" (?![!-~]){SPACE}+|(?=[^ -~]){SPACE}+"
 
 # A text without any of a rule's words cannot match it, and finding a word is far
 # cheaper than trying a pattern at every position.
@@ -83,7 +101,8 @@ def _plain(text: Column) -> Column:
 
     These come first: the lower case of İ is two characters, which no word would meet.
     """
-    return F.lower(F.translate(text, "ſıİ", "sii"))
+    strange = F.contains(text, F.lit("ſ")) | F.contains(text, F.lit("ı")) | F.contains(text, F.lit("İ"))
+    return F.when(strange, F.lower(F.translate(text, "ſıİ", "sii"))).otherwise(F.lower(text))
 
 
 def _may_match(plain: Column, rule: str) -> Column:
@@ -110,7 +129,7 @@ def clean_article_text(text: Column) -> Column:
         return lambda t: F.when(wanted, F.regexp_replace(t, pattern, " ")).otherwise(t)
 
     original = F.coalesce(text, F.lit(""))
-    return F.trim(F.regexp_replace(let(_plain(original), blanked), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(let(_plain(original), blanked), UNTIDY, " "))
 
 
 def fingerprint_hits(text: Column) -> list[Column]:

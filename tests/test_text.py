@@ -188,3 +188,22 @@ def test_screened_rules_equal_rules_alone(spark):
     alone = [F.regexp_count("t", F.lit(p)).alias(f"r{i}") for i, p in enumerate(fp.JAVA_PATTERNS)]
     screened = [c.alias(f"r{i}") for i, c in enumerate(fp.fingerprint_hits(F.col("t")))]
     assert df.select(*screened).collect() == df.select(*alone).collect()
+
+
+def test_rules_settle_a_position_by_its_first_character(spark):
+    from pressgauge.functions import fingerprints as fp
+
+    bits = ["Reuters", "REUTERſ", "İstock", "ıstock", "shutterſtock", "press", "associated", "é", "_", "9", " ", "\t", "\xa0", "\x85", "(AP) - ", "NEW YORK", "[Video]"]
+    bits += ["watch :", "photo by", "read more", "follow us on", "editing by", "www.x.y", "http://a.b", "t.co/x", "pic.twitter.com/y", ".", "\n", "K", "  ", "getty"]
+    texts = [a + b + c for a in bits for b in ("", " ", "x") for c in bits]
+    word_edge = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = []
+    for (rule, pattern, ignore_case), quick in zip(fp.RULES, fp.JAVA_PATTERNS):
+        assert f"(?=[{fp.FIRST[rule]}])" in quick and word_edge not in quick
+        for short, long in ((r"\b", word_edge), (r"\s", fp.SPACE), (r"\S", fp.NOT_SPACE)):
+            pattern = pattern.replace(short, long)
+        plain.append(F.regexp_replace("t", ("(?iu)" if ignore_case else "") + pattern, "#") == F.regexp_replace("t", quick, "#"))
+    tidy = F.regexp_replace("t", f"{fp.SPACE}+", " ") == F.regexp_replace("t", fp.UNTIDY, " ")
+    same = df.agg(*[F.min(c.cast("int")) for c in [*plain, tidy]]).first()
+    assert set(same) == {1}
