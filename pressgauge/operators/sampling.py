@@ -12,6 +12,7 @@ SPLIT_SEED = 42  # fixed value
 TICKET_DIGITS = 32
 DIGITS = 2  # of a ticket that are told apart at a time: 256 bins for each group
 RANKED_ROWS = 1_000  # tickets of a group that are ranked in one task
+BROADCAST_GROUPS = 10_000  # one short row a group is sent to every task, up to so many groups
 
 
 def ticket(row_id: Column, seed: int = SPLIT_SEED) -> Column:
@@ -24,7 +25,8 @@ def first_per_group(df: DataFrame, group: str, row_id: str, quota: Column, seed:
     `quota` is an expression over the group's row count, `group_size`. The ticket at which the quota ends is found
     digit by digit: tickets that begin as it does are counted by their next DIGITS digits, and of these bins, a fixed
     number for each group, only the one in which the quota ends goes on. Once a group has few tickets left they are
-    ranked; the flag itself is a comparison with the ticket found.
+    ranked; the flag itself is a comparison with the ticket found. Rows stay in the tasks they are in unless there are
+    many groups: dealt out by a few groups, they would all meet in as many tasks.
     """
     slim = df.select(group, ticket(F.col(row_id), seed).alias("t")).filter(F.col(group).isNotNull())
     sizes = slim.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"))
@@ -32,12 +34,14 @@ def first_per_group(df: DataFrame, group: str, row_id: str, quota: Column, seed:
         group, F.lit("").alias("prefix"), F.least(quota, F.col("group_size")).cast("bigint").alias("take"), F.col("group_size").alias("n")
     )
     edge = cut_lineage(edge.filter("take > 0"))
+    few = edge.count() <= BROADCAST_GROUPS
+    each = F.broadcast if few else (lambda rows: rows)
     per_group = Window.partitionBy(group)
     while True:
         wide = (F.col("n") > RANKED_ROWS) & (F.length("prefix") < TICKET_DIGITS)
         if edge.filter(wide).isEmpty():
             break
-        open_ = slim.join(edge.filter(wide), group).filter(F.col("t").startswith(F.col("prefix")))
+        open_ = slim.join(each(edge.filter(wide)), group).filter(F.col("t").startswith(F.col("prefix")))
         bins = open_.groupBy(group, F.expr(f"substring(t, 1, length(prefix) + {DIGITS})").alias("prefix")).agg(
             F.count(F.lit(1)).alias("n"), F.first("take").alias("take")
         )
@@ -45,14 +49,14 @@ def first_per_group(df: DataFrame, group: str, row_id: str, quota: Column, seed:
         ended = bins.filter((F.col("take") > 0) & (F.col("take") <= F.col("n"))).select(group, "prefix", "take", "n")
         edge = cut_lineage(edge.filter(~wide).unionByName(ended))
     last = (
-        slim.join(edge, group)
+        slim.join(each(edge), group)
         .filter(F.col("t").startswith(F.col("prefix")))
         .withColumn("rank", F.row_number().over(per_group.orderBy("t")))
         .filter(F.col("rank") == F.col("take"))
         .select(group, F.col("t").alias("__last"))
     )
     flag = F.coalesce(ticket(F.col(row_id), seed) <= F.col("__last"), F.lit(False))
-    return df.join(last, group, "left").withColumn(out, flag).drop("__last")
+    return df.join(each(last), group, "left").withColumn(out, flag).drop("__last")
 
 
 def stratified_split(

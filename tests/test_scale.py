@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,17 @@ def test_ticket_digits_find_the_same_rows(spark, monkeypatch, ranked):
         assert not any(r.held for r in flagged if r.g is None)
 
 
+def test_a_split_by_few_groups_leaves_rows_where_they_are(spark):
+    df = spark.range(0, 4_000, 1, 8).select("id", (F.col("id") % 2).alias("g"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = sampling.stratified_split(df, "g", "id", 0.5).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in held.groupBy("task").count().collect()]
+        assert sizes == [500] * 8 and held.filter("held").count() == 2_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 TEXTS = ["red fox runs", "red red hen", "blue fox sleeps", "old hen sleeps", "blue sky", "red sky runs", "no1 x yy", ""] * 3
 
 
@@ -99,6 +111,24 @@ def test_piles_fit_side_by_side_as_alone(spark, articles, monkeypatch):
     assert all((r.fake_score > 0.5) == bool(r.label_binary) for r in scored if r.id != 1)
 
 
+def test_words_of_texts_are_counted_without_a_shuffle_of_pairs(spark, articles, capsys):
+    twice = articles.unionAll(articles.filter("id = 1"))
+    counts = linear.term_counts(twice, "cleaned", {"all": F.lit(1), "copies": F.lit(2)})
+    counts.explain()
+    plan = capsys.readouterr().out
+    assert "REPARTITION_BY_COL" in plan and not any("Exchange" in line and "term" in line and "id#" in line for line in plan.splitlines())
+    found = {r.term: tuple(r)[1:] for r in counts.collect()}
+    # rows that share an id are one text
+    assert found["red"] == (14, 9, 28, 18) and found["sleeps"] == (6, 6, 12, 12)
+
+
+def test_scores_of_sliced_and_missing_words():
+    model = linear.LinearModel(("a", "b"), np.array([4096, 8192]), np.array([1 << 20, -(1 << 20)]), 5)
+    words = pa.array([["a"], None, ["b", "b", "zz", None], [], ["a", "b"]])
+    told = model.scores_of(words.slice(1), pa.array(model.terms))
+    assert told.tolist() == model.scores([[], ["b", "b"], [], ["a", "b"]]).tolist() and told[1] < 0.5
+
+
 def test_converges_to_the_penalised_optimum(spark, articles):
     """At the optimum the gradient of summed loss and penalty is 0."""
     model = linear.fit_piles(articles, "cleaned", {"all": F.lit(1)}, steps=200)["all"]
