@@ -831,9 +831,10 @@ def dataset_registry(spark, folder):
 
 @query
 def csv_positions(spark, folder):
-    """Documents as one CSV file, and the place in it at which each is read."""
+    """Documents as one CSV table in parts, and the place in it at which each is read."""
     path = _scratch(spark, "place")
     rows = data.pastes(spark, folder).select(F.col("id").cast("string").alias("title"), "body")
-    rows.coalesce(1).sortWithinPartitions(F.col("title").cast("long")).write.option("header", True).option("escape", '"').csv(path)
-    read = articles.read_labelled_csv(spark, path, "documents", label="real", text_col="body")
+    order = F.col("title").cast("long")
+    rows.repartitionByRange(order).sortWithinPartitions(order).write.option("header", True).option("escape", '"').csv(path)
+    read = articles.read_labelled_csv(spark, path, "documents", label="real", text_col="body", one_table=True)
     return read.select("pos", F.col("headline").cast("long").alias("id"), F.md5("body").alias("body_digest"))

@@ -37,10 +37,10 @@ def read_article_csv(spark: SparkSession, path: str) -> DataFrame:
     return _read_article_csv(spark, path).drop("pos")
 
 
-def _read_article_csv(spark: SparkSession, path: str) -> DataFrame:
+def _read_article_csv(spark: SparkSession, path: str, one_table: bool = False) -> DataFrame:
     # for the names only: this reads no more than the first record
     names = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False).columns
-    read = records.read_records(spark, path).filter("number > 0")
+    read = records.read_records(spark, path, one_table).filter("number > 0")
     read = read.select(records.position().alias("pos"), records.fields(F.col("text"), names).alias("f"))
     return read.select(*[_or_null(F.col(f"f.`{c}`")).alias(c) for c in names], "pos")
 
@@ -59,10 +59,12 @@ def read_labelled_csv(
     text_col: str = "text",
     label_col: str = "label",
     file_no: int = 0,
+    one_table: bool = False,
 ) -> DataFrame:
     """One labelled file as top-up input: file_no, pos, file, headline, body, label,
-    source, basis, key. Rows without a headline (or without a needed label) go."""
-    df = _read_article_csv(spark, path)
+    source, basis, key. Rows without a headline (or without a needed label) go.
+    one_table: a folder's files are parts of one file, and pos counts through them."""
+    df = _read_article_csv(spark, path, one_table)
     for column, hint in ((title_col, "title"), (None if label else label_col, "label")):
         if column and column not in df.columns:
             raise ValueError(f"{path} has no {hint} column {column!r}; found {df.columns}")

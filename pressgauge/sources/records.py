@@ -94,17 +94,17 @@ def _transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-_STARTS = "path string, start bigint, inside boolean, first bigint, opened boolean"
+_STARTS = "path string, start bigint, inside boolean, first bigint, opened boolean, records bigint"
 
 
 def _chain(ranges: pd.DataFrame) -> pd.DataFrame:
-    """The state and record number with which each range of one file starts."""
+    """The state and record number with which each range of one file starts, and the file's records."""
     inside, first, out = False, 0, []
     for r in ranges.sort_values("start").itertuples():
         after, records = (r.open_opens, r.open_records) if inside else (r.closed_opens, r.closed_records)
         out.append((r.path, r.start, inside, first, after))
         inside, first = bool(after), first + int(records)
-    return pd.DataFrame(out, columns=["path", "start", "inside", "first", "opened"])
+    return pd.DataFrame(out, columns=["path", "start", "inside", "first", "opened"]).assign(records=first)
 
 
 _RECORDS = "file bigint, number bigint, start bigint, text string"
@@ -158,9 +158,12 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["file", "number", "start", "text"])
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, one_table: bool = False) -> DataFrame:
     """file (its rank by name), number (of the record in its file, from 0) and text of every record.
 
+    one_table: the files are the parts of one table, each below its own header. They count as one file: the first part's
+    header is record 0, the others' are left out, and records are numbered through in the order of the files' names.
+
     What is broadcast is one short row for each byte range, less than the list of files and ranges that the driver
     keeps for any scan.
     """
@@ -177,6 +180,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         "file", "number", F.concat_ws("\n", F.col("pieces.text")).alias("text")
     )
     read = whole.unionByName(joined)
+    if one_table:
+        before, at = [], 0
+        for file, count in sorted(tuple(r) for r in starts.select("file", "records").distinct().collect()):
+            before.append((file, at))
+            at += max(count - 1, 0)
+        places = F.broadcast(spark.createDataFrame(before, "file bigint, before bigint"))
+        read = read.filter("number > 0 or file = 0").join(places, "file")
+        read = read.select(F.lit(0).cast("bigint").alias("file"), (F.col("number") + F.col("before")).alias("number"), "text")
     # in a file with \r\n at the ends of records, the lines inside a field end the same way
     plain = F.regexp_replace(F.expr("substring(text, 1, length(text) - 1)"), "\r\n", "\n")
     return read.withColumn("text", F.when(F.col("text").endswith("\r"), plain).otherwise(F.col("text")))

@@ -149,3 +149,19 @@ def test_line_ends_bytes_files_and_nothing(spark, tmp_path, ranges):
         ranges(size)
         assert read(spark, many) == ["1,x", "2,y", '3,"never\nclosed\n4,x']
     assert read(spark, many / "c.csv") == []
+
+
+def test_parts_of_one_table_are_numbered_through(spark, tmp_path):
+    parts = ['title,body\n1,"a\nb"\n2,c\n', "title,body\n", 'title,body\n3,"title,body\n"\n\n4,d\n', 'title,body\n5,"e\n\nf"']
+    for n, part in enumerate(parts):
+        (tmp_path / f"part-{n:05}.csv").write_text(part)
+    for size in ("128m", "9"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            read = articles.read_labelled_csv(spark, str(tmp_path), "s", label="real", text_col="body", one_table=True)
+            found = sorted((r.pos, r.headline, r.body) for r in read.collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert found == [(1, "1", "a\nb"), (2, "2", "c"), (3, "3", "title,body\n"), (4, "4", "d"), (5, "5", "e\n\nf")]
