@@ -4,9 +4,10 @@ Base spans (email, ip, card, phone) follow fixed rules: the leftmost non-overlap
 dropped where they fail a check. They are always found. Beside them, generators propose many spans that may
 overlap one another: digit groups inside a longer run, numbers with other separators, spelled-out addresses.
 For every kind, boosted trees look at a candidate's format and context and give a probability. They are
-trained on a bounded sample of the corpus: candidates that are base spans are right, others are wrong (those
+trained on the candidates of all documents: those that are base spans are right, others are wrong (those
 that a rule would accept on their own, without what touches them, teach nothing), and the right ones are shown again without the features that the base rule insists on, so that the rest of the
-evidence gets weight. A kind's threshold is the lowest at which candidates held out from training are
+evidence gets weight. Candidates travel as bins of their features with a count, never as text, and the trees grow by
+sums over them (`boosting.fit_table`). A kind's threshold is the lowest at which candidates held out from training are
 precise. Accepted candidates that touch no base span are added, the most probable first, without overlaps.
 
 Null text is the empty text and has no spans. Places are code points, ends exclusive. Repeated rows are
@@ -16,6 +17,8 @@ answered alike. Texts are scanned whole, in time linear in their length.
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.llm import boosting
-from pressgauge.llm.common import cut_lineage, doc_text, hash_sample, map_arrow, strings
+from pressgauge.llm.common import cut_lineage, doc_text, map_arrow, strings
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
@@ -32,8 +35,6 @@ Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
 @dataclass(frozen=True)
 class Settings:
-    sample_rows: int = 5_000  # documents that the trees are trained on, those of the smallest hash
-    sample_candidates: int = 20_000  # of each kind, at most
     precision: float = 0.95  # of what a threshold lets through, with candidates that no base rule knows taken for wrong
     least: int = 20  # right and wrong candidates of a kind below which it gets no trees
 
@@ -161,54 +162,69 @@ def _alone(part: str, kind: int) -> bool:
 Model = dict[int, tuple[boosting.Boosted, float]]
 
 
+PROBABILITIES = 1 << 16  # steps in which probabilities are counted for a threshold
+
+
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
-    """Trees and a threshold for each kind with enough candidates in the sample."""
-    ids = hash_sample(docs.select("doc_id").where("doc_id is not null"), "doc_id", settings.sample_rows)
-    # at most sample_rows ids
-    sample = doc_text(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"))
+    """Trees and a threshold for each kind with enough candidates, from all documents."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        kinds, rows, right, part = [], [], [], []
+        kinds, parts, rows, right = [], [], [], []
         for text in strings(batch["text"]):
             known = set(base_spans(text))
             for span in candidates(text):
-                if span not in known and _alone(text[span[0] : span[2]], span[1]):
+                part = text[span[0] : span[2]]
+                if span not in known and _alone(part, span[1]):
                     continue
                 kinds.append(span[1])
+                parts.append(zlib.crc32(part.encode()) % 3 == 0)
                 rows.append(features(text, span))
                 right.append(span in known)
-                part.append(text[span[0] : span[2]])
-        return {
-            "kind": pa.array(kinds, pa.int32()),
-            "x": pa.array([[float(v) for v in r] for r in rows], pa.list_(pa.float64())),
-            "right": pa.array(right, pa.bool_()),
-            "part": pa.array(part, pa.string()),
-        }
-
-    # the sample's candidates are kept, or every kind would read the documents again
-    found = cut_lineage(map_arrow(sample, "kind int, x array<double>, right boolean, part string", work))
-    model: Model = {}
-    for kind in range(len(KINDS)):
-        rows = (
-            found.where(F.col("kind") == kind)
-            .select("x", "right", F.xxhash64("part").alias("h"))
-            .orderBy("h", "right", "x")
-            .limit(settings.sample_candidates)
-            .toPandas()
-        )
-        right = rows["right"].to_numpy(bool)
-        if min(right.sum(), (~right).sum()) < settings.least:
-            continue
-        x = np.array(rows["x"].tolist())
-        held = rows["h"].to_numpy() % 3 == 0
-        shown, labels = [x[~held]], [right[~held]]
+        binned = boosting.bins(np.array(rows, float).reshape(-1, len(FEATURES)))
+        counted = Counter(zip(kinds, (x.tobytes() for x in binned), right, parts, strict=True))
+        columns = list(zip(*counted, strict=True)) or [[]] * 4
+        types = (pa.int32(), pa.binary(), pa.bool_(), pa.bool_())
+        out = {name: pa.array(c, t) for name, c, t in zip(("kind", "x", "right", "held"), columns, types, strict=True)}
+        return out | {"n": pa.array(list(counted.values()), pa.int64())}
+
+    found = map_arrow(doc_text(docs), "kind int, x binary, right boolean, held boolean, n bigint", work)
+    # like candidates are one row; they are kept, or every pass would read the documents again
+    found = cut_lineage(found.groupBy("kind", "x", "right", "held").agg(F.sum("n").alias("n")))
+    sizes = {(r["kind"], r["right"]): r["n"] for r in found.groupBy("kind", "right").agg(F.sum("n").alias("n")).collect()}
+    taught = [k for k in range(len(KINDS)) if min(sizes.get((k, True), 0), sizes.get((k, False), 0)) >= settings.least]
+    if not taught:
+        return {}
+    shown = found.where(F.col("kind").isin(taught) & ~F.col("held")).select("kind", "x", "right", "n")
+    again = shown.where("right").where(F.col("kind").isin([k for k in taught if _HIDDEN[k]]))
+    without = F.col("x")
+    for kind in taught:
         for name in _HIDDEN[kind]:
-            again = x[~held & right].copy()
-            again[:, FEATURES.index(name)] = 0
-            shown.append(again)
-            labels.append(np.ones(len(again), bool))
-        fitted = boosting.fit(np.concatenate(shown), np.concatenate(labels).astype(float))
-        model[kind] = fitted, max(0.5, boosting.threshold(fitted.probability(x[held]), right[held], settings.precision))
+            at = FEATURES.index(name)
+            zeroed = F.concat(F.substring("x", 1, at), F.lit(b"\0"), F.substring("x", at + 2, len(FEATURES)))
+            without = F.when(F.col("kind") == kind, zeroed).otherwise(without)
+    shown = cut_lineage(shown.unionByName(again.withColumn("x", without)))
+    fitted = boosting.fit_table(shown, taught, len(FEATURES))
+
+    def judge(batches):
+        for batch in batches:
+            of, p = batch["kind"].to_numpy(), np.zeros(batch.num_rows)
+            values = boosting.values(batch["x"], len(FEATURES))
+            for kind in taught:
+                p[of == kind] = fitted[kind].probability(values[of == kind])
+            step = pa.array(np.floor(p * PROBABILITIES).astype(np.int64))
+            yield pa.RecordBatch.from_pydict({"kind": batch["kind"], "step": step, "right": batch["right"], "n": batch["n"]})
+
+    held = found.where(F.col("kind").isin(taught) & F.col("held")).select("kind", "x", "right", "n")
+    judged = held.mapInArrow(judge, "kind int, step bigint, right boolean, n bigint").groupBy("kind", "step")
+    # at most PROBABILITIES rows a kind
+    steps = judged.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("right"), F.col("n")).otherwise(0)).alias("right")).toPandas()
+    model: Model = {}
+    for kind in taught:
+        own = steps[steps["kind"] == kind]
+        step, right, n = (own[c].to_numpy() for c in ("step", "right", "n"))
+        cut = boosting.threshold(step / PROBABILITIES, right, settings.precision, n)
+        # up to the next whole step, or the cut would run through the candidates of one
+        model[kind] = fitted[kind], max(0.5, float(np.ceil(cut * PROBABILITIES)) / PROBABILITIES)
     return model
 
 
@@ -257,7 +273,7 @@ def redact(text: str, spans: list[Span]) -> str:
 
 def scan(docs: DataFrame, settings: Settings = Settings(), *more: str) -> DataFrame:
     """doc_id, `more`, base (spans as text), spans (all, as text), n_email, n_ip, n_card, n_phone (base spans)
-    and redacted. One row for each row; nothing but the training sample is gathered."""
+    and redacted. One row for each row; nothing but sums over candidates is gathered."""
     model = train(docs, settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = doc_text(docs, *more)

@@ -51,6 +51,30 @@ def test_boosted_trees_learn_an_interaction():
     assert 0.3 < cut < 0.8 and boosting.threshold(np.array([0.5]), np.array([0]), 0.9) > 1
 
 
+def test_trees_grown_from_a_table_equal_those_from_arrays(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 6, size=(400, 3))
+    x[:, 2] *= 37  # beyond the bins of single numbers
+    y = ((x[:, 0] > 2) ^ (x[:, 1] > 3)) | (rng.uniform(size=400) < 0.1)
+    times = rng.integers(1, 4, 400)
+    whole = boosting.fit(np.repeat(x, times, axis=0).astype(float), np.repeat(y, times).astype(float), trees=5)
+    packed = [bytearray(row.tobytes()) for row in boosting.bins(x)]
+    rows = [(k, p, bool(r), int(n)) for k in (0, 3) for p, r, n in zip(packed, y, times)]
+    table = spark.createDataFrame(rows, "kind int, x binary, right boolean, n long").repartition(3)
+    found = boosting.fit_table(table, [0, 3], 3, trees=5)
+    for model in found.values():
+        assert np.allclose(model.probability(x.astype(float)), whole.probability(x.astype(float)), atol=1e-5)
+
+
+def test_every_document_teaches(spark):
+    """24 right and 24 wrong candidates among 10,000 documents: a sample of 5,000 holds too few of them for trees."""
+    good = ["card 4111 1111 1111 1111"] * 24
+    bad = [f"id 9{k:02d}45678901234" for k in range(24)]
+    rows = [(k * 200, text) for k, text in enumerate(good + bad)]
+    rows += [(k, "words") for k in range(10_000) if k % 200 or k >= 9_600]
+    assert 2 in pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, prose):
     rng = random.Random(3)
