@@ -26,6 +26,7 @@ by its smallest doc_id (null if it has no other).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +42,7 @@ PIECE = 1_000_000  # bytes of text that are hashed at once
 CELL_BITS, BLOCK_BITS = 22, 12  # of the table that tells common shingles; it only decides what a run costs
 BITS = 1_024  # of a text's parity bitmap; likewise
 BITMAP = [f"b{k}" for k in range(BITS // 64)]
+ROWS_PER_TASK = 50_000  # of links; likewise
 HUB_ROUNDS = 2  # before the remaining pairs are joined; likewise
 
 
@@ -158,6 +160,11 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return map_arrow(rows, "a string, b string, similarity double", work, "text_b")
 
 
+def _few_tasks(links: DataFrame, rows: int) -> DataFrame:
+    """`links` in as many tasks as so many rows need: each task of a shuffle writes files of its own, however few its rows."""
+    return links.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest node) for every node of the links (a, b).
 
@@ -166,25 +173,30 @@ def components(links: DataFrame) -> DataFrame:
     of a component's size.
     """
 
+    def both_ways(frame: DataFrame, one: tuple, other: tuple) -> DataFrame:
+        ends = [F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in (one, other)]
+        return frame.select(F.inline(F.array(*ends)))
+
     def unfinished(edges: DataFrame) -> bool:
-        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("held"))
-        ends = ends.unionAll(edges.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("out").alias("out"), F.max("held").alias("held"))
-        return ends.where("out > 1 or (out > 0 and held > 0)").limit(1).count() > 0
+        out, held = F.col("node") == F.col("u"), F.col("node") == F.col("v")
+        ends = edges.select("u", "v", F.explode(F.array("u", "v")).alias("node"))
+        ends = ends.groupBy("node").agg(F.count(F.when(out, 1)).alias("out"), F.max(held).alias("held"))
+        return not ends.where("out > 1 or (out > 0 and held)").isEmpty()
 
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = cut_lineage(edges)
+    rows = edges.count()
+    edges = _few_tasks(edges, rows)
     while unfinished(edges):
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = both_ways(edges, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: greater neighbours go to the least
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _few_tasks(large, rows)
         # small star: lesser neighbours, and the node itself, go to the least
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(
-            joined.select("u", F.col("m").alias("v"))
-        )
-        edges = cut_lineage(small.distinct())
+        small = both_ways(large.join(least, "u"), ("v", "m"), ("u", "m")).where("u <> v")
+        edges = _few_tasks(cut_lineage(small.distinct()), rows)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
@@ -345,6 +357,7 @@ def link(sketches: DataFrame, docs: DataFrame, settings: Settings = Settings())
     # each member with one pivot first; most other pairs are then within a component
     first = pairs.groupBy("member").agg(F.min("pivot").alias("pivot"))
     checked = cut_lineage(verify(first.select(*_pair("pivot", "member")), texts, settings.words).distinct())
+    checked = _few_tasks(checked, checked.count())
 
     def state() -> DataFrame:
         return cut_lineage(components(checked.where(F.col("similarity") >= settings.similarity)))
@@ -355,9 +368,9 @@ def link(sketches: DataFrame, docs: DataFrame, settings: Settings = Settings())
         new = cut_lineage(pairs.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"))
         n_new = new.count()
         if n_new:
-            known = cut_lineage(verify(new, texts, settings.words).distinct())
+            known = _few_tasks(cut_lineage(verify(new, texts, settings.words).distinct()), n_new)
             checked = checked.unionAll(known)
-            if known.where(F.col("similarity") >= settings.similarity).limit(1).count():
+            if not known.where(F.col("similarity") >= settings.similarity).isEmpty():
                 found = state()
         return n_new
 

@@ -129,3 +129,18 @@ def test_odd_rows(odd_docs, no_docs, texts_of):
     # null and empty texts are exact copies of each other; blank ones are not
     assert {(r.doc_id, r.class_id) for r in rows if r.doc_id in (3, 4, 5)} == {(3, 3), (4, 3), (5, 5)}
     assert B.near_duplicates(no_docs).collect() == []
+
+
+def test_few_links_take_few_tasks(spark):
+    """Each task of a shuffle writes files of its own, so the steps of a short list of links must not have hundreds."""
+    links = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(40) if k % 10 < 9], "a string, b string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = B.components(links)
+        assert found.rdd.getNumPartitions() <= 2
+        assert {(r.node, r.component) for r in found.collect()} == {(f"{k:03d}", f"{k // 10 * 10:03d}") for k in range(40)}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
