@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.llm import hashing
@@ -164,7 +164,7 @@ def frequent(counts: DataFrame, settings: Settings) -> dict[int, int]:
     }
 
 
-STRINGS = "key bigint, digest binary, bytes binary, size int, times bigint, places array<struct<content:string,start:int>>"
+STRINGS = "key bigint, digest binary, bytes binary, size int, times bigint, places array<struct<content:binary,start:int>>"
 
 
 def strings_of(
@@ -218,7 +218,7 @@ def strings_of(
             "times": pa.array([e[2] for e in held], pa.int64()),
             "places": pa.array(
                 [[{"content": c, "start": s} for c, s in sorted(e[3])] for e in held],
-                pa.list_(pa.struct([("content", pa.string()), ("start", pa.int32())])),
+                pa.list_(pa.struct([("content", pa.binary()), ("start", pa.int32())])),
             ),
         }
 
@@ -366,10 +366,15 @@ def judge_shard(strings: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame({"key": np.array(keys, np.int64), "digest": digests, "ranges": ranges})
 
 
+def content_of(text: str) -> Column:
+    """A text's MD5 as 16 bytes."""
+    return F.unhex(F.md5(text))
+
+
 def removed_ranges(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """content (MD5 of a text) and ranges (first, end: bytes that repeated strings cover, may overlap)."""
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    texts = texts.withColumn("content", F.md5("text"))
+    texts = texts.withColumn("content", content_of("text"))
     counts = anchors(texts, settings).groupBy("value").agg(
         F.sum("times").alias("times"),
         F.max("again").alias("again"),
@@ -387,17 +392,13 @@ def removed_ranges(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     searched = strings.where("bytes is not null")
     size = searched.agg(F.sum("size")).first()[0] or 0
     shards = max(1, math.ceil(size / settings.shard_bytes))
-    # equal strings are merged inside the tasks first, so that a frequent one does not travel many times
-    distinct = searched.groupBy("key", "digest").agg(F.first("bytes").alias("bytes"), F.sum("times").alias("times"))
+    # batches have merged their equal strings; what is left meets its shard in one shuffle, and is merged there
+    dealt = searched.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(shards, "shard")
+    distinct = dealt.groupBy("shard", "key", "digest").agg(F.first("bytes").alias("bytes"), F.sum("times").alias("times"))
     length = settings.length
-    judged = (
-        distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-        .repartition(shards, "shard")
-        .groupBy("shard")
-        .applyInPandas(
-            lambda found: judge_shard(found, length),
-            "key bigint, digest binary, ranges array<struct<first:int,end:int>>",
-        )
+    judged = distinct.groupBy("shard").applyInPandas(
+        lambda found: judge_shard(found, length),
+        "key bigint, digest binary, ranges array<struct<first:int,end:int>>",
     )
     judged = stored(judged.unionAll(whole))
     placed = strings.select("key", "digest", "places").join(judged, ["key", "digest"])
@@ -414,7 +415,21 @@ def removed_ranges(docs: DataFrame, settings: Settings = Settings()) -> DataFram
 def cut(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) of each row."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    rows = rows.withColumn("content", F.md5("text")).join(removed_ranges(docs, settings), "content", "left").drop("content")
+    rows = rows.withColumn("content", content_of("text"))
+    found = stored(removed_ranges(docs, settings))
+    shared = docs.sparkSession.sparkContext.broadcast(screen(found.select(F.xxhash64("content").alias("value")), settings))
+    shift = np.uint64(64 - int(math.log2(settings.screen_bits)))
+
+    @F.pandas_udf("boolean")
+    def touched(value: pd.Series) -> pd.Series:
+        bit = (value.to_numpy().view(np.uint64) >> shift).astype(np.int64)
+        return pd.Series((shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0)
+
+    # a text that nothing is removed from stays where it is; the bitmap may send more to the join, never less
+    rows = rows.withColumn("__touched", touched(F.xxhash64("content")))
+    joined = rows.where("__touched").join(found, "content", "left").select("doc_id", "text", "ranges")
+    whole = rows.where("not __touched").select("doc_id", "text", F.lit(None).cast(found.schema["ranges"].dataType).alias("ranges"))
+    rows = joined.unionAll(whole)
 
     def work(batch: pa.RecordBatch) -> dict:
         kept, removed, spans = [], [], []

@@ -71,3 +71,14 @@ def test_odd_rows(odd_docs, no_docs, texts_of):
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.cut(odd_docs).collect())
     assert got == want
     assert S.cut(no_docs).collect() == []
+
+
+def test_only_texts_that_lose_bytes_are_shuffled(spark, prose):
+    """Texts are wide: those that keep every byte must not travel."""
+    texts = [prose(k, 60) for k in range(6)] + [prose(0, 60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = S.cut(df, S.Settings(length=40, gram=12))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found.collect()}
+    assert got == dict(enumerate(plain([t.encode() for t in texts], 40)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("Join") == 1
