@@ -794,10 +794,13 @@ def model_registry(spark, folder):
     """Two models deployed with their records, read back, and what the second is worth over the first."""
     path, rows = _scratch(spark, "models"), _taught(spark, folder)
     old = ((F.col("collection") == "first") & (F.col("source") < "src5")).cast("long")
-    figures = {r.run: r for r in linear.compare_piles(rows, {"old": old, "new": _first()}, _linear_exam(rows)).collect()}
-    for name, pile in (("old", old), ("new", _first())):
-        counts = linear.term_counts(rows, "cleaned", {"pile": pile}).filter("uses_pile > 0")
-        registry.publish(spark, path, {"terms": counts}, {"sorting": round(figures[name].sorting, 6), "training_samples": figures[name].n_train})
+    piles = {"old": old, "new": _first()}
+    # words are counted once, for the fit and for both versions
+    counts = cut_lineage(linear.term_counts(rows, "cleaned", piles))
+    figures = {r.run: r for r in linear.compare_piles(rows, piles, _linear_exam(rows), counts=counts).collect()}
+    for name in piles:
+        own = counts.select("term", F.col(f"uses_{name}").alias("uses_pile"), F.col(f"articles_{name}").alias("articles_pile")).filter("uses_pile > 0")
+        registry.publish(spark, path, {"terms": own}, {"sorting": round(figures[name].sorting, 6), "training_samples": figures[name].n_train})
     told = registry.history(spark, path, "sorting", learning.retrain_decision)
     tables, record = registry.read_version(spark, path)
     return told.crossJoin(tables["terms"].agg(F.count(F.lit(1)).alias("terms"))).withColumn("training_samples", F.lit(record["training_samples"]).cast("long"))

@@ -185,3 +185,19 @@ def test_registry_switches_whole_versions(spark, tmp_path):
 
     told = registry.history(spark, folder, "sorting", retrain_decision).orderBy("version").collect()
     assert [(r.version, r.before, r.decision) for r in told] == [(1, None, None), (2, 70.0, "better"), (3, 80.0, "no real gain")]
+
+
+def test_words_are_counted_once_for_the_fit_and_both_versions(spark, sf_dir, monkeypatch):
+    from pressgauge.plans import catalog
+
+    calls, count = [], linear.term_counts
+    monkeypatch.setattr(linear, "term_counts", lambda *given: calls.append(given) or count(*given))
+    published = []
+    publish = registry.publish
+    monkeypatch.setattr(registry, "publish", lambda spark, path, tables, record: published.append(tables["terms"]) or publish(spark, path, tables, record))
+    catalog.model_registry(spark, sf_dir).collect()
+    assert len(calls) == 1
+    rows, pile = calls[0][0], calls[0][2]
+    for name, terms in zip(("old", "new"), published, strict=True):
+        alone = count(rows, "cleaned", {"pile": pile[name]}).filter("uses_pile > 0")
+        assert terms.columns == alone.columns and terms.exceptAll(alone).count() == alone.exceptAll(terms).count() == 0
