@@ -12,6 +12,8 @@ Every string of `length` bytes that starts twice or more in the corpus marks all
    counted and sent once. All occurrences of a repeated string meet in one shard. A frequent anchor is
    split: starts at near places before the anchor share more than the anchor, and are keyed by that.
    Anchors frequent enough for this are few (each is a certain share of all), so their list is bounded.
+   Before that, a string whose anchor is repeated but whose surroundings are not is left out: each start shares
+   with its equals the bytes before the anchor or those behind it (see `cores`), which are counted like anchors.
 3. In a shard, the Burrows-Wheeler transform of the strings is extended backwards breadth-first: the
    interval of every string of 1, 2, 3, ... bytes gives the places in suffix order where the common
    prefix is 0, 1, 2, ... bytes long. An interval that finds no new place is not followed. The search stops
@@ -28,11 +30,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +55,7 @@ class Settings:
     length: int = 200
     gram: int = 50
     screen_bits: int = 1 << 27  # of the bitmap of repeated anchors: 16 MB
+    selfish_bits: int = 1 << 24  # of that of anchors that a run holds twice: 2 MB
     frequent: int = 1_000  # occurrences from which an anchor is split, if they are also ...
     frequent_share: float = 1e-4  # ... this share of all anchors; so at most 10,000 anchors are listed
     shard_bytes: int = 4_000_000  # of candidate strings, on average, before equal ones are merged
@@ -111,6 +117,32 @@ def split(first: int, last: int, value: int, grams: np.ndarray, depth: int, sett
     return found
 
 
+def cores(first: np.ndarray, last: np.ndarray, value: np.ndarray, grams: np.ndarray, settings: Settings) -> tuple[np.ndarray, ...]:
+    """(hash, whether there is one) of the bytes before and behind the anchor of each run that holds it once.
+
+    A start that is `half` or more before the anchor covers the `half` bytes before it, any other as much behind it:
+    the two parts of `split` at depth 1. Hashes are made of the grams that cover these bytes.
+    """
+    wide = settings.length - settings.gram + 1
+    half = -(-wide // 2)
+    place = np.where(grams[first + wide - 1] == value, first + wide - 1, np.where(grams[last] == value, last, -1))
+    rest = np.flatnonzero(place < 0)
+    if len(rest):
+        # the anchor lies in every string of the run
+        span = first[rest] + wide - last[rest]
+        at = np.cumsum(span) - span
+        spots = np.arange(span.sum()) + np.repeat(last[rest] - at, span)
+        place[rest] = np.maximum.reduceat(np.where(grams[spots] == np.repeat(value[rest], span), spots, -1), at)
+
+    def told(low: int, high: int, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sums = np.full(len(place), high, np.uint64)
+        for offset in [*range(low, high - settings.gram, settings.gram), high - settings.gram]:
+            sums = hashing.mix(sums ^ grams[np.where(there, place + offset, place)])
+        return sums.view(np.int64), there
+
+    return *told(-half, settings.gram, first <= place - half), *told(0, settings.length - half + 1, last > place - half)
+
+
 def anchors(docs: DataFrame, settings: Settings) -> DataFrame:
     """value, form, times and again: the anchors of each slice's runs with the hash of the run's bytes, how often
     they occur, and whether such a run holds its anchor twice and so may repeat itself."""
@@ -164,17 +196,34 @@ def frequent(counts: DataFrame, settings: Settings) -> dict[int, int]:
     }
 
 
-STRINGS = "key bigint, digest binary, bytes binary, size int, times bigint, places array<struct<content:binary,start:int>>"
+def in_screen(bitmap: Broadcast, settings: Settings) -> Callable[[Column], Column]:
+    """Whether the bit of a value is set; false for null."""
+    shift = np.uint64(64 - int(math.log2(settings.screen_bits)))
+
+    @F.arrow_udf("boolean")
+    def seen(values: pa.Array) -> pa.Array:
+        known = pc.fill_null(values, 0).to_numpy(zero_copy_only=False)
+        bit = (known.view(np.uint64) >> shift).astype(np.int64)
+        return pc.and_(pa.array((bitmap.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0), values.is_valid())
+
+    return seen
+
+
+STRINGS = (
+    "key bigint, digest binary, bytes binary, size int, times bigint, before bigint, behind bigint, "
+    "places array<struct<content:binary,start:int>>"
+)
 
 
 def strings_of(
-    docs: DataFrame, repeated: np.ndarray, formed: np.ndarray, often: dict[int, int], settings: Settings
+    docs: DataFrame, repeated: np.ndarray, formed: np.ndarray, selfish: np.ndarray, often: dict[int, int], settings: Settings
 ) -> DataFrame:
     """The strings that may be repeated, each once for a batch of rows: its key, digest, size, number, where it
-    starts in which contents, and its bytes if its anchor may come in several forms."""
+    starts in which contents, and, if its anchor may come in several forms, its bytes and the hashes of what is
+    before and behind the anchor. Neither is told of anchors that a run somewhere may hold twice (`selfish`)."""
     context = docs.sparkSession.sparkContext
-    shared, several, split_at = (context.broadcast(x) for x in (repeated, formed, often))
-    shift = np.uint64(64 - int(math.log2(settings.screen_bits)))
+    shared, several, twice, split_at = (context.broadcast(x) for x in (repeated, formed, selfish, often))
+    shift, few = (np.uint64(64 - int(math.log2(bits))) for bits in (settings.screen_bits, settings.selfish_bits))
 
     def collect(piece: pa.RecordBatch, found: dict) -> None:
         data, offsets = utf8_buffer(piece["text"])
@@ -184,11 +233,17 @@ def strings_of(
         at, in_byte = bit >> 3, (bit & 7).astype(np.uint8)
         seen = (shared.value[at] >> in_byte) & 1 > 0
         forms = ((several.value[at] >> in_byte) & 1 > 0)[seen]
+        own = (value >> few).astype(np.int64)
+        once = forms & ((twice.value[own >> 3] >> (own & 7).astype(np.uint8)) & 1 == 0)[seen]
         first, last, value = first[seen], last[seen], value[seen]
+        sides = np.full((2, len(first)), None, object)
+        hashes = cores(first[once], last[once], value[once], grams, settings)
+        for side, told, there in zip(sides, hashes[::2], hashes[1::2], strict=True):
+            side[once] = np.where(there, told.astype(object), None)
         text = np.searchsorted(offsets, first, "right") - 1
         begins, whole, signed = offsets.tolist(), data.tobytes(), value.view(np.int64)
-        for a, b, t, v, u, many in zip(
-            *(x.tolist() for x in (first, last, text, signed, value, forms)), strict=True
+        for a, b, t, v, u, many, before, behind in zip(
+            *(x.tolist() for x in (first, last, text, signed, value, forms, *sides)), strict=True
         ):
             depth = split_at.value.get(v) if many else None
             parts = [(a, b, 0, 0, 0)] if depth is None else split(a, b, u, grams, depth, settings)
@@ -196,14 +251,19 @@ def strings_of(
                 key = v
                 if depth is not None:
                     core = hashlib.md5(whole[low:high] + bytes([part]) + v.to_bytes(8, "big", signed=True)).digest()
-                    key = int.from_bytes(core[:8], "big", signed=True)
+                    key = before = int.from_bytes(core[:8], "big", signed=True)
+                    behind = None
                 string = whole[begin : end + settings.length]
                 name = (key, hashlib.md5(string).digest())
+                place = (contents[t], begin - begins[t])
                 entry = found.get(name)
                 if entry is None:
-                    entry = found[name] = [string if many else None, len(string), 0, set()]
+                    found[name] = [string if many else None, len(string), 1, [place], before, behind]
+                    continue
                 entry[2] += 1
-                entry[3].add((contents[t], begin - begins[t]))
+                if isinstance(entry[3], list):  # most strings have one place, and a set takes thrice the memory
+                    entry[3] = set(entry[3])
+                entry[3].add(place)
 
     def work(batch: pa.RecordBatch) -> dict:
         found: dict[tuple[int, bytes], list] = {}
@@ -216,6 +276,8 @@ def strings_of(
             "bytes": pa.array([e[0] for e in held], pa.binary()),
             "size": pa.array([e[1] for e in held], pa.int32()),
             "times": pa.array([e[2] for e in held], pa.int64()),
+            "before": pa.array([e[4] for e in held], pa.int64()),
+            "behind": pa.array([e[5] for e in held], pa.int64()),
             "places": pa.array(
                 [[{"content": c, "start": s} for c, s in sorted(e[3])] for e in held],
                 pa.list_(pa.struct([("content", pa.binary()), ("start", pa.int32())])),
@@ -226,6 +288,15 @@ def strings_of(
     return map_arrow(docs, STRINGS, work, most=BATCH)
 
 
+def likely(strings: DataFrame, settings: Settings) -> DataFrame:
+    """The strings with bytes of which a part may be repeated: what is before or behind their anchor is found twice."""
+    searched = strings.where("bytes is not null")
+    sides = searched.select(F.explode(F.array("before", "behind")).alias("value"), "times").where("value is not null")
+    counted = sides.groupBy("value").agg(F.sum("times").alias("times")).where("times > 1")
+    seen = in_screen(strings.sparkSession.sparkContext.broadcast(screen(counted, settings)), settings)
+    return searched.where(F.coalesce("before", "behind").isNull() | seen(F.col("before")) | seen(F.col("behind")))
+
+
 def suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Suffixes in order, each read up to its string's end; equal ones in order of place.
 
@@ -382,14 +453,16 @@ def removed_ranges(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     )
     counts = stored(counts.where("times > 1 or again"))
     repeated, formed = screen(counts, settings), screen(counts.where("several"), settings)
-    strings = stored(strings_of(texts, repeated, formed, frequent(counts, settings), settings))
+    # few anchors are such; one taken for such is only not judged by its surroundings
+    selfish = screen(counts.where("again"), replace(settings, screen_bits=settings.selfish_bits))
+    strings = stored(strings_of(texts, repeated, formed, selfish, frequent(counts, settings), settings))
 
     # one form only: it is repeated as a whole, or not at all
     whole = strings.where("bytes is null").groupBy("key", "digest").agg(F.sum("times").alias("times"), F.first("size").alias("size"))
     whole = whole.where("times > 1").select(
         "key", "digest", F.array(F.struct(F.lit(0).alias("first"), F.col("size").alias("end"))).alias("ranges")
     )
-    searched = strings.where("bytes is not null")
+    searched = likely(strings, settings)
     size = searched.agg(F.sum("size")).first()[0] or 0
     shards = max(1, math.ceil(size / settings.shard_bytes))
     # batches have merged their equal strings; what is left meets its shard in one shuffle, and is merged there
@@ -401,7 +474,7 @@ def removed_ranges(docs: DataFrame, settings: Settings = Settings()) -> DataFram
         "key bigint, digest binary, ranges array<struct<first:int,end:int>>",
     )
     judged = stored(judged.unionAll(whole))
-    placed = strings.select("key", "digest", "places").join(judged, ["key", "digest"])
+    placed = strings.where("bytes is null").unionAll(searched).select("key", "digest", "places").join(judged, ["key", "digest"])
     placed = placed.select(F.explode("places").alias("place"), "ranges")
     return (
         placed.select("place.content", "place.start", F.explode("ranges").alias("r"))
@@ -418,12 +491,7 @@ def cut(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = rows.withColumn("content", content_of("text"))
     found = stored(removed_ranges(docs, settings))
     shared = docs.sparkSession.sparkContext.broadcast(screen(found.select(F.xxhash64("content").alias("value")), settings))
-    shift = np.uint64(64 - int(math.log2(settings.screen_bits)))
-
-    @F.pandas_udf("boolean")
-    def touched(value: pd.Series) -> pd.Series:
-        bit = (value.to_numpy().view(np.uint64) >> shift).astype(np.int64)
-        return pd.Series((shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0)
+    touched = in_screen(shared, settings)
 
     # a text that nothing is removed from stays where it is; the bitmap may send more to the join, never less
     rows = rows.withColumn("__touched", touched(F.xxhash64("content")))

@@ -82,3 +82,44 @@ def test_only_texts_that_lose_bytes_are_shuffled(spark, prose):
     assert got == dict(enumerate(plain([t.encode() for t in texts], 40)))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and plan.count("Join") == 1
+
+
+def test_strings_whose_surroundings_differ_are_not_searched(spark, prose):
+    """An anchor found twice is no repeated string: only what it stands in tells."""
+    phrase = prose(50, 12)[:24]
+    texts = [prose(k, 8) + phrase + prose(k + 100, 8) for k in range(20)]
+    texts += [prose(200, 8) + prose(7, 12), prose(201, 8) + prose(7, 12) + prose(202, 8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    settings = S.Settings(length=40, gram=12, screen_bits=1 << 20, shard_bytes=2_000)
+    seen = []
+    likely = S.likely
+    try:
+        S.likely = lambda strings, settings: seen.append((strings.where("bytes is not null").count(), likely(strings, settings))) or seen[-1][1]
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.cut(df, settings).collect()}
+    finally:
+        S.likely = likely
+    assert got == dict(enumerate(plain([t.encode() for t in texts], 40)))
+    had, left = seen[0]
+    assert 0 < left.count() <= had / 2
+
+
+def test_equal_strings_share_a_core():
+    rng = random.Random(7)
+    settings = S.Settings(length=12, gram=4)
+    for _ in range(200):
+        texts = [bytes(rng.choice(b"abcd") for _ in range(rng.randrange(40))) for _ in range(4)]
+        texts.append(texts[0] + texts[1][:3])
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+        first, last, value, _, grams = S.runs(data, offsets, 12, 4)
+        once = np.array([(grams[a : b + 9] == v).sum() == 1 for a, b, v in zip(first, last, value, strict=True)], bool)
+        first, last, value = first[once], last[once], value[once]
+        before, has_before, behind, has_behind = S.cores(first, last, value, grams, settings)
+        assert (has_before | has_behind).all()
+        named: dict[bytes, set] = {}
+        for k in range(len(first)):
+            place = first[k] + int(np.flatnonzero(grams[first[k] : last[k] + 9] == value[k])[0])
+            for i in range(first[k], last[k] + 1):
+                early = place - i >= 5
+                assert (has_before if early else has_behind)[k]
+                named.setdefault(bytes(data[i : i + 12]), set()).add((early, int((before if early else behind)[k])))
+        assert all(len(x) == 1 for x in named.values())
